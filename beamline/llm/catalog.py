@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, mixing, token_orc
 
 QUERIES = {
+    "op1_token_orc": token_orc.op1_token_orc,
+    "op3_mixing": mixing.op3_mixing,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
