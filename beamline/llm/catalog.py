@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, token_orc
+from . import exact_dedup, jaccard_join, mixing, token_orc
 
 QUERIES = {
     "op1_token_orc": token_orc.op1_token_orc,
     "op3_mixing": mixing.op3_mixing,
+    "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
