@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, mixing, token_orc
+from . import exact_dedup, jaccard_join, mixing, token_orc, topk_search, url_filter
 
 QUERIES = {
     "op1_token_orc": token_orc.op1_token_orc,
+    "op2_topk_search": topk_search.op2_topk_search,
     "op3_mixing": mixing.op3_mixing,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
+    "op4_url_filter": url_filter.op4_url_filter,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
 
 SQL = {
+    "op2_topk_search": topk_search.OP2_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
 }
