@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, lm_score, mixing, token_orc, topk_search, url_filter
+from . import exact_dedup, jaccard_join, language_crf, lm_score, mixing, token_orc, topk_search, url_filter
 
 QUERIES = {
     "op1_token_orc": token_orc.op1_token_orc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_mixing": mixing.op3_mixing,
     "op10_jaccard_join": jaccard_join.op10_jaccard_join,
     "op4_url_filter": url_filter.op4_url_filter,
+    "op5_language_crf": language_crf.op5_language_crf,
     "op6_lm_score": lm_score.op6_lm_score,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
