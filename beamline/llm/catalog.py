@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language_crf, lm_score, mixing, token_orc, topk_search, url_filter
+from . import exact_dedup, jaccard_join, language_crf, lm_score, mixing, piece_codec, token_orc, topk_search, url_filter
 
 QUERIES = {
     "op1_token_orc": token_orc.op1_token_orc,
@@ -13,6 +13,7 @@ QUERIES = {
     "op5_language_crf": language_crf.op5_language_crf,
     "op6_lm_score": lm_score.op6_lm_score,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_piece_codec": piece_codec.op8_piece_codec,
 }
 
 SQL = {
