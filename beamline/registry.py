@@ -3,8 +3,31 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 SQL: dict[str, str] = {}
+
+MODULES = (
+    "beamline.plans.takeoff",
+)
+
+
+def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a query, with the DuckDB SQL that gives its rows."""
+
+    def register(function: Query) -> Query:
+        QUERIES[name] = function
+        if sql:
+            SQL[name] = sql
+        return function
+
+    return register
+
+
+def load() -> None:
+    for module in MODULES:
+        import_module(module)
