@@ -147,7 +147,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sha = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256)
     again = gone.groupBy(id_col, "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() > 0
     out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (sha == F.col("_kept_sha")), "left_semi")
-    return out.dropDuplicates([id_col]) if again else out
+    return out.withColumn("_kept_sha", sha).dropDuplicates([id_col, "_kept_sha"]).drop("_kept_sha") if again else out
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:
