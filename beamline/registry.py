@@ -13,6 +13,9 @@ SQL: dict[str, str] = {}
 
 MODULES = (
     "beamline.plans.takeoff",
+    "beamline.plans.catalog",
+    "beamline.plans.records",
+    "beamline.plans.layout",
 )
 
 

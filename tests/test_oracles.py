@@ -5,6 +5,7 @@ import os
 from collections import Counter
 
 import duckdb
+import pandas as pd
 import pytest
 
 from beamline import registry
@@ -14,7 +15,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 
 
 def plain(value):
-    if value is None or isinstance(value, float) and math.isnan(value):
+    if value is None or value is pd.NA or value is pd.NaT or isinstance(value, float) and math.isnan(value):
         return None
     if isinstance(value, float):
         return round(value, 9)
