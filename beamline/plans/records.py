@@ -83,7 +83,7 @@ def html_scan(spark, sf_dir):
     "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS hour, event_type, count(*) AS n, count(DISTINCT user_id) AS users, round(sum(value), 2) AS value FROM events GROUP BY 1, 2",
 )
 def dashboard(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 2).alias("value"))
+    return table(spark, sf_dir, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"), "event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("users"), F.round(F.sum("value"), 2).alias("value"))
 
 
 @query(

@@ -16,6 +16,8 @@ MODULES = (
     "beamline.plans.catalog",
     "beamline.plans.records",
     "beamline.plans.layout",
+    "beamline.plans.learning",
+    "beamline.streaming.events",
 )
 
 
