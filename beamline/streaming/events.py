@@ -30,10 +30,11 @@ def totals(events: DataFrame) -> DataFrame:
 
 
 def streamed(spark: SparkSession, path: str, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The result of step over the stream of files under path, when all are read."""
+    """The result of step over the stream of the files of that name, when all are read."""
     base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/beamline").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
-    out = step(spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")))
+    folder, _, name = path.rpartition("/")
+    out = step(spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")))
     put = lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/result")
     out.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     return spark.read.schema(out.schema).parquet(f"{base}/result")
