@@ -20,11 +20,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .lm_score import held_out_of
+from .shared import written
 from .textbytes import Bytes, slices
 
-#: Labelled documents that the field is fitted on at most, the first by the hash of their ids.
+#: Labelled documents that the field is fitted on, as many of each language, the first by the hash of their ids (20 of each at least).
 FITTED_DOCUMENTS = 600
 FEATURES = 1 << 18
 STRETCH = 32
@@ -217,14 +219,19 @@ def _predict(shared):
 
 
 def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4, part: int = 2, documents: int = FITTED_DOCUMENTS) -> LanguageField | None:
-    """The field fitted on at most so many labelled documents outside the held-out part."""
+    """The field fitted on a bounded sample of the labelled documents outside the held-out part."""
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out_of(F.col(id_col), parts, part))
     chosen = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    # Ids first, then the texts of those chosen alone.
-    ids = [r["h"] for r in chosen.select(F.xxhash64("id").alias("h")).orderBy("h").limit(documents).collect()]
-    if not ids:
+    # Ids first, then the texts of those chosen alone; rank limits keep each task's share of a language small.
+    hashed = chosen.select("lang", F.xxhash64("id").alias("h")).distinct()
+    count = hashed.select("lang").distinct().count()
+    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
+    ids = hashed.withColumn("place", place).filter(F.col("place") <= max(20, documents // max(1, count))).select(F.col("lang").alias("l"), F.col("h").alias("h"))
+    ids = written(ids, "sample")
+    if not count:
         return None
-    rows = chosen.filter(F.xxhash64("id") <= ids[-1]).orderBy(F.xxhash64("id"), "text").limit(documents).collect()
+    picked = chosen.join(F.broadcast(ids), (F.xxhash64("id") == F.col("h")) & (F.col("lang") == F.col("l")), "left_semi")
+    rows = picked.orderBy("lang", F.xxhash64("id"), "text").limit(max(20 * count, documents)).collect()
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
