@@ -59,7 +59,7 @@ def test_scores_equal_the_library_search(codec, tmp_path):
     library = sentencepiece.SentencePieceProcessor(model_file=str(tmp_path / "m"))
     for text in ("the heaon thing", "Straße und Äpfel", "a  b   c", "hello world, this is a test"):
         ours = [x for part in codec.stream(SIGN + text.replace(" ", SIGN)) for x in part]
-        theirs = library.nbest_encode(text, nbest_size=1)[0]
+        theirs = library.nbest_encode(text, nbest_size=8)[0]
         assert sum(codec.score[i] for i in ours) == sum(codec.score[i] for i in theirs)
 
 
