@@ -17,6 +17,7 @@ MODULES = (
     "beamline.plans.records",
     "beamline.plans.layout",
     "beamline.plans.learning",
+    "beamline.plans.more",
     "beamline.streaming.events",
 )
 
