@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .lm_score import held_out_of
@@ -213,7 +214,7 @@ def _predict(shared):
             ok = np.array(batch.column("lettered").to_pylist(), dtype=bool) & (n > 0.5)
             score = np.where(ok, np.clip(total[np.arange(len(best)), best] / np.maximum(n, 1e-9), 0.0, 1.0), 0.0)
             names = [field.languages[b] if o else "und" for b, o in zip(best.tolist(), ok.tolist())]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score)], names=["id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score)], names=["row", "held_out", "lang_pred", "score"])
 
     return predict
 
@@ -235,16 +236,20 @@ def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     return fit([r["text"] for r in rows], [r["lang"] for r in rows])
 
 
-def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """One row per row of docs: id, held_out, lang_pred, score; languages are learned from rows that are not held out."""
-    spark = docs.sparkSession
+def judged(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """(row, held_out, lang_pred, score) of every row of docs; row is a struct of the named columns. No shuffle."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), held_out_of(F.col(id_col), 4, 2).alias("held_out"), text.alias("text"), text.rlike("\\p{L}").alias("lettered"))
+    rows = docs.select(F.struct(*columns).alias("row"), held_out_of(F.col(id_col), 4, 2).alias("held_out"), text.alias("text"), text.rlike("\\p{L}").alias("lettered"))
     field = fit_on(docs, id_col, text_col, lang_col)
     if field is None:
-        return rows.select(F.col("id").alias(id_col), "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    out = rows.mapInArrow(_predict(spark.sparkContext.broadcast(field)), "id long, held_out boolean, lang_pred string, score double")
-    return out.withColumnRenamed("id", id_col)
+        return rows.select("row", "held_out", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+    schema = T.StructType([rows.schema["row"], rows.schema["held_out"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
+    return rows.mapInArrow(_predict(docs.sparkSession.sparkContext.broadcast(field)), schema)
+
+
+def languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """One row per row of docs: id, held_out, lang_pred, score; languages are learned from rows that are not held out."""
+    return judged(docs, [id_col], id_col, text_col, lang_col).select(F.col(f"row.{id_col}").cast("long").alias(id_col), "held_out", "lang_pred", "score")
 
 
 def op5_language_crf(spark, sf_dir: str) -> DataFrame:

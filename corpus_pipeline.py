@@ -19,10 +19,9 @@ LEAST_LANGUAGE_SCORE = 0.4
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects documents without a letter and those of no clear language; rows that share an id go together."""
-    found = language_crf.languages(docs)
-    bad = found.filter((F.col("lang_pred") == "und") | (F.col("score") < LEAST_LANGUAGE_SCORE)).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """Rejects documents without a letter and those of no clear language."""
+    found = language_crf.judged(docs, docs.columns)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_LANGUAGE_SCORE)).select("row.*")
 
 
 def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,11 +35,14 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A document stands as often as the mix takes it."""
-    copies = mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("nth").alias("_nth"), "copies").filter("copies > 0")
-    nth = F.row_number().over(W.partitionBy("doc_id", "source", "_words").orderBy(F.xxhash64("text"))).cast("long")
-    numbered = docs.withColumn("_words", mixing.text_size(F.col("text"))).withColumn("_n", nth)
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size")) & (F.col("_n") == F.col("_nth"))
-    return numbered.join(copies, same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+    copies = written(mixing.mix(docs).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("nth").alias("_nth"), F.col("copies").alias("_copies")), "copies")
+    numbered = docs.withColumn("_words", mixing.text_size(F.col("text")))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_words") == F.col("_size"))
+    if copies.filter("_nth > 1").limit(1).count():
+        # Rows that repeat an id, a source and a size are numbered too.
+        nth = F.row_number().over(W.partitionBy("doc_id", "source", "_words").orderBy(F.xxhash64("text"))).cast("long")
+        numbered, same = numbered.withColumn("_n", nth), same & (F.col("_n") == F.col("_nth"))
+    return numbered.join(copies.filter("_copies > 0"), same).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select(docs.columns)
 
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
