@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,8 @@ SEGMENTS = 64
 BITMAP_BITS = 1024
 #: Classes of one prefix n-gram that meet in one task at most, twice over.
 CHUNK = 256
+#: Candidate pairs beyond a spanning tree that a task gives for each class, so that a pair that fails seldom costs a round.
+SPARE = 2
 #: Classes to verify up to this number are sent to all tasks (16 MB of ids); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _TURN = [np.uint64(x) for x in (0x9FB21C651E98DF25, 0xD1B54A32D192ED03, 0x8CB92BA72F3D8DD7, 0xAEF17502108EF2D9, 0xDB4F0B9175AE2165)]
@@ -141,53 +144,86 @@ def _overlap_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def _candidates(percent: int):
-    """Candidate pairs of each bucket that join what is not yet joined: rows (a, b) of classes, (la, lb) of their components."""
+    """Candidate pairs of each bucket that join what is not yet joined, and a few to spare.
 
-    def pairs_of(rows: pd.DataFrame, parent: dict[int, int], out: list[tuple[int, int, int, int]]) -> None:
-        key = rows[["token", "i", "j"]].to_numpy(np.int64)
-        n = len(key)
-        last = np.ones(n, dtype=bool)
-        last[:-1] = (key[1:] != key[:-1]).any(axis=1)
-        stop = np.flatnonzero(last)
-        left = stop[np.searchsorted(stop, np.arange(n))] - np.arange(n)
-        size, pos, cls, label, cross = (rows[c].to_numpy(np.int64) for c in ("size", "pos", "cls", "label", "side"))
-        mixed = (key[:, 1] != key[:, 2]) if n else np.zeros(0, bool)
-        bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(n, -1)
+    Rows (a, b) of classes, (la, lb) of their components so far, and the tree of this task that they hang on.
+    """
+
+    def pairs_of(rows: pd.DataFrame, parent: dict[int, int], spare: dict[int, int], out: dict[tuple[int, int], tuple[int, int]]) -> None:
+        size, cls, label = (rows[c].to_numpy(np.int64) for c in ("size", "cls", "label"))
+        bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(len(rows), -1)
         failed = {(c, x) for c, no in zip(cls.tolist(), rows["failed"]) if no is not None for x in no}
-        for d in range(1, int(left.max(initial=0)) + 1):
-            a = np.flatnonzero(left >= d)
-            b = a + d
-            need = _overlap_needed(size[a], size[b], percent)
-            ok = (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])) & (1 + np.minimum(size[a] - pos[a], size[b] - pos[b]) - 1 >= need) & (label[a] != label[b]) & (~mixed[a] | (cross[a] != cross[b]))
-            a, b, need = a[ok], b[ok], need[ok]
+        for a, b, need in _paired(rows, percent):
+            apart = label[a] != label[b]
+            a, b, need = a[apart], b[apart], need[apart]
             far = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
             ok = size[a] + size[b] - far >= 2 * need
             for x, y in zip(a[ok].tolist(), b[ok].tolist()):
                 p, q = find(parent, int(label[x])), find(parent, int(label[y]))
-                if p != q and (int(min(cls[x], cls[y])), int(max(cls[x], cls[y]))) not in failed:
+                low, high = int(min(cls[x], cls[y])), int(max(cls[x], cls[y]))
+                if (p != q or (spare.get(low, 0) < SPARE and spare.get(high, 0) < SPARE)) and (low, high) not in failed and (low, high) not in out:
+                    if p == q:
+                        spare[low], spare[high] = spare.get(low, 0) + 1, spare.get(high, 0) + 1
                     parent[max(p, q)] = min(p, q)
-                    out.append((int(min(cls[x], cls[y])), int(max(cls[x], cls[y])), int(label[x]), int(label[y])))
+                    out[low, high] = (int(label[x]), int(label[y]))
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parent, held = {}, None
-        for batch in batches:
-            rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            key = rows[["token", "i", "j"]].to_numpy(np.int64)
-            whole = np.flatnonzero((key != key[-1]).any(axis=1))
-            cut = int(whole[-1]) + 1 if len(whole) else 0
-            held = rows.iloc[cut:]
-            out: list[tuple[int, int, int, int]] = []
-            if cut:
-                pairs_of(rows.iloc[:cut], parent, out)
-            yield pd.DataFrame(out, columns=["a", "b", "la", "lb"]).astype("int64")
-        if held is not None and len(held):
-            out = []
-            pairs_of(held, parent, out)
-            yield pd.DataFrame(out, columns=["a", "b", "la", "lb"]).astype("int64")
+        parent, spare, out = {}, {}, {}
+        for rows in _whole_buckets(batches):
+            pairs_of(rows, parent, spare, out)
+        part = TaskContext.get().partitionId()
+        rows = [(a, b, la, lb, part, find(parent, la)) for (a, b), (la, lb) in out.items()]
+        yield pd.DataFrame(rows, columns=["a", "b", "la", "lb", "part", "tree"]).astype("int64")
 
     return candidates
 
 
+def _whole_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Sorted rows in frames that never cut a bucket."""
+    held = None
+    for batch in batches:
+        rows = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        key = rows[["token", "i", "j"]].to_numpy(np.int64)
+        others = np.flatnonzero((key != key[-1]).any(axis=1))
+        cut = int(others[-1]) + 1 if len(others) else 0
+        held = rows.iloc[cut:]
+        if cut:
+            yield rows.iloc[:cut]
+    if held is not None and len(held):
+        yield held
+
+
+def _partners(percent: int):
+    """Of each bucket's groups those that another may be paired with, by size and place."""
+
+    def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_buckets(batches):
+            chosen = np.zeros(len(rows), dtype=bool)
+            for a, b, _ in _paired(rows, percent):
+                chosen[a] = chosen[b] = True
+            yield rows.loc[chosen, ["token", "grp", "pos"]]
+
+    return partners
+
+
+def _paired(rows: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs within buckets, by distance in the sorted rows, that size and place allow: two row numbers and the overlap they need."""
+    key = rows[["token", "i", "j"]].to_numpy(np.int64)
+    n = len(key)
+    last = np.ones(n, dtype=bool)
+    last[:-1] = (key[1:] != key[:-1]).any(axis=1)
+    stop = np.flatnonzero(last)
+    left = stop[np.searchsorted(stop, np.arange(n))] - np.arange(n)
+    size, pos, side = (rows[c].to_numpy(np.int64) for c in ("size", "pos", "side"))
+    mixed = key[:, 1] != key[:, 2]
+    for d in range(1, int(left.max(initial=0)) + 1):
+        a = np.flatnonzero(left >= d)
+        b = a + d
+        need = _overlap_needed(size[a], size[b], percent)
+        ok = (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])) & (np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need) & (~mixed[a] | (side[a] != side[b]))
+        yield a[ok], b[ok], need[ok]
+
+
 def _sets(n: int):
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (y for x in batches for y in slices(x)):
@@ -199,19 +235,28 @@ def _sets(n: int):
     return sets
 
 
-def _buckets(postings: DataFrame) -> DataFrame:
+def _dealt(rows: DataFrame, by: str) -> DataFrame:
+    """Rows of each token of two or more rows, dealt into chunks; chunk i meets chunk j in bucket (token, i, j)."""
+    many = written(rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("token").alias("t"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "counts")
+    own = rows.join(many, F.col("token") == F.col("t")).drop("t").withColumn("own", F.pmod(F.xxhash64(by), F.col("chunks")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("other")).cast("int")).drop("own", "other", "chunks")
+
+
+def _together(rows: DataFrame) -> DataFrame:
+    return rows.repartition(partitions(rows.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
+
+
+def _buckets(postings: DataFrame, percent: int) -> DataFrame:
     """(token, i, j, side, cls, size, pos, bits): the classes that meet at each prefix n-gram, by chunks."""
     members = written(postings.filter("pos < 0").groupBy("grp", "cls", "size").agg(F.first("bits").alias("bits")), "members")
     tokens = postings.filter("pos >= 0").select("token", "grp", "size", "pos")
-    shared = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("token").alias("t"))
-    live = written(tokens.join(shared, F.col("token") == F.col("t")).select("token", "grp", "pos").distinct(), "postings")
+    shared = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("token").alias("t")), "shared")
+    live = written(tokens.join(shared, F.col("token") == F.col("t")).select("token", "grp", "size", "pos").distinct(), "postings")
+    paired = _together(_dealt(live, "grp")).mapInPandas(_partners(percent), "token long, grp long, pos long").distinct()
     inner = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.xxhash64("grp").alias("token"), "grp", F.lit(0).cast("long").alias("pos"))
-    met = live.union(inner)
-    rows = written(met.join(members, "grp").select("token", "cls", "size", "pos", "bits"), "met")
-    many = rows.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("token").alias("t"), F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-    dealt = rows.join(many, F.col("token") == F.col("t")).withColumn("own", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
-    return dealt.withColumn("other", other).select("token", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "cls", "size", "pos", "bits")
+    met = written(paired.union(inner), "group-pairs")
+    return _dealt(written(met.join(members, "grp").select("token", "cls", "size", "pos", "bits"), "met"), "cls")
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -226,7 +271,7 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     rows = survey.filter("segment is null").select("id", "size", "cls")
     classes = written(rows.filter("size > 0").groupBy("cls", "size").agg(F.min("id").alias("rep")), "classes")
     postings = written(texts.select("text").mapInArrow(_postings(sketch, n, percent), "token long, grp long, cls long, size long, pos long, bits binary"), "prefixes")
-    buckets = written(_buckets(postings), "buckets")
+    buckets = written(_buckets(postings, percent), "buckets")
     labels = failed = None
     links = []
     while True:
@@ -237,9 +282,10 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             now = now.join(no, now["cls"] == no["f"], "left").drop("f")
         else:
             now = now.withColumn("label", F.col("cls")).withColumn("failed", F.lit(None).cast("array<long>"))
-        found = now.repartition(partitions(spark), "token", "i", "j").sortWithinPartitions("token", "i", "j").mapInPandas(_candidates(percent), "a long, b long, la long, lb long")
-        pairs = written(found.groupBy("a", "b").agg(F.min("la").alias("la"), F.min("lb").alias("lb")), "pairs")
-        if not pairs.limit(1).count():
+        now = written(now, "labelled") if labels is not None else now
+        found = written(_together(now).mapInPandas(_candidates(percent), "a long, b long, la long, lb long, part long, tree long"), "found")
+        pairs = found.select("a", "b").distinct()
+        if not found.limit(1).count():
             break
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct().join(classes, F.col("wanted") == F.col("cls")).select("wanted", "rep")
         few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
@@ -255,8 +301,12 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         for x in links[1:]:
             edges = edges.union(x)
         labels = written(components(edges), "labels")
-        if not bad.limit(1).count():
+        # What hangs on trees whose pairs were all linked is settled; the rest meets again.
+        broken = found.join(bad, ["a", "b"], "left_semi").select("part", "tree").distinct()
+        open_ = written(found.join(broken, ["part", "tree"], "left_semi").select(F.explode(F.array("la", "lb")).alias("open")).distinct(), "open")
+        if not open_.limit(1).count():
             break
+        buckets = now.join(open_, F.col("label") == F.col("open"), "left_semi").drop("label", "failed")
     if labels is None:
         of = classes.select(F.col("cls").alias("c"), F.col("size").alias("s"), F.col("rep").alias("low"))
     else:
