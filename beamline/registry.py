@@ -18,6 +18,8 @@ MODULES = (
     "beamline.plans.layout",
     "beamline.plans.learning",
     "beamline.plans.more",
+    "beamline.plans.decisions",
+    "beamline.plans.exports",
     "beamline.streaming.events",
 )
 
