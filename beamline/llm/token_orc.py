@@ -11,7 +11,9 @@ an id lie together, ordered by text; an empty table gives no rows; other columns
 from __future__ import annotations
 
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -54,12 +56,17 @@ class SegmentEncoder(dict):
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = iter(range(256, 512))
         self.shown = {b: chr(b) if b in plain else chr(next(rest)) for b in range(256)}
+        self.stops = {x: self.piece(x) for x in ".,"}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(piece.encode().decode("latin1").translate(self.shown))], dtype="<u4").tobytes()
+        shown = piece.encode().decode("latin1").translate(self.shown)
+        ids = array("I", [t.id for t in self.model.tokenize(shown)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def segment(self, text: str) -> bytes:
         if not _PLAIN.fullmatch(text):
@@ -70,7 +77,13 @@ class SegmentEncoder(dict):
         return b"".join([self[x[1:]] if x[0] == " " and len(x) > 1 else self.piece(x) for x in parts])
 
     def __missing__(self, rest: str) -> bytes:
-        out = self.segment(f" {rest}")
+        if rest.isalpha() and _PLAIN.fullmatch(rest):
+            # One word is one piece; a word before a stop or comma, the usual case, is two.
+            out = self.piece(f" {rest}")
+        elif rest[-1:] in (".", ",") and (word := rest[:-1]).isalpha() and _PLAIN.fullmatch(word):
+            out = self[word] + self.stops[rest[-1]]
+        else:
+            out = self.segment(f" {rest}")
         if len(self) >= REMEMBERED:
             self.clear()
         self[rest] = out

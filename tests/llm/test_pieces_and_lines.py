@@ -6,7 +6,7 @@ import pyarrow as pa
 import pytest
 
 from beamline.llm.line_dedup import drop_repeated_lines, line_report, repeated_lines
-from beamline.llm.piece_codec import SIGN, PieceCodec, decode_pieces, encode_pieces
+from beamline.llm.piece_codec import SIGN, PieceCodec, checked_pieces, decode_pieces, encode_pieces
 
 from .conftest import ROWS
 
@@ -75,7 +75,17 @@ def test_round_trip_of_tables(request, table):
     assert sorted((low(r.doc_id), r.decoded) for r in got) == sorted((low(d), (t or "").replace(SIGN, " ")) for d, t, *_ in ROWS)
 
 
+def test_checked_pieces(clashing):
+    import hashlib
+
+    got = checked_pieces(clashing, MODEL).collect()
+    low = lambda d: -1 if d is None else d
+    assert all(r.round_trip and len(r["ids"]) == r.n_ids for r in got)
+    assert sorted((low(r.doc_id), r.decoded_sha256) for r in got) == sorted((low(d), hashlib.sha256((t or "").replace(SIGN, " ").encode()).hexdigest()) for d, t, *_ in ROWS)
+
+
 def test_pieces_empty(no_docs):
+    assert checked_pieces(no_docs, MODEL).count() == 0
     assert decode_pieces(encode_pieces(no_docs, MODEL), MODEL).count() == 0
 
 
