@@ -11,7 +11,9 @@ from ..sources.tables import PARTS_SQL, PREDICTIONS_SQL, labelled_parts, predict
 from .layout import _BOXES, _boxes
 from .takeoff import _COMPARED_SQL, _compared
 
-_N = F.count(F.lit(1)).alias("n")
+
+def _n():
+    return F.count(F.lit(1)).alias("n")
 
 
 @query(
@@ -40,13 +42,13 @@ def _reason():
 
 @query("discard_counters", f"WITH {PREDICTIONS_SQL} SELECT coalesce({_REASON}, 'kept') AS reason, count(*) AS n FROM predictions GROUP BY 1")
 def discard_counters(spark, sf_dir):
-    return predictions(spark, sf_dir).groupBy(F.coalesce(_reason(), F.lit("kept")).alias("reason")).agg(_N)
+    return predictions(spark, sf_dir).groupBy(F.coalesce(_reason(), F.lit("kept")).alias("reason")).agg(_n())
 
 
 @query("abstention_codes", f"WITH {PREDICTIONS_SQL} SELECT page, {_REASON} AS code, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity FROM predictions WHERE {_REASON} IS NOT NULL GROUP BY 1, 2")
 def abstention_codes(spark, sf_dir):
     rows = predictions(spark, sf_dir).withColumn("code", _reason()).filter("code is not null")
-    return rows.groupBy("page", "code").agg(_N, F.sum("quantity").alias("quantity"))
+    return rows.groupBy("page", "code").agg(_n(), F.sum("quantity").alias("quantity"))
 
 
 @query(
@@ -57,20 +59,20 @@ SELECT bucket, count(*) AS n FROM b GROUP BY bucket""",
 def ambiguity_buckets(spark, sf_dir):
     options = predictions(spark, sf_dir).filter("quantity >= 49").groupBy("page", "family").agg(F.countDistinct("section").alias("options"))
     bucket = F.when(F.col("options") == 0, "0").when(F.col("options") == 1, "1").when(F.col("options") <= 5, "2-5").otherwise(">5")
-    return options.groupBy(bucket.alias("bucket")).agg(_N)
+    return options.groupBy(bucket.alias("bucket")).agg(_n())
 
 
 @query("confidence_bands", f"WITH {PREDICTIONS_SQL} SELECT source, CASE WHEN confidence >= 0.8 THEN 'high' WHEN confidence >= 0.55 THEN 'medium' WHEN confidence > 0 THEN 'low' ELSE 'none' END AS band, count(*) AS n FROM predictions GROUP BY 1, 2")
 def confidence_bands(spark, sf_dir):
     c = F.col("confidence")
     band = F.when(c >= 0.8, "high").when(c >= 0.55, "medium").when(c > 0, "low").otherwise("none")
-    return predictions(spark, sf_dir).groupBy("source", band.alias("band")).agg(_N)
+    return predictions(spark, sf_dir).groupBy("source", band.alias("band")).agg(_n())
 
 
 @query("validation_summary", f"WITH {_COMPARED_SQL}, l AS (SELECT CASE WHEN delta = 0 THEN 'PASS' WHEN abs(delta) = 1 OR expected = 0 THEN 'WARNING' ELSE 'FAIL' END AS level FROM compared) SELECT level, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 2) AS share FROM l GROUP BY level")
 def validation_summary(spark, sf_dir):
     level = F.when(F.col("delta") == 0, "PASS").when((F.abs("delta") == 1) | (F.col("expected") == 0), "WARNING").otherwise("FAIL")
-    levels = _compared(spark, sf_dir).groupBy(level.alias("level")).agg(_N)
+    levels = _compared(spark, sf_dir).groupBy(level.alias("level")).agg(_n())
     return levels.join(levels.agg(F.sum("n").alias("all"))).select("level", "n", F.round(100.0 * F.col("n") / F.col("all"), 2).alias("share"))
 
 
@@ -83,7 +85,7 @@ def repeat_counts(spark, sf_dir):
 
 @query("family_summary", f"WITH {PREDICTIONS_SQL} SELECT family, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity, min(quantity) AS least, max(quantity) AS most, count(DISTINCT page) AS pages FROM predictions GROUP BY family")
 def family_summary(spark, sf_dir):
-    return predictions(spark, sf_dir).groupBy("family").agg(_N, F.sum("quantity").alias("quantity"), F.min("quantity").alias("least"), F.max("quantity").alias("most"), F.countDistinct("page").alias("pages"))
+    return predictions(spark, sf_dir).groupBy("family").agg(_n(), F.sum("quantity").alias("quantity"), F.min("quantity").alias("least"), F.max("quantity").alias("most"), F.countDistinct("page").alias("pages"))
 
 
 @query(
@@ -97,7 +99,7 @@ def baseline_rows(spark, sf_dir):
 
     w = W.partitionBy("page").orderBy("cy", "box")
     rows = islands(_boxes(spark, sf_dir), ["page"], [F.col("cy"), F.col("box")], F.col("cy") - F.lag("cy").over(w) > 10)
-    return rows.groupBy("page", "island").agg(_N, F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"))
+    return rows.groupBy("page", "island").agg(_n(), F.min("x0").alias("x0"), F.max("x1").alias("x1"), F.min("y0").alias("y0"))
 
 
 @query("spacing", f"WITH {_BOXES} SELECT page, box, x0 - lag(x1) OVER (PARTITION BY page ORDER BY x0, box) AS gap FROM b")
@@ -123,12 +125,12 @@ def occurrence_counters(spark, sf_dir):
 def semantic_collapse(spark, sf_dir):
     """One row a page and section: the best confidence, how many it stands for, and their sources."""
     rows = predictions(spark, sf_dir).filter("section is not null")
-    return rows.groupBy("page", "section").agg(F.max("confidence").alias("confidence"), _N, F.array_sort(F.collect_set("source")).alias("sources"))
+    return rows.groupBy("page", "section").agg(F.max("confidence").alias("confidence"), _n(), F.array_sort(F.collect_set("source")).alias("sources"))
 
 
 @query("provenance_dedup", "SELECT source, lang, sha256(text) AS content, min(doc_id) AS first, count(*) AS n FROM documents GROUP BY source, lang, sha256(text)")
 def provenance_dedup(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source", "lang", F.sha2("text", 256).alias("content")).agg(F.min("doc_id").alias("first"), _N)
+    return table(spark, sf_dir, "documents").groupBy("source", "lang", F.sha2("text", 256).alias("content")).agg(F.min("doc_id").alias("first"), _n())
 
 
 @query("unique_tokens", f"WITH {PARTS_SQL} SELECT family, depth, list_sort(list_distinct(list(printed))) AS tokens FROM printed GROUP BY family, depth")
@@ -146,7 +148,7 @@ def newest_retained(spark, sf_dir):
 @query("correction_counts", f"WITH {PREDICTIONS_SQL} SELECT page, count(*) FILTER (source = 'CORRECTION') AS corrected, count(*) FILTER (source = 'FUSION') AS fused, count(*) AS n FROM predictions GROUP BY page")
 def correction_counts(spark, sf_dir):
     of = lambda s: F.count(F.when(F.col("source") == s, 1))
-    return predictions(spark, sf_dir).groupBy("page").agg(of("CORRECTION").alias("corrected"), of("FUSION").alias("fused"), _N)
+    return predictions(spark, sf_dir).groupBy("page").agg(of("CORRECTION").alias("corrected"), of("FUSION").alias("fused"), _n())
 
 
 @query("representative_rows", f"WITH {PREDICTIONS_SQL} SELECT section, page, confidence, quantity FROM predictions WHERE section IS NOT NULL QUALIFY row_number() OVER (PARTITION BY section ORDER BY confidence DESC, quantity DESC, page, l_orderkey, l_linenumber, l_partkey) = 1")
