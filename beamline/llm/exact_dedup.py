@@ -133,7 +133,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     verified = texts.join(F.broadcast(prints_of) if few else prints_of, "fp", "left_semi").groupBy("fp", "norm").agg(F.count(F.lit(1)).alias("group_size"))
     groups = verified.select("fp", F.unhex(F.sha2("norm", 256)).alias("sha"), "group_size")
     best = suspects.groupBy("fp", "sha").agg(F.max(F.struct("id", "address", "place")).alias("best"))
-    decided = suspects.join(groups.join(best, ["fp", "sha"]), ["fp", "sha"])
+    # One row a group, written before rows meet it: both sides of the join are then plain exchanges, and a large group's can be split.
+    decided = suspects.join(written(groups.join(best, ["fp", "sha"]), "groups"), ["fp", "sha"])
     stays = (F.col("address") == F.col("best.address")) & (F.col("place") == F.col("best.place"))
     out = decided.select(F.col("id"), F.col("best.id").alias("keep_id"), "group_size", stays.alias("kept"), "sha")
     alone = rows.filter("not suspect").select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "sha")
