@@ -4,7 +4,9 @@ Only lines that occur more than once can be part of a repeated run; every other
 suffixes that begin at such lines are sorted by prefix doubling: each round ranks pairs of ranks, the
 distinct pairs sorted by range over all tasks, until no rank splits any more. Neighbours in suffix order
 whose longest common prefix reaches the least length form an interval, a repeated run of lines: its
-first occurrence stays and the lines of later ones are deleted. Overlapping intervals make up maximal runs.
+first occurrence stays and that many lines of later ones are deleted. The common prefixes come from the
+ranks of the rounds, counted no further than decides this. A reported run is a stretch of neighbouring
+deleted lines, as in OP9_SQL, also where they were copied from several places.
 
 The order of occurrences is by document id (null first), then by a hash of the text, then by line. Defined
 cases: a null text stays null and has no lines; an empty text has one empty line; lines are compared byte
@@ -14,6 +16,11 @@ rows; other columns are kept by drop_repeated_lines and ignored by the report.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -46,32 +53,69 @@ def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return rows.select("id", "row", F.posexplode(F.transform("lines", lambda x: F.xxhash64(x))).alias("pos", "line"))
 
 
-def suffix_ranks(sequence: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """(suffixes with their final rank, suffixes with their rank by the first `least` symbols).
+def suffix_order(sequence: DataFrame, least: int) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
+    """(suffixes with their rank in suffix order, [(length, suffixes ranked by that many symbols)] for the lengths up to `least`).
 
-    sequence: (doc, pos, run, line); suffixes end with their run, the stretch of neighbouring positions.
+    sequence: (doc, pos, run, size, line); suffixes end with their run, the stretch of neighbouring positions, size lines on.
     """
     ranks, count = _ranked(sequence, ["line"], "line-ranks")
-    now = written(sequence.join(ranks, "line").select("doc", "run", "pos", F.col("rank").alias("r")), "suffixes")
-    by_prefix = now if least <= 1 else None
-    length = 1
+    now = written(sequence.join(ranks, "line").select("doc", "run", "pos", "size", F.col("rank").alias("r")), "suffixes")
+    levels, length = [(1, now)], 1
     while True:
-        step = length if by_prefix is not None else min(length, least - length)
         ahead = W.partitionBy("doc", "run").orderBy("pos")
-        pairs = now.withColumn("s", F.coalesce(F.lead("r", step).over(ahead), F.lit(0).cast("long")))
+        pairs = now.withColumn("s", F.coalesce(F.lead("r", length).over(ahead), F.lit(0).cast("long")))
         pairs = written(pairs, "rank-pairs")
         ranks, found = _ranked(pairs, ["r", "s"], "pair-ranks")
-        now = written(pairs.join(ranks, ["r", "s"]).select("doc", "run", "pos", F.col("rank").alias("r")), "suffixes")
-        length += step
-        if by_prefix is None and length == least:
-            by_prefix = now
-        if found == count and by_prefix is not None:
-            return now, by_prefix
+        now = written(pairs.join(ranks, ["r", "s"]).select("doc", "run", "pos", "size", F.col("rank").alias("r")), "suffixes")
+        if found == count:
+            return now, levels
+        length *= 2
+        if length <= least:
+            levels.append((length, now))
         count = found
 
 
+def neighbour_prefixes(order: DataFrame, levels: list[tuple[int, DataFrame]]) -> DataFrame:
+    """(r, lcp): the longest common prefix of the suffixes of each rank with those of the rank before, counted up to the sum of the levels' lengths."""
+    of_rank = order.groupBy("r").agg(F.min(F.struct("doc", "run", "pos", "size")).alias("a"))
+    of_rank = written(of_rank, "rank-suffixes")
+    pairs = of_rank.join(of_rank.select((F.col("r") + 1).alias("r"), F.col("a").alias("b")), "r", "left").withColumn("lcp", F.lit(0).cast("long"))
+    for length, level in reversed(levels):
+        for side in "ab":
+            at = level.select(F.col("doc").alias("d"), F.col("run").alias("u"), F.col("pos").alias("q"), F.col("r").alias(f"r{side}"))
+            pairs = pairs.join(at, (F.col(f"{side}.doc") == F.col("d")) & (F.col(f"{side}.run") == F.col("u")) & (F.col(f"{side}.pos") + F.col("lcp") == F.col("q")), "left").drop("d", "u", "q")
+        # Suffixes that end within the length have equal ranks where they are the same to their ends.
+        more = F.least(F.col("lcp") + length, F.col("a.size"), F.col("b.size"))
+        pairs = pairs.withColumn("lcp", F.when(F.col("ra") == F.col("rb"), more).otherwise(F.col("lcp"))).drop("ra", "rb")
+    return pairs.select("r", "lcp")
+
+
+def _beginnings(least: int):
+    def begin(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, last = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            r = batch["r"].to_numpy(np.int64)
+            starts = np.maximum.accumulate(np.append(last, np.where(batch["lcp"].to_numpy() < least, r, 0)))[1:]
+            last = int(starts[-1]) if len(starts) else last
+            yield pd.DataFrame({"range": np.full(len(r), part), "r": r, "start": starts})
+
+    return begin
+
+
+def prefix_intervals(prefixes: DataFrame, least: int) -> DataFrame:
+    """(r, i): ranks with the first rank of their interval, in which every neighbours' common prefix is `least` or longer.
+
+    Ranks are dealt by range and cut in order; one row a range carries an interval on into the next.
+    """
+    ranged = prefixes.repartitionByRange(partitions(prefixes.sparkSession), "r").sortWithinPartitions("r")
+    placed = written(ranged.mapInPandas(_beginnings(least), "range long, r long, start long"), "interval-starts")
+    before = W.orderBy("range").rowsBetween(W.unboundedPreceding, -1)
+    carried = placed.groupBy("range").agg(F.max("start").alias("last")).select("range", F.max("last").over(before).alias("carried"))
+    return placed.join(F.broadcast(carried), "range").select("r", F.when(F.col("start") > 0, F.col("start")).otherwise(F.col("carried")).alias("i"))
+
+
 def repeated_lines(docs: DataFrame, least: int = LEAST_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, nth, pos, run_lines): the lines to delete, with the length of the maximal deleted run that each is in."""
+    """(id, row, nth, pos, run_lines): the lines to delete, with the length of the stretch of deleted lines that each is in."""
     lines = written(line_table(docs, id_col, text_col), "lines")
     # Rows that are equal throughout are told apart by number.
     numbered = lines.withColumn("nth", F.row_number().over(W.partitionBy("id", "row", "pos").orderBy("line")))
@@ -80,13 +124,14 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_LINES, id_col: str = "doc
     doc = F.struct("id", "row", "nth").alias("doc")
     shared = numbered.join(many, F.col("line") == F.col("l")).select(doc, "pos", "line")
     island = F.col("pos") - F.row_number().over(W.partitionBy("doc").orderBy("pos"))
-    sequence = written(shared.withColumn("run", island), "sequence")
-    order, by_prefix = suffix_ranks(sequence, least)
-    # Only suffixes with that many symbols left in their run can begin a repeated run.
-    last = sequence.groupBy("doc", "run").agg(F.max("pos").alias("end"))
-    long_ = written(by_prefix.join(last, ["doc", "run"]).filter(F.col("end") - F.col("pos") + 1 >= least).select("doc", "pos", "r"), "beginnings")
-    intervals = written(long_.groupBy("r").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("r").alias("i"), "first"), "intervals")
-    later = long_.join(intervals, F.col("r") == F.col("i")).filter(F.struct("doc", "pos") > F.col("first"))
+    size = F.max("pos").over(W.partitionBy("doc", "run")) - F.col("pos") + 1
+    sequence = written(shared.withColumn("run", island).withColumn("size", size), "sequence")
+    order, levels = suffix_order(sequence, least)
+    of_rank = written(prefix_intervals(neighbour_prefixes(order, levels), least), "rank-intervals")
+    # A suffix that is shorter shares its rank with its likes alone.
+    long_ = written(order.filter(F.col("size") >= least).join(of_rank, "r").select("doc", "pos", "i"), "beginnings")
+    intervals = written(long_.groupBy("i").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("i").alias("j"), "first"), "intervals")
+    later = long_.join(intervals, F.col("i") == F.col("j")).filter(F.struct("doc", "pos") > F.col("first"))
     gone = later.select("doc", F.explode(F.sequence(F.col("pos"), F.col("pos") + least - 1)).alias("pos")).distinct()
     run = F.col("pos") - F.row_number().over(W.partitionBy("doc").orderBy("pos"))
     marked = gone.withColumn("island", run)

@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -119,6 +120,25 @@ def test_repeated_lines(spark, least):
         assert cut[d] == (t if d not in want else "\n".join(x for i, x in enumerate(t.split("\n")) if i not in want[d]))
 
 
+@pytest.mark.parametrize("least", [1, 2, 3, 5])
+def test_intervals_of_the_suffix_order(spark, least):
+    """Ranks, common prefixes of neighbours and their intervals against sorting all suffixes."""
+    from beamline.llm.line_dedup import neighbour_prefixes, prefix_intervals, suffix_order
+
+    rng = random.Random(least)
+    runs = [[rng.randrange(1, 4) for _ in range(rng.randrange(1, 14))] for _ in range(12)] + [[7] * 9, [7] * 9]
+    rows = [(d, i, 0, len(x) - i, line) for d, x in enumerate(runs) for i, line in enumerate(x)]
+    order, levels = suffix_order(spark.createDataFrame(rows, "doc long, pos long, run long, size long, line long"), least)
+    suffixes = {(d, i): tuple(x[i:]) for d, x in enumerate(runs) for i in range(len(x))}
+    ordered = sorted(set(suffixes.values()))
+    assert {(r.doc, r.pos): r.r for r in order.collect()} == {k: ordered.index(x) + 1 for k, x in suffixes.items()}
+    common = [0] + [next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b))) for a, b in itertools.pairwise(ordered)]
+    prefixes = neighbour_prefixes(order, levels)
+    assert [min(r.lcp, least) for r in prefixes.orderBy("r").collect()] == [min(c, least) for c in common]
+    starts = itertools.accumulate((i + 1 if c < least else 0 for i, c in enumerate(common)), max)
+    assert [r.i for r in prefix_intervals(prefixes, least).orderBy("r").collect()] == list(starts)
+
+
 def test_lines_edge_cases(clashing, no_docs):
     got = drop_repeated_lines(clashing)
     assert got.columns == clashing.columns and got.count() == len(ROWS)
