@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .shared import written
@@ -33,24 +33,25 @@ def _stars(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"a": nodes, "b": [find(parent, x) for x in nodes]}, columns=["a", "b"]).astype("int64")
 
 
-def _settled(edges: DataFrame) -> tuple[int, int]:
-    got = edges.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")), F.lit(0)).alias("all")).first()
-    return got["n"], int(got["all"])
+def _kept(stars: DataFrame) -> tuple[DataFrame, tuple[int, int]]:
+    """stars as a written table, with its rows' number and a sum that changes when any of them does; both come with the write."""
+    seen = Observation()
+    got = written(stars.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)")).alias("all")), "stars")
+    return got, (seen.get["n"], int(seen.get["all"] or 0))
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of edges (a, b); label is the smallest node that can be reached."""
-    now = written(edges.filter("a <> b").mapInPandas(_stars, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "stars")
-    seen = _settled(now)
+    now, seen = _kept(edges.filter("a <> b").mapInPandas(_stars, "a long, b long").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     while True:
         both = now.union(now.select("b", "a"))
         low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m"))
-        large = both.join(low, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        large = both.join(low, F.col("a") == F.col("u")).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b")
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), "m")
         small = down.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct("a", F.col("m").alias("b")))).alias("e")).select("e.*").filter("a <> b").distinct()
-        now = written(small, "stars")
-        was, seen = seen, _settled(now)
+        was = seen
+        now, seen = _kept(small)
         if was == seen:
             break
     ends = now.groupBy("a").agg(F.min("b").alias("label")).withColumnRenamed("a", "node")

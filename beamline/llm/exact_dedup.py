@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import lower_ascii, partitions, written
+from .shared import fresh, lower_ascii, partitions, written
 
 #: Rows that one block of a sender covers at most, over all owners.
 BLOCK_ROWS = 262_144
@@ -142,13 +142,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that exact_dedup keeps, with all their columns; a null id counts as a value."""
-    gone = exact_dedup(docs, id_col, text_col)
-    kept = gone.filter("kept").select(F.col(id_col).alias("_kept_id"), F.col("text_sha256").alias("_kept_sha"))
-    sha = F.sha2(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), 256)
-    again = gone.groupBy(id_col, "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() > 0
-    out = docs.join(kept, F.col(id_col).eqNullSafe(F.col("_kept_id")) & (sha == F.col("_kept_sha")), "left_semi")
-    return out.withColumn("_kept_sha", sha).dropDuplicates([id_col, "_kept_sha"]).drop("_kept_sha") if again else out
+    """The rows of docs that exact_dedup keeps, with all their columns: of equal texts the row with the largest id.
+
+    A null text equals an empty one; a null id is smaller than any other, and counts as a value; of rows
+    that repeat id and text one stays, whichever comes first; long texts are compared whole; an empty table
+    gives an empty table; columns may have any names.
+    """
+    gone = exact_dedup(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")))
+    name = fresh(docs.columns, "kept")
+    kept = gone.filter("kept").select(F.struct("doc_id", "text_sha256").alias(name))
+    sha = F.sha2(lower_ascii(F.coalesce(docs[text_col], F.lit(""))), 256)
+    again = gone.groupBy("doc_id", "text_sha256").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").limit(1).count() > 0
+    out = docs.join(kept, docs[id_col].cast("long").eqNullSafe(kept[name]["doc_id"]) & (sha == kept[name]["text_sha256"]), "left_semi")
+    return out.withColumn(name, sha).dropDuplicates([id_col, name]).drop(name) if again else out
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 Equal sets are one class; classes of one size whose prefixes agree are one group. The prefix is taken in
 a global order, rare n-grams first by a counting sketch over all documents. Groups that share a prefix
 n-gram are paired by size and by place of that n-gram, then expanded to their classes, whose parity
-bitmaps bound the overlap; what is left is verified on whole sets. Only spanning pairs are verified:
-pairs inside what is already connected can change no component, and the rounds go on until no other
-candidate is left, so no link between components is missed. Postings of a frequent n-gram are dealt
+bitmaps bound the overlap; what is left is verified on whole sets. A task gives the pairs that span what
+it would connect and some to spare: pairs inside what is connected can change no component. Where a pair
+fails and others were withheld, the next round gives more of them, until none is withheld, so no link
+between components is missed. Postings of a frequent n-gram are dealt
 into chunks, and chunk meets chunk in a task of its own.
 
 Defined cases: a null or empty text, or one without words, has an empty set and links with nothing;
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components, find
-from .shared import partitions, written
+from .shared import fresh, partitions, written
 from .textbytes import Bytes, mix, slices
 
 #: Counters of the sketch that orders n-grams (4 bytes each); the order decides the cost, never the result.
@@ -35,7 +36,7 @@ SEGMENTS = 64
 BITMAP_BITS = 1024
 #: Classes of one prefix n-gram that meet in one task at most, twice over.
 CHUNK = 256
-#: Candidate pairs beyond a spanning tree that a task gives for each class, so that a pair that fails seldom costs a round.
+#: Candidate pairs beyond a spanning tree that a task gives for each class, so that a pair that fails seldom costs a round; each round gives eight times as many.
 SPARE = 2
 #: Classes to verify up to this number are sent to all tasks (16 MB of ids); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
@@ -76,7 +77,7 @@ def _survey(n: int):
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
-        names = ["id", "size", "cls", "segment", "counts"]
+        names = ["id", "text_hash", "size", "cls", "segment", "counts"]
         for batch in (y for x in batches for y in slices(x)):
             sizes, cls = [], []
             for grams in ngram_sets(batch.column("text"), n):
@@ -84,10 +85,10 @@ def _survey(n: int):
                 sizes.append(len(grams))
                 cls.append(set_id(grams))
             k = len(sizes)
-            yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         parts = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in np.split(counts, SEGMENTS)] if counts.any() else []
         k = len(parts)
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(range(k), pa.int32()), pa.array(parts, pa.binary())], names=names)
 
     return survey
 
@@ -143,16 +144,16 @@ def _overlap_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def _candidates(percent: int):
+def _candidates(percent: int, spare_most: int):
     """Candidate pairs of each bucket that join what is not yet joined, and a few to spare.
 
-    Rows (a, b) of classes, (la, lb) of their components so far, and the tree of this task that they hang on.
+    Rows (a, b) of classes, (la, lb) of their components so far, the tree of this task that they hang on,
+    and whether candidates of that tree were withheld because its classes had their spare pairs.
     """
 
-    def pairs_of(rows: pd.DataFrame, parent: dict[int, int], spare: dict[int, int], out: dict[tuple[int, int], tuple[int, int]]) -> None:
+    def pairs_of(rows: pd.DataFrame, parent: dict[int, int], spare: dict[int, int], out: dict[tuple[int, int], tuple[int, int]], withheld: set[int]) -> None:
         size, cls, label = (rows[c].to_numpy(np.int64) for c in ("size", "cls", "label"))
         bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(len(rows), -1)
-        failed = {(c, x) for c, no in zip(cls.tolist(), rows["failed"]) if no is not None for x in no}
         for a, b, need in _paired(rows, percent):
             apart = label[a] != label[b]
             a, b, need = a[apart], b[apart], need[apart]
@@ -161,19 +162,23 @@ def _candidates(percent: int):
             for x, y in zip(a[ok].tolist(), b[ok].tolist()):
                 p, q = find(parent, int(label[x])), find(parent, int(label[y]))
                 low, high = int(min(cls[x], cls[y])), int(max(cls[x], cls[y]))
-                if (p != q or (spare.get(low, 0) < SPARE and spare.get(high, 0) < SPARE)) and (low, high) not in failed and (low, high) not in out:
-                    if p == q:
-                        spare[low], spare[high] = spare.get(low, 0) + 1, spare.get(high, 0) + 1
-                    parent[max(p, q)] = min(p, q)
-                    out[low, high] = (int(label[x]), int(label[y]))
+                if (low, high) in out:
+                    continue
+                if p == q:
+                    if spare.get(low, 0) >= spare_most or spare.get(high, 0) >= spare_most:
+                        withheld.add(p)
+                        continue
+                    spare[low], spare[high] = spare.get(low, 0) + 1, spare.get(high, 0) + 1
+                parent[max(p, q)] = min(p, q)
+                out[low, high] = (int(label[x]), int(label[y]))
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        parent, spare, out = {}, {}, {}
+        parent, spare, out, withheld = {}, {}, {}, set()
         for rows in _whole_buckets(batches):
-            pairs_of(rows, parent, spare, out)
-        part = TaskContext.get().partitionId()
-        rows = [(a, b, la, lb, part, find(parent, la)) for (a, b), (la, lb) in out.items()]
-        yield pd.DataFrame(rows, columns=["a", "b", "la", "lb", "part", "tree"]).astype("int64")
+            pairs_of(rows, parent, spare, out, withheld)
+        part, open_ = TaskContext.get().partitionId(), {find(parent, x) for x in withheld}
+        rows = [(a, b, la, lb, part, tree := find(parent, la), int(tree in open_)) for (a, b), (la, lb) in out.items()]
+        yield pd.DataFrame(rows, columns=["a", "b", "la", "lb", "part", "tree", "more"]).astype("int64")
 
     return candidates
 
@@ -260,53 +265,51 @@ def _buckets(postings: DataFrame, percent: int) -> DataFrame:
 
 
 def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_shingles, class_id, component_id (the smallest id that links reach).
+    """One row per row of docs: id, n_shingles, class_id, component_id (the smallest id that links reach), text_hash.
 
     Documents link when their n-gram sets' intersection is at least percent % of their union.
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    survey = written(texts.mapInArrow(_survey(n), "id long, size long, cls long, segment int, counts binary"), "survey")
+    survey = written(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_survey(n), "id long, text_hash long, size long, cls long, segment int, counts binary"), "survey")
     sketch = spark.sparkContext.broadcast(sketch_of(survey))
-    rows = survey.filter("segment is null").select("id", "size", "cls")
+    rows = survey.filter("segment is null").select("id", "text_hash", "size", "cls")
     classes = written(rows.filter("size > 0").groupBy("cls", "size").agg(F.min("id").alias("rep")), "classes")
     postings = written(texts.select("text").mapInArrow(_postings(sketch, n, percent), "token long, grp long, cls long, size long, pos long, bits binary"), "prefixes")
     buckets = written(_buckets(postings, percent), "buckets")
-    labels = failed = None
-    links = []
+    sketch.destroy()
+    labels, spare = None, SPARE
     while True:
         now = buckets
         if labels is not None:
-            now = now.join(labels, now["cls"] == labels["node"], "left").drop("node").withColumn("label", F.coalesce("label", "cls"))
-            no = failed.groupBy(F.col("a").alias("f")).agg(F.collect_list("b").alias("failed"))
-            now = now.join(no, now["cls"] == no["f"], "left").drop("f")
+            now = written(now.join(labels, now["cls"] == labels["node"], "left").drop("node").withColumn("label", F.coalesce("label", "cls")), "labelled")
         else:
-            now = now.withColumn("label", F.col("cls")).withColumn("failed", F.lit(None).cast("array<long>"))
-        now = written(now, "labelled") if labels is not None else now
-        found = written(_together(now).mapInPandas(_candidates(percent), "a long, b long, la long, lb long, part long, tree long"), "found")
+            now = now.withColumn("label", F.col("cls"))
+        found = written(_together(now).mapInPandas(_candidates(percent, spare), "a long, b long, la long, lb long, part long, tree long, more long"), "found")
         pairs = found.select("a", "b").distinct()
-        if not found.limit(1).count():
+        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct().join(classes, F.col("wanted") == F.col("cls")).select("wanted", "rep"), "wanted")
+        count = wanted.count()
+        if not count:
             break
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct().join(classes, F.col("wanted") == F.col("cls")).select("wanted", "rep")
-        few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-        chosen = texts.join(F.broadcast(wanted) if few else wanted, texts["id"].eqNullSafe(wanted["rep"])).select("text", "wanted")
+        chosen = texts.join(F.broadcast(wanted) if count <= BROADCAST_IDS else wanted, texts["id"].eqNullSafe(wanted["rep"])).select("text", "wanted")
         sets = written(chosen.mapInArrow(_sets(n), "cls long, grams array<long>, wanted long").filter("cls = wanted").dropDuplicates(["cls"]).select("cls", "grams"), "sets")
         left, right = sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), sets.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
         common = F.size(F.array_intersect("x", "y"))
         checked = written(pairs.join(left, "a").join(right, "b").select("a", "b", (100 * common >= percent * (F.size("x") + F.size("y") - common)).alias("linked")), "checked")
-        links.append(checked.filter("linked").select("a", "b"))
-        bad = checked.filter("not linked").select("a", "b")
-        failed = bad if failed is None else failed.union(bad)
-        edges = links[0]
-        for x in links[1:]:
-            edges = edges.union(x)
-        labels = written(components(edges), "labels")
-        # What hangs on trees whose pairs were all linked is settled; the rest meets again.
-        broken = found.join(bad, ["a", "b"], "left_semi").select("part", "tree").distinct()
-        open_ = written(found.join(broken, ["part", "tree"], "left_semi").select(F.explode(F.array("la", "lb")).alias("open")).distinct(), "open")
+        # Components are contracted: a round joins only the labels of the rounds before.
+        new = written(components(found.join(checked.filter("linked").select("a", "b"), ["a", "b"], "left_semi").select(F.col("la").alias("a"), F.col("lb").alias("b"))), "contracted")
+        if labels is None:
+            labels = new
+        else:
+            turned = new.select(F.col("node").alias("was"), F.col("label").alias("now"))
+            known = labels.join(turned, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label"))
+            labels = written(known.union(new.join(labels.select("node"), "node", "left_anti")), "labels")
+        # A tree whose pairs were all linked is settled, and so is one of which none was withheld; the rest meets again with more to spare.
+        broken = found.filter("more = 1").join(checked.filter("not linked").select("a", "b"), ["a", "b"], "left_semi").select("part", "tree").distinct()
+        open_ = written(found.filter("more = 1").join(broken, ["part", "tree"], "left_semi").select(F.explode(F.array("la", "lb")).alias("open")).distinct(), "open")
         if not open_.limit(1).count():
             break
-        buckets = now.join(open_, F.col("label") == F.col("open"), "left_semi").drop("label", "failed")
+        buckets, spare = now.join(open_, F.col("label") == F.col("open"), "left_semi").drop("label"), spare * 8
     if labels is None:
         of = classes.select(F.col("cls").alias("c"), F.col("size").alias("s"), F.col("rep").alias("low"))
     else:
@@ -314,13 +317,19 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         lows = named.groupBy("label").agg(F.min("rep").alias("low"))
         of = named.join(lows, "label").select(F.col("cls").alias("c"), F.col("size").alias("s"), "low")
     out = rows.join(of, (F.col("cls") == F.col("c")) & (F.col("size") == F.col("s")), "left")
-    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("cls")).alias("class_id"), F.coalesce("low", "id").alias("component_id"))
+    return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("cls")).alias("class_id"), F.coalesce("low", "id").alias("component_id"), "text_hash")
 
 
 def one_of_each(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Of each component the row with the smallest id, with all columns."""
-    first = jaccard_components(docs, n, percent, id_col, text_col).filter(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("_first")).distinct()
-    return docs.join(first, F.col(id_col).eqNullSafe(F.col("_first")), "left_semi")
+    """Of each component the rows with the smallest id, with all columns.
+
+    Every row without words stays, and so do equal rows of the smallest id. Null and empty texts are without
+    words; a null id is larger than any other; long texts are compared whole. An empty table gives an empty table; columns may have any names.
+    """
+    found = jaccard_components(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), n, percent)
+    first = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.struct("doc_id", "text_hash").alias(name := fresh(docs.columns, "first"))).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(first[name]["doc_id"]) & (F.xxhash64(F.coalesce(docs[text_col], F.lit(""))) == first[name]["text_hash"])
+    return docs.join(first, same, "left_semi")
 
 
 def op10_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ forward-backward runs over whole texts, many stretches at once.
 
 Defined cases: a null text, or one without a letter, is "und" with score 0; without labelled documents
 all are "und"; a null id counts as the empty text when documents are held out; equal sums go to the
-first language in order; rows that repeat an id are judged each; an empty table gives no rows; other
-columns are ignored.
+first language in order; rows that repeat an id are judged each, and learned from each where their texts
+differ; texts are judged whole; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,11 +24,14 @@ from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from .lm_score import held_out_of
-from .shared import written
+from .shared import unit_hash, written
 from .textbytes import Bytes, slices
 
-#: Labelled documents that the field is fitted on, as many of each language, the first by the hash of their ids (20 of each at least).
+#: Labelled documents that the field is fitted on, as many of each language, the first by the hash of their ids and texts (20 of each at least).
 FITTED_DOCUMENTS = 600
+#: Bytes of such a document at most; of a longer one pieces are taken at even distances.
+FITTED_BYTES = 12_000
+PIECE_BYTES = 400
 FEATURES = 1 << 18
 STRETCH = 32
 ROUNDS = 25
@@ -219,21 +222,53 @@ def _predict(shared):
     return predict
 
 
-def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4, part: int = 2, documents: int = FITTED_DOCUMENTS) -> LanguageField | None:
-    """The field fitted on a bounded sample of the labelled documents outside the held-out part."""
+def _shortened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of more than FITTED_BYTES as pieces taken at even distances over the whole text."""
+    for batch in batches:
+        texts = []
+        for text in batch.column("text").to_pylist():
+            raw = text.encode()
+            if len(raw) > FITTED_BYTES:
+                last, n = len(raw) - PIECE_BYTES, FITTED_BYTES // PIECE_BYTES
+                text = " ".join(raw[last * i // (n - 1) :][:PIECE_BYTES].decode(errors="ignore") for i in range(n))
+            texts.append(text)
+        yield pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("h"), pa.array(texts, pa.string())], names=["lang", "h", "text"])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = [r for batch in batches for r in batch.to_pylist()]
+    if rows:
+        field = fit([r["text"] for r in rows], [r["lang"] for r in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([field.languages]), pa.array([field.weights.astype(np.float32).tobytes()]), pa.array([field.transition.tobytes()])], names=["languages", "weights", "transition"])
+
+
+def sample_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4, part: int = 2, documents: int = FITTED_DOCUMENTS) -> DataFrame:
+    """(lang, h, text): of each language the labelled documents with the smallest hashes outside the held-out part.
+
+    Rows that repeat id, text and language count once. As many documents of each language are taken,
+    `documents` in all or 20 of each, so that no language is lost; long texts are shortened.
+    """
     labelled = docs.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & ~held_out_of(F.col(id_col), parts, part))
-    chosen = labelled.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    # Ids first, then the texts of those chosen alone; rank limits keep each task's share of a language small.
-    hashed = chosen.select("lang", F.xxhash64("id").alias("h")).distinct()
-    count = hashed.select("lang").distinct().count()
-    place = F.row_number().over(W.partitionBy("lang").orderBy("h"))
-    ids = hashed.withColumn("place", place).filter(F.col("place") <= max(20, documents // max(1, count))).select(F.col("lang").alias("l"), F.col("h").alias("h"))
-    ids = written(ids, "sample")
-    if not count:
+    chosen = labelled.select(F.col(lang_col).alias("lang"), F.xxhash64(id_col, text_col).alias("h"), F.col(text_col).alias("text"))
+    # Ids first, then the texts of those chosen alone. Hashes that are sure to rank lower leave before the ranking, so that
+    # few rows of a language meet in a task.
+    counts = written(chosen.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")), "languages")
+    each = max(20, documents // max(1, counts.count()))
+    near = chosen.join(F.broadcast(counts), "lang").filter(unit_hash(F.col("h")) * F.col("n") < 2.0 * each).select("lang", "h").distinct()
+    place = F.row_number().over(W.partitionBy("lang").orderBy(unit_hash(F.col("h")), "h"))
+    ids = written(near.withColumn("place", place).filter(F.col("place") <= each).select(F.col("lang").alias("l"), F.col("h").alias("k")), "sample")
+    picked = chosen.join(F.broadcast(ids), (F.col("h") == F.col("k")) & (F.col("lang") == F.col("l")), "left_semi")
+    return picked.mapInArrow(_shortened, "lang string, h long, text string").dropDuplicates(["lang", "h"])
+
+
+def fit_on(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", parts: int = 4, part: int = 2, documents: int = FITTED_DOCUMENTS) -> LanguageField | None:
+    """The field fitted on a bounded sample of the labelled documents outside the held-out part, in one task; the driver gets the weights."""
+    rows = written(sample_of(docs, id_col, text_col, lang_col, parts, part, documents), "fitted-rows").coalesce(1).sortWithinPartitions("lang", "h", "text")
+    got = rows.mapInArrow(_fitted, "languages array<string>, weights binary, transition binary").collect()
+    if not got:
         return None
-    picked = chosen.join(F.broadcast(ids), (F.xxhash64("id") == F.col("h")) & (F.col("lang") == F.col("l")), "left_semi")
-    rows = picked.orderBy("lang", F.xxhash64("id"), "text").limit(max(20 * count, documents)).collect()
-    return fit([r["text"] for r in rows], [r["lang"] for r in rows])
+    names = list(got[0]["languages"])
+    return LanguageField(names, np.frombuffer(got[0]["weights"], np.float32).reshape(FEATURES, -1).astype(np.float64), np.frombuffer(got[0]["transition"], np.float64).reshape(len(names), -1))
 
 
 def judged(docs: DataFrame, columns: list[str], id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:

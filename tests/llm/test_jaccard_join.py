@@ -71,6 +71,27 @@ def test_one_of_each_keeps_columns(clashing):
     assert {r.doc_id for r in got.collect()} == {d for d, _, c in brute(ROWS, 3, 90) if d == c and d != -1} | {None}
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    base = " ".join(f"w{i}" for i in range(30))
+    rows = [(1, base), (2, base + " end"), (2, "something else altogether in here now"), (3, None), (3, ""), (None, base)]
+    got = one_of_each(spark.createDataFrame(rows, SCHEMA), 3, 90).collect()
+    assert sorted(((r.doc_id or 0), r.text or "") for r in got) == [(1, base), (2, rows[2][1]), (3, ""), (3, "")]
+
+
+def test_pairs_that_fail_never_end_the_search(spark):
+    """Texts that share rare n-grams but do not link stand between those that do."""
+    rng = random.Random(3)
+    head = " ".join(f"h{i}" for i in range(12))
+    rows = []
+    for k in range(40):
+        own = [f"k{k}x{i}" for i in range(60)]
+        for c in range(6):
+            w = own.copy()
+            w[rng.randrange(60)] = f"edit{c}"
+            rows.append((len(rows), head + " " + " ".join(w)))
+    assert found(spark.createDataFrame(rows, SCHEMA), 3, 70) == brute(rows, 3, 70)
+
+
 def test_empty(no_docs):
     assert jaccard_components(no_docs).count() == 0
 

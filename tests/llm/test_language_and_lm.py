@@ -7,7 +7,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from beamline.llm.language_crf import languages, posteriors
+from beamline.llm.language_crf import languages, posteriors, sample_of
 from beamline.llm.lm_score import Filter, greatest_count, least_count, levels, lm_scores, segment_bits
 
 from .conftest import ROWS, words
@@ -49,6 +49,22 @@ def test_language_without_labels(docs, no_docs):
     assert {r.lang_pred for r in languages(docs.filter("lang is null")).collect()} == {"und"}
 
 
+def test_repeated_ids_lose_no_language(spark):
+    """Many rows of one id, null ids, and one text a third of all rows, beside a few rows of other languages."""
+    rng = np.random.default_rng(4)
+    of = {lang: [f"{lang}{a}{b}" for a in "abcdefgh" for b in "stuvwxyz"] for lang in ("de", "en", "zz")}
+    text = lambda lang: " ".join(rng.choice(of[lang], 30))
+    rows = [(1, text("de"), "de") for _ in range(700)] + [(None, text("en"), "en") for _ in range(60)] + [(1, of["de"][0], "de")] * 400 + [(next(i for i in range(2, 99) if zlib.crc32(str(i).encode()) % 4 != 2), " ".join([text("zz")] * 3000), "zz")] + [(3, text("zz"), None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = sample_of(frame, documents=60).collect()
+    assert {x: sum(r.lang == x for r in sample) for x in ("de", "en", "zz")} == {"de": 20, "en": 20, "zz": 1}
+    assert len({(r.lang, r.h) for r in sample}) == len(sample) and max(len(r.text) for r in sample) < 13_000
+    got = languages(frame).collect()
+    truth = {t: t[:2] for _, t, _ in rows}
+    names = [r.lang_pred for r in got]
+    assert len(got) == len(rows) and Counter(names) == Counter(truth[t] for _, t, _ in rows)
+
+
 def test_language_held_out_accuracy(spark, sf_dir):
     frame = spark.read.parquet(f"{sf_dir}/documents.parquet")
     truth = {r.doc_id: r.lang for r in frame.select("doc_id", "lang").collect()}
