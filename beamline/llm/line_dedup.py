@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import partitions, written
+from .shared import fresh, partitions, written
 
 #: A run of at least this many lines counts as repeated.
 LEAST_LINES = 2
@@ -150,13 +150,16 @@ def line_report(docs: DataFrame, least: int = LEAST_LINES, id_col: str = "doc_id
 
 
 def drop_repeated_lines(docs: DataFrame, least: int = LEAST_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with the later copies of repeated runs of lines taken out of their texts."""
-    cut = repeated_lines(docs, least, id_col, text_col).groupBy("id", "row", "nth").agg(F.collect_set("pos").alias("_gone"))  # a document's lines at most
-    cut = cut.select(F.col("id").alias("_i"), F.col("row").alias("_w"), F.col("nth").alias("_k"), "_gone")
-    rows = docs.withColumn("_row", F.xxhash64(text_col)).withColumn("_nth", F.row_number().over(W.partitionBy(id_col, "_row").orderBy("_row")))
-    joined = rows.join(cut, F.col(id_col).cast("long").eqNullSafe(F.col("_i")) & (F.col("_row") == F.col("_w")) & (F.col("_nth") == F.col("_k")), "left")
-    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda line, k: ~F.array_contains("_gone", k)), "\n")
-    return joined.withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)
+    """docs with the later copies of repeated runs of lines taken out of their texts; columns may have any names."""
+    cut = repeated_lines(docs.select(id_col, text_col), least, id_col, text_col).groupBy("id", "row", "nth").agg(F.collect_set("pos").alias("gone"))  # a document's lines at most
+    name = fresh(docs.columns, "cut")
+    nth = fresh([*docs.columns, name], "nth")
+    cut = cut.select(F.struct("id", "row", "nth", "gone").alias(name))
+    rows = docs.withColumn(nth, F.row_number().over(W.partitionBy(id_col, F.xxhash64(text_col)).orderBy(F.lit(1))))
+    of = cut[name]
+    joined = rows.join(cut, rows[id_col].cast("long").eqNullSafe(of["id"]) & (F.xxhash64(rows[text_col]) == of["row"]) & (rows[nth] == of["nth"]), "left")
+    kept = F.array_join(F.filter(F.split(text_col, "\n", -1), lambda line, k: ~F.array_contains(F.col(name)["gone"], k)), "\n")
+    return joined.withColumn(text_col, F.when(F.col(name).isNull(), F.col(text_col)).otherwise(kept)).select(docs.columns)
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

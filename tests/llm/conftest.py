@@ -37,7 +37,8 @@ ROWS = [
 ]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names an operator might use for its own.
-CLASHING = ("id", "size", "cls", "label", "key", "value", "rank", "norm", "fp", "sha", "p", "w", "c", "row", "ids", "pos", "line", "kept", "copies", "nth", "held_out", "lettered", "tail", "part")
+CLASHING = ("id", "size", "cls", "label", "key", "value", "rank", "norm", "fp", "sha", "p", "w", "c", "row", "ids", "pos", "line", "kept", "copies", "nth", "held_out", "lettered", "tail", "part",
+            "_kept_id", "_kept_sha", "_first", "_id", "_copies", "_words", "_copy", "_row", "_nth", "_gone", "_size", "_source", "kept_", "first", "mixed", "_mixed", "gone", "text_hash", "n", "h", "k", "l")
 
 
 @pytest.fixture(scope="session")
