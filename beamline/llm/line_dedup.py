@@ -4,8 +4,9 @@ Only lines that occur more than once can be part of a repeated run; every other
 suffixes that begin at such lines are sorted by prefix doubling: each round ranks pairs of ranks, the
 distinct pairs sorted by range over all tasks, until no rank splits any more. Neighbours in suffix order
 whose longest common prefix reaches the least length form an interval, a repeated run of lines: its
-first occurrence stays and that many lines of later ones are deleted. The common prefixes come from the
-ranks of the rounds, counted no further than decides this. A reported run is a stretch of neighbouring
+first occurrence stays and that many lines of later ones are deleted. Suffixes that begin with a line of
+more than LONG_LINE_WORDS words do so from a common prefix of one line on. The common prefixes come from
+the ranks of the rounds, counted no further than decides this. A reported run is a stretch of neighbouring
 deleted lines, as in OP9_SQL, also where they were copied from several places.
 
 The order of occurrences is by document id (null first), then by a hash of the text, then by line. Defined
@@ -29,6 +30,8 @@ from .shared import fresh, partitions, written
 
 #: A run of at least this many lines counts as repeated.
 LEAST_LINES = 2
+#: A single line of more words than this counts by itself.
+LONG_LINE_WORDS = 50
 
 
 def _ranked(table: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, int]:
@@ -48,9 +51,10 @@ def _ranked(table: DataFrame, keys: list[str], name: str) -> tuple[DataFrame, in
 
 
 def line_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, row, pos, line): the hash of each line; row tells apart rows that repeat an id."""
+    """(id, row, pos, line, long): the hash of each line and whether it is long; row tells apart rows that repeat an id."""
     rows = docs.filter(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("row"), F.split(text_col, "\n", -1).alias("lines"))
-    return rows.select("id", "row", F.posexplode(F.transform("lines", lambda x: F.xxhash64(x))).alias("pos", "line"))
+    long_ = lambda x: (F.length(x) > 2 * LONG_LINE_WORDS) & (F.regexp_count(x, F.lit("[^\\x20\\x09-\\x0D]+")) > LONG_LINE_WORDS)
+    return rows.select("id", "row", F.posexplode(F.transform("lines", lambda x: F.struct(F.xxhash64(x).alias("line"), long_(x).alias("long")))).alias("pos", "x")).select("id", "row", "pos", "x.line", "x.long")
 
 
 def suffix_order(sequence: DataFrame, least: int) -> tuple[DataFrame, list[tuple[int, DataFrame]]]:
@@ -114,6 +118,15 @@ def prefix_intervals(prefixes: DataFrame, least: int) -> DataFrame:
     return placed.join(F.broadcast(carried), "range").select("r", F.when(F.col("start") > 0, F.col("start")).otherwise(F.col("carried")).alias("i"))
 
 
+def _later(suffixes: DataFrame, prefixes: DataFrame, least: int) -> DataFrame:
+    """(doc, pos) of the first `least` lines of suffixes that share them with an earlier one."""
+    of_rank = written(prefix_intervals(prefixes, least), "rank-intervals")
+    begin = written(suffixes.join(of_rank, "r").select("doc", "pos", "i"), "beginnings")
+    intervals = written(begin.groupBy("i").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("i").alias("j"), "first"), "intervals")
+    later = begin.join(intervals, F.col("i") == F.col("j")).filter(F.struct("doc", "pos") > F.col("first"))
+    return later.select("doc", F.explode(F.sequence(F.col("pos"), F.col("pos") + least - 1)).alias("pos"))
+
+
 def repeated_lines(docs: DataFrame, least: int = LEAST_LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, row, nth, pos, run_lines): the lines to delete, with the length of the stretch of deleted lines that each is in."""
     lines = written(line_table(docs, id_col, text_col), "lines")
@@ -122,17 +135,18 @@ def repeated_lines(docs: DataFrame, least: int = LEAST_LINES, id_col: str = "doc
     # Sums are written before they are joined: then both sides of a join are plain exchanges, and a hot line's can be split.
     many = written(lines.groupBy("line").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("line").alias("l")), "repeated")
     doc = F.struct("id", "row", "nth").alias("doc")
-    shared = numbered.join(many, F.col("line") == F.col("l")).select(doc, "pos", "line")
+    shared = numbered.join(many, F.col("line") == F.col("l")).select(doc, "pos", "line", "long")
     island = F.col("pos") - F.row_number().over(W.partitionBy("doc").orderBy("pos"))
     size = F.max("pos").over(W.partitionBy("doc", "run")) - F.col("pos") + 1
     sequence = written(shared.withColumn("run", island).withColumn("size", size), "sequence")
     order, levels = suffix_order(sequence, least)
-    of_rank = written(prefix_intervals(neighbour_prefixes(order, levels), least), "rank-intervals")
-    # A suffix that is shorter shares its rank with its likes alone.
-    long_ = written(order.filter(F.col("size") >= least).join(of_rank, "r").select("doc", "pos", "i"), "beginnings")
-    intervals = written(long_.groupBy("i").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("i").alias("j"), "first"), "intervals")
-    later = long_.join(intervals, F.col("i") == F.col("j")).filter(F.struct("doc", "pos") > F.col("first"))
-    gone = later.select("doc", F.explode(F.sequence(F.col("pos"), F.col("pos") + least - 1)).alias("pos")).distinct()
+    prefixes = written(neighbour_prefixes(order, levels), "prefixes")
+    # A suffix that is shorter than `least` shares its rank with its likes alone.
+    gone = _later(order.filter(F.col("size") >= least), prefixes, least)
+    if least > 1:
+        lone = sequence.filter("long").select(F.col("doc").alias("d"), F.col("pos").alias("p"))
+        gone = gone.union(_later(order.join(lone, (F.col("doc") == F.col("d")) & (F.col("pos") == F.col("p")), "left_semi"), prefixes, 1))
+    gone = gone.distinct()
     run = F.col("pos") - F.row_number().over(W.partitionBy("doc").orderBy("pos"))
     marked = gone.withColumn("island", run)
     return marked.withColumn("run_lines", F.count(F.lit(1)).over(W.partitionBy("doc", "island"))).select("doc.*", "pos", "run_lines")
@@ -170,7 +184,8 @@ OP9_SQL = """
 WITH l AS (SELECT doc_id, s.pos, string_split(text, chr(10))[s.pos + 1] AS line FROM documents, unnest(range(len(string_split(text, chr(10))))) AS s(pos) WHERE text IS NOT NULL),
 w AS (SELECT doc_id, pos, line, lead(line) OVER (PARTITION BY doc_id ORDER BY pos) AS next FROM l),
 r AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line, next ORDER BY doc_id, pos) AS k FROM w WHERE next IS NOT NULL),
-c AS (SELECT DISTINCT doc_id, pos + d AS pos FROM r, (VALUES (0), (1)) AS t(d) WHERE k > 1),
+s AS (SELECT doc_id, pos, row_number() OVER (PARTITION BY line ORDER BY doc_id, pos) AS k FROM l WHERE len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) > 50),
+c AS (SELECT doc_id, pos + d AS pos FROM r, (VALUES (0), (1)) AS t(d) WHERE k > 1 UNION SELECT doc_id, pos FROM s WHERE k > 1),
 i AS (SELECT doc_id, pos - row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS run FROM c),
 g AS (SELECT doc_id, run, count(*) AS n FROM i GROUP BY doc_id, run),
 a AS (SELECT doc_id, sum(n) AS n_removed, count(*) AS n_runs, max(n) AS longest_run FROM g GROUP BY doc_id)

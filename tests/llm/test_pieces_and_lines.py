@@ -9,7 +9,7 @@ import pytest
 from beamline.llm.line_dedup import drop_repeated_lines, line_report, repeated_lines
 from beamline.llm.piece_codec import SIGN, PieceCodec, checked_pieces, decode_pieces, encode_pieces
 
-from .conftest import ROWS
+from .conftest import ROWS, words
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -91,7 +91,7 @@ def test_pieces_empty(no_docs):
 
 
 def brute_lines(rows, least):
-    """Positions of lines in a run of `least` lines that an earlier place holds too."""
+    """Positions of lines in a run of `least` lines, or of one line of over 50 words, that an earlier place holds too."""
     seen, gone = set(), []
     for doc, text in rows:
         lines = text.split("\n") if text is not None else []
@@ -101,6 +101,11 @@ def brute_lines(rows, least):
             if run in seen:
                 cut.update(range(i, i + least))
             seen.add(run)
+        for i, line in enumerate(lines):
+            if len(words(line)) > 50:
+                if line in seen:
+                    cut.add(i)
+                seen.add(line)
         gone.append((doc, sorted(cut)))
     return gone
 
@@ -108,7 +113,11 @@ def brute_lines(rows, least):
 @pytest.mark.parametrize("least", [1, 2, 3])
 def test_repeated_lines(spark, least):
     rng = random.Random(least)
-    rows = [(i, "\n".join(rng.choice(["x", "y", "z", "", f"u{rng.random()}"]) for _ in range(rng.randrange(1, 12)))) for i in range(40)] + [(40, None), (41, "")]
+    long = ["over " * 51, " ".join(["x"] * 50), "a\t" * 30 + "b  " * 22]
+    rows = [(i, "\n".join(rng.choice(["x", "y", "z", "", f"u{rng.random()}", *long]) for _ in range(rng.randrange(1, 12)))) for i in range(40)] + [(40, None), (41, "")]
+    # Long runs that repeat whole and in part.
+    run = [f"r{i}" for i in range(500)]
+    rows += [(50, "\n".join(run)), (51, "\n".join(["own", *run[100:350], "end"])), (52, "\n".join(run[:40] + ["between"] + run[300:]))]
     frame = spark.createDataFrame(rows, "doc_id long, text string")
     want = {d: p for d, p in brute_lines(rows, least) if p}
     got = {}
