@@ -1,32 +1,33 @@
 """Exact top-k inner products: a ball tree per shard, searched branch and bound.
 
-Shards are dealt by id hash and hold a bounded number of rows. A block of queries first searches one
-shard, its home; the kth score found there goes with it to every other shard, where a ball is opened,
-the one of greatest upper bound first, only if the bound reaches the current kth score. Scores are inner
-products of floor(256 * x); equal scores go to the smaller id.
+Shards are dealt by id hash and hold a bounded number of rows. A block of queries visits the shards in
+waves of 1, 1, 2, 4, ... shards; the kth score that all waves so far have found goes with it, and a ball is
+opened, the one of greatest upper bound first, only if the bound reaches the current kth score. Trees are
+read once for each BLOCKS_TOGETHER blocks that come to their shard. Scores are inner products of
+floor(256 * x); equal scores go to the smaller id.
 
 Defined cases: vectors that are null, empty, or hold a null or non-finite component take no part, nor
 do rows without an id; vectors of different lengths meet as if the shorter ended in zeros; rows that
-repeat an id are candidates each, but never for a query of that id; an empty table gives no rows; other
-columns are ignored. Scaled components beyond 2**20 fall back from floating to integer products.
+repeat an id are candidates each, but never for a query of that id, and queries each, with k rows of
+their own ranks; an empty table gives no rows; other columns are ignored. Where floating products of
+scaled components could be inexact, integers are multiplied.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .shared import partitions, written
+from .shared import written
 
 #: Rows of a shard and queries of a block, on average; both are dealt by hash.
 SHARD_ROWS = 16_384
 BLOCK_ROWS = 256
+BLOCKS_TOGETHER = 64
 LEAF = 128
 
 
@@ -38,9 +39,11 @@ def _matrix(vectors: pd.Series) -> np.ndarray:
     return out
 
 
-def _exact(values: np.ndarray) -> np.ndarray:
-    """Values as doubles where products then stay exact, else as Python integers."""
-    return values.astype(np.float64) if np.abs(values).max(initial=0) < 2**20 else values.astype(object)
+def _exact(points: np.ndarray, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both as doubles where inner products then stay exact, else as Python integers."""
+    most = [max(abs(int(x.max(initial=0))), abs(int(x.min(initial=0)))) for x in (points, queries)]
+    kind = np.float64 if most[0] * most[1] * max(1, points.shape[1]) < 2**53 else object
+    return points.astype(kind), queries.astype(kind)
 
 
 def build_tree(points: np.ndarray, leaf: int = LEAF) -> tuple[np.ndarray, list[tuple[int, int, int, int]], np.ndarray, np.ndarray]:
@@ -104,57 +107,66 @@ def _tree_of(group: pd.DataFrame) -> pd.DataFrame:
 
 def _block_of(group: pd.DataFrame) -> pd.DataFrame:
     points, ids = _pack(group)
-    return pd.DataFrame({"block": group["block"][:1].to_numpy(), "q_width": [points.shape[1]], "queries": [points.tobytes()], "q_ids": [ids.tobytes()]})
+    return pd.DataFrame({"block": group["block"][:1].to_numpy(), "q_width": [points.shape[1]], "queries": [points.tobytes()], "q_ids": [ids.tobytes()], "rows": [group["row"].to_numpy(np.int64).tobytes()]})
+
+
+FOUND = "block long, row long, query_id long, vec_id long, score long"
 
 
 def _search(k: int):
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in (row for batch in batches for row in batch.itertuples(index=False)):
-            points, queries = np.frombuffer(x.points, np.int64).reshape(x.rows, x.width), np.frombuffer(x.queries, np.int64).reshape(-1, x.q_width)
-            width = min(x.width, x.q_width)
-            points, queries = _exact(points[:, :width]), _exact(queries[:, :width])
-            if points.dtype != queries.dtype:
-                points, queries = points.astype(object), queries.astype(object)
-            ids, q_ids = np.frombuffer(x.ids, np.int64), np.frombuffer(x.q_ids, np.int64)
-            nodes = np.frombuffer(x.nodes, np.int64).reshape(-1, 4).tolist()
-            centres, radii = np.frombuffer(x.centres, np.float64).reshape(len(nodes), x.width)[:, :width], np.frombuffer(x.radii, np.float64)
-            real = queries.astype(np.float64)
-            ceilings = real @ centres.T + np.sqrt((real**2).sum(axis=1))[:, None] * radii[None, :]
+    def search(blocks: pd.DataFrame, trees: pd.DataFrame) -> pd.DataFrame:
+        """The best of one shard for each query of the blocks that visit it."""
+        out = []
+        tree = trees.iloc[0]
+        all_points, ids = np.frombuffer(tree["points"], np.int64).reshape(tree["rows"], tree["width"]), np.frombuffer(tree["ids"], np.int64)
+        nodes = np.frombuffer(tree["nodes"], np.int64).reshape(-1, 4).tolist()
+        all_centres, radii = np.frombuffer(tree["centres"], np.float64).reshape(len(nodes), tree["width"]), np.frombuffer(tree["radii"], np.float64)
+        for x in blocks.itertuples(index=False):
+            queries = np.frombuffer(x.queries, np.int64).reshape(-1, x.q_width)
+            width = min(tree["width"], x.q_width)
+            real = queries[:, :width].astype(np.float64)
+            ceilings = real @ all_centres[:, :width].T + np.sqrt((real**2).sum(axis=1))[:, None] * radii[None, :]
             ceilings += 1e-9 * np.abs(ceilings) + 1e-6
-            floors = dict(x.floors) if x.floors is not None else {}
-            out = [(int(q), i, s) for q, v, c in zip(q_ids, queries, ceilings) for s, i in search_tree(points, ids, nodes, c, v, int(q), floors.get(int(q)), k)]
-            yield pd.DataFrame(out, columns=["query_id", "vec_id", "score"]).astype("int64")
+            points, queries = _exact(all_points[:, :width], queries[:, :width])
+            floors = {} if x.floors is None else dict(x.floors)
+            for row, q, v, c in zip(np.frombuffer(x.rows, np.int64).tolist(), np.frombuffer(x.q_ids, np.int64).tolist(), queries, ceilings):
+                out += [(x.block, row, q, i, s) for s, i in search_tree(points, ids, nodes, c, v, q, floors.get(row), k)]
+        return pd.DataFrame(out, columns=["block", "row", "query_id", "vec_id", "score"]).astype("int64")
 
     return search
 
 
 def top_k(vectors: DataFrame, every: int = 50, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", shard_rows: int = SHARD_ROWS, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """(query_id, rank, vec_id, score): of each row whose id is divisible by every, the k best other rows."""
-    spark = vectors.sparkSession
     v = F.col(vector_col)
     whole = v.isNotNull() & (F.size(v) > 0) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == F.lit(float("inf"))))
     usable = vectors.filter(F.col(id_col).isNotNull() & whole).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(F.lit(256.0) * x.cast("double"))).alias("v"))
-    scaled = written(usable, "scaled")
+    scaled = written(usable.withColumn("row", F.monotonically_increasing_id()), "scaled")
     n = scaled.count()
     shards = max(1, -(-n // shard_rows))
-    trees = written(scaled.withColumn("shard", F.pmod(F.xxhash64("id", F.lit("shard")), F.lit(shards))).groupBy("shard").applyInPandas(_tree_of, "shard long, rows long, width long, points binary, ids binary, nodes binary, centres binary, radii binary"), "trees")
+    trees = scaled.withColumn("shard", F.pmod(F.xxhash64("row", F.lit("shard")), F.lit(shards))).groupBy("shard").applyInPandas(_tree_of, "shard long, rows long, width long, points binary, ids binary, nodes binary, centres binary, radii binary")
+    trees = written(trees, "trees")
     asked = scaled.filter(F.col("id") % every == 0)
     blocks = max(1, -(-asked.count() // block_rows))
-    packed = written(asked.withColumn("block", F.pmod(F.xxhash64("id", F.lit("block")), F.lit(blocks))).groupBy("block").applyInPandas(_block_of, "block long, q_width long, queries binary, q_ids binary"), "queries")
-    homes = trees.select("shard", F.row_number().over(W.orderBy("shard")).alias("nth"))  # one row a shard
-    shard_count = max(1, homes.count())
-    homes = written(homes, "homes")
-    found = "query_id long, vec_id long, score long"
-    at = packed.withColumn("nth", (F.col("block") % shard_count).cast("int") + 1).join(homes, "nth").drop("nth").withColumn("floors", F.lit(None).cast("map<long,long>"))
-    first = written(at.join(trees, "shard").repartition(partitions(spark), "block", "shard").mapInPandas(_search(k), found), "home")
-    # A query that found k rows at home carries the kth score; maps are of one block's queries.
-    floors = first.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("floor")).filter(F.col("n") >= k)
-    floors = floors.withColumn("block", F.pmod(F.xxhash64(F.col("query_id"), F.lit("block")), F.lit(blocks))).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("query_id", "floor"))).alias("floors"))
-    away = packed.join(floors, "block", "left").withColumn("nth", F.explode(F.sequence(F.lit(1), F.lit(shard_count)))).filter(F.col("nth") != (F.col("block") % shard_count).cast("int") + 1)
-    rest = away.join(homes, "nth").drop("nth")
-    others = rest.join(trees, "shard").repartition(partitions(spark), "block", "shard").mapInPandas(_search(k), found)
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return first.union(others).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    packed = written(asked.withColumn("block", F.pmod(F.xxhash64("row", F.lit("block")), F.lit(blocks))).groupBy("block").applyInPandas(_block_of, "block long, q_width long, queries binary, q_ids binary, rows binary"), "queries")
+    found, done, wave = None, 0, 1
+    best = W.partitionBy("row").orderBy(F.desc("score"), "vec_id")
+    while done < shards:
+        visits = packed.withColumn("shard", F.explode(F.transform(F.sequence(F.lit(done), F.lit(min(shards, done + wave) - 1)), lambda i: (F.col("block") + i) % shards)))
+        if found is None:
+            visits = visits.withColumn("floors", F.lit(None).cast("map<long,long>"))
+        else:
+            # A query that has k rows carries the kth score; maps are of one block's queries.
+            kth = found.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") == k)
+            visits = visits.join(kth.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("row", "score"))).alias("floors")), "block", "left")
+        visits = visits.withColumn("together", F.floor(F.col("block") / BLOCKS_TOGETHER))
+        # Each tree goes once to the blocks that meet it together.
+        meet = visits.select(F.col("shard").alias("s"), F.col("together").alias("g")).distinct().join(trees, F.col("s") == F.col("shard")).drop("shard")
+        new = visits.groupBy("shard", "together").cogroup(meet.groupBy("s", "g")).applyInPandas(_search(k), FOUND)
+        new = new if found is None else found.union(new)
+        found = written(new.withColumn("nth", F.row_number().over(best)).filter(F.col("nth") <= k).drop("nth"), "found")
+        wave, done = (wave if not done else 2 * wave), done + wave
+    return found.withColumn("rank", F.row_number().over(best)).select("query_id", "rank", "vec_id", "score")
 
 
 def op2_topk_search(spark, sf_dir: str) -> DataFrame:

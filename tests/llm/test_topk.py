@@ -38,6 +38,20 @@ def test_edge_cases(spark):
     assert sorted(map(tuple, top_k(spark.createDataFrame(rows, SCHEMA)).collect())) == brute(rows, 50, 5)
 
 
+def test_repeated_rows_are_queries_and_candidates_each(spark):
+    rng = random.Random(5)
+    rows = rows_of(rng, 40)
+    rows += [(0, *rng.choice(rows)[1:]), (0, *rows[0][1:]), (10, *rows[3][1:]), (7, *rows[7][1:]), (7, *rows[7][1:])]
+    got = top_k(spark.createDataFrame(rows, SCHEMA), every=10, k=5, shard_rows=9, block_rows=2).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 10, 5)
+
+
+def test_wide_products_stay_exact(spark):
+    rows = [(i, [4000.0 + (i * k) % 7 / 256 for k in range(9000)], "r", "s", "h", "d") for i in range(6)]
+    got = top_k(spark.createDataFrame(rows, SCHEMA), every=3, k=2).collect()
+    assert sorted(map(tuple, got)) == brute(rows, 3, 2)
+
+
 def test_empty_and_alone(spark):
     assert top_k(spark.createDataFrame([], SCHEMA)).count() == 0
     assert top_k(spark.createDataFrame([(0, [1.0], "r", "s", "h", "d")], SCHEMA)).count() == 0
