@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.labels import LIKE_DIGITS, family_of, grams, normalised
+from ..sources.scratch import written
 
 
 def first_of(rows: DataFrame, by: list[str], order: list[Column], n: int) -> DataFrame:
@@ -42,18 +43,55 @@ def completion(printed: DataFrame, catalog: DataFrame, most: int = 10) -> DataFr
 
 
 def nearest_fields(catalog: DataFrame, most: int = 3) -> DataFrame:
-    """Of each label the nearest others of its family, within one step of the first field."""
+    """Of each label the nearest others of its family.
+
+    Labels within one step of the first field meet first; where the last of them is as far as a label two
+    steps away may be, the whole family is searched.
+    """
+    near = _within_a_step(catalog, most)
+    far = 20  # the least distance at two steps
+    closed = near.filter((F.col("place") == most) & (F.col("distance") < far)).select("label")
+    near = near.join(closed, "label", "left_semi")
+    other = catalog.select("family", F.col("depth").alias("d"), F.col("weight").alias("w"), F.col("label").alias("near"))
+    both = catalog.join(closed, "label", "left_anti").join(other, "family").filter(F.col("label") != F.col("near")).withColumn("distance", 10 * F.abs(F.col("depth") - F.col("d")) + F.abs(F.col("weight") - F.col("w")))
+    return near.unionByName(first_of(both, ["label"], [F.col("distance"), F.col("near")], most).select("label", "near", "distance", "place"))
+
+
+def _within_a_step(catalog: DataFrame, most: int) -> DataFrame:
     other = catalog.select("family", F.explode(F.array(F.col("depth") - 1, F.col("depth"), F.col("depth") + 1)).alias("depth"), F.col("depth").alias("d"), F.col("weight").alias("w"), F.col("label").alias("near"))
     both = catalog.join(other, ["family", "depth"]).filter(F.col("label") != F.col("near")).withColumn("distance", 10 * F.abs(F.col("depth") - F.col("d")) + F.abs(F.col("weight") - F.col("w")))
     return first_of(both, ["label"], [F.col("distance"), F.col("near")], most).select("label", "near", "distance", "place")
 
 
+def _deletions(text: Column, most: int) -> Column:
+    """The text with up to `most` characters left out, each result once."""
+    without = lambda t: F.when(F.length(t) > 0, F.transform(F.sequence(F.lit(1), F.length(t)), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t))))).otherwise(F.array(t))
+    found = last = F.array(text)
+    for _ in range(most):
+        last = F.array_distinct(F.flatten(F.transform(last, without)))
+        found = F.concat(found, last)
+    return F.array_distinct(found)
+
+
+def _within(tokens: DataFrame, labels: DataFrame, most: int) -> DataFrame:
+    """(norm, label, distance) of all pairs within an edit distance: such texts agree once so many characters are left out of both."""
+    key = lambda c: F.explode(_deletions(F.col(c), most)).alias("key")
+    met = tokens.select("norm", key("norm")).join(labels.select("label", key("label")), "key").select("norm", "label").distinct()
+    return met.withColumn("distance", F.levenshtein("norm", "label")).filter(F.col("distance") <= most)
+
+
 def edit_distance(printed: DataFrame, catalog: DataFrame, most: int = 3, limit: int = 2) -> DataFrame:
-    """Labels within an edit distance, among those of the same first letter and nearly the same length."""
-    near = F.explode(F.array(*[F.length("label") + d for d in range(-limit, limit + 1)])).alias("n")
-    tokens = printed.select("p_partkey", normalised(F.col("printed")).alias("norm")).withColumn("n", F.length("norm")).withColumn("head", F.substring("norm", 1, 1))
-    hit = tokens.join(catalog.select("label", F.substring("label", 1, 1).alias("head"), near), ["head", "n"]).withColumn("distance", F.levenshtein("norm", "label")).filter(F.col("distance") <= limit)
-    return first_of(hit, ["p_partkey"], [F.col("distance"), F.col("label")], most).select("p_partkey", "label", "distance", "place")
+    """The nearest labels within an edit distance; tokens that have enough at a lesser one are searched no further."""
+    named = printed.select("p_partkey", normalised(F.col("printed")).alias("norm"))
+    labels, open_, found = catalog.select("label"), written(named.select("norm").distinct(), "tokens"), None
+    for distance in range(1, limit + 1):
+        near = first_of(_within(open_, labels, distance), ["norm"], [F.col("distance"), F.col("label")], most)
+        near = written(near, "near-labels")
+        full = near.filter(F.col("place") == most).select("norm")
+        done = near.join(full, "norm", "left_semi") if distance < limit else near
+        found = done if found is None else found.unionByName(done)
+        open_ = open_.join(full, "norm", "left_anti")
+    return named.join(found, "norm").select("p_partkey", "label", "distance", "place")
 
 
 def gram_similarity(printed: DataFrame, catalog: DataFrame, n: int = 3, most: int = 3) -> DataFrame:

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..sources.scratch import written
+
 
 def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     """(node, root): the smallest node that a chain of pairs reaches.
@@ -15,22 +15,13 @@ def components(pairs: DataFrame, a: str, b: str) -> DataFrame:
     Each round takes the smallest root among neighbours, then the root's own root; rounds are written to
     the shared folder, so that lineage stays short.
     """
-    spark = pairs.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/beamline").rstrip("/") + f"/components-{uuid.uuid4().hex}"
-
-    def put(rows: DataFrame, name: str) -> DataFrame:
-        rows.write.parquet(f"{base}/{name}")
-        return spark.read.schema(rows.schema).parquet(f"{base}/{name}")
-
-    edges = put(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).union(pairs.select(F.col(b), F.col(a))).distinct(), "edges")
-    roots = put(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("root")), "0")
-    turn = 0
+    edges = written(pairs.select(F.col(a).alias("x"), F.col(b).alias("y")).union(pairs.select(F.col(b), F.col(a))).distinct(), "edges")
+    roots = written(edges.groupBy(F.col("x").alias("node")).agg(F.least(F.min("x"), F.min("y")).alias("root")), "roots")
     while True:
-        turn += 1
         near = edges.join(roots, edges["y"] == roots["node"]).groupBy("x").agg(F.min("root").alias("near"))
         lower = roots.join(near, roots["node"] == near["x"]).select("node", F.col("root").alias("old"), F.least("root", "near").alias("root"))
         jump = roots.select(F.col("node").alias("r"), F.col("root").alias("further"))
-        now = put(lower.join(jump, F.col("root") == F.col("r"), "left").select("node", "old", F.least("root", F.coalesce("further", "root")).alias("root")), str(turn))
+        now = written(lower.join(jump, F.col("root") == F.col("r"), "left").select("node", "old", F.least("root", F.coalesce("further", "root")).alias("root")), "roots")
         if not now.filter("old <> root").limit(1).count():
             return now.select("node", "root")
         roots = now.select("node", "root")

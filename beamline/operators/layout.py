@@ -19,7 +19,7 @@ def islands(rows: DataFrame, by: list[str], order: list[Column], breaks: Column)
 
 def with_centres(boxes: DataFrame) -> DataFrame:
     """Adds twice the centre, in whole numbers, and an id of the whole box."""
-    return boxes.withColumn("cx", F.col("x0") + F.col("x1")).withColumn("cy", F.col("y0") + F.col("y1")).select(F.concat_ws("-", "l_orderkey", "l_partkey").alias("box"), "page", "x0", "y0", "x1", "y1", "cx", "cy").dropDuplicates(["box", "page"])
+    return boxes.withColumn("cx", F.col("x0") + F.col("x1")).withColumn("cy", F.col("y0") + F.col("y1")).select(F.concat_ws("-", "l_orderkey", "l_partkey").alias("box"), "page", "x0", "y0", "x1", "y1", "cx", "cy")
 
 
 def near_pairs(boxes: DataFrame, radius: int) -> DataFrame:

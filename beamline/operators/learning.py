@@ -36,10 +36,14 @@ def signature(token: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(token, "[A-Za-z]+", "A"), "[0-9]+", "9")
 
 
+#: Weights of frequency, support and readability, the greatest confidence, the length that reads easily, and the support that is enough.
+FREQUENCY, SUPPORT, READABLE, MOST, EASY_LENGTH, ENOUGH = 0.45, 0.35, 0.20, 0.97, 24, 5.0
+
+
 def pattern_confidence(support: Column, share: Column, length: Column) -> Column:
     """How far a pattern is to be trusted: by frequency, support and readability; 0.97 at most."""
-    readable = F.greatest(F.lit(0.05), 1 - F.greatest(F.lit(0.0), F.least(F.lit(0.55), (length - 24) / 100.0)))
-    return F.round(F.least(F.lit(0.97), 0.45 * share + 0.35 * F.least(F.lit(1.0), support / 5.0) + 0.20 * readable), 4)
+    readable = F.greatest(F.lit(0.05), 1 - F.greatest(F.lit(0.0), F.least(F.lit(0.55), (length - EASY_LENGTH) / 100.0)))
+    return F.round(F.least(F.lit(MOST), FREQUENCY * share + SUPPORT * F.least(F.lit(1.0), support / ENOUGH) + READABLE * readable), 4)
 
 
 def centroids(vectors: DataFrame) -> DataFrame:
@@ -48,9 +52,12 @@ def centroids(vectors: DataFrame) -> DataFrame:
 
 
 def nearest_centroid(vectors: DataFrame) -> DataFrame:
-    """(vec_id, label, nearest, score): the label of the greatest inner product with its mean vector."""
-    flat = vectors.select("vec_id", "label", F.posexplode("embedding").alias("pos", "x"))
-    means = centroids(vectors).withColumnRenamed("label", "nearest")
-    score = flat.join(means, "pos").groupBy("vec_id", "label", "nearest").agg(F.sum(F.col("x").cast("double") * F.col("c")).alias("score"))
-    best = F.max_by(F.struct("nearest", "score"), F.struct("score", "nearest"))
-    return score.groupBy("vec_id", "label").agg(best.alias("b")).select("vec_id", "label", "b.nearest", F.round("b.score", 5).alias("score"))
+    """(vec_id, label, nearest, score): the label of the greatest inner product with its mean vector.
+
+    All means are one array of the row at hand, one entry a label, so that vectors are neither taken apart nor shuffled.
+    """
+    means = centroids(vectors).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "c"))), lambda x: x["c"]).alias("mean"))
+    table = means.agg(F.sort_array(F.collect_list(F.struct(F.col("label").alias("nearest"), "mean"))).alias("means"))
+    inner = lambda mean: F.aggregate(F.zip_with("embedding", mean, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
+    scored = vectors.join(F.broadcast(table)).withColumn("best", F.array_max(F.transform("means", lambda m: F.struct(inner(m["mean"]).alias("score"), m["nearest"].alias("nearest")))))
+    return scored.select("vec_id", "label", "best.nearest", F.round("best.score", 5).alias("score"))

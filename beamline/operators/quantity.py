@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+
+from ..sources.scratch import numbered
 
 #: Sources whose rows are labelled, and the multipliers that a note may give.
 LABELED_SOURCES = ("FUSION", "CORRECTION", "ANNOTATION", "SCHEDULE MARK MAP")
@@ -88,4 +89,4 @@ def issues(compared: DataFrame) -> DataFrame:
 
 def export_rows(counted: DataFrame) -> DataFrame:
     """Sections with a quantity, numbered by falling quantity, then by name."""
-    return counted.filter("quantity > 0").select("section", "quantity", "confidence", F.row_number().over(W.orderBy(F.desc("quantity"), "section")).alias("line"))
+    return numbered(counted.filter("quantity > 0").select("section", "quantity", "confidence"), [F.desc("quantity"), F.col("section")], "line")

@@ -57,14 +57,14 @@ def completion(spark, sf_dir):
 
 @query(
     "nearest_fields",
-    f"""WITH {PARTS_SQL}, j AS (SELECT a.label, b.label AS near, 10 * abs(a.depth - b.depth) + abs(a.weight - b.weight) AS distance FROM catalog a JOIN catalog b ON a.family = b.family AND abs(a.depth - b.depth) <= 1 AND a.label <> b.label),
+    f"""WITH {PARTS_SQL}, j AS (SELECT a.label, b.label AS near, 10 * abs(a.depth - b.depth) + abs(a.weight - b.weight) AS distance FROM catalog a JOIN catalog b ON a.family = b.family AND a.label <> b.label),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY label ORDER BY distance, near) AS INTEGER) AS place FROM j) SELECT * FROM r WHERE place <= 3""",
 )
 def nearest_fields(spark, sf_dir):
     return c.nearest_fields(catalog(spark, sf_dir))
 
 
-_EDIT = f"""edits AS (SELECT p.p_partkey, c.label, CAST(levenshtein({_NORM}, c.label) AS INTEGER) AS distance FROM printed p JOIN catalog c ON substr({_NORM}, 1, 1) = substr(c.label, 1, 1) AND abs(length({_NORM}) - length(c.label)) <= 2 AND levenshtein({_NORM}, c.label) <= 2),
+_EDIT = f"""edits AS (SELECT p.p_partkey, c.label, CAST(levenshtein({_NORM}, c.label) AS INTEGER) AS distance FROM printed p JOIN catalog c ON abs(length({_NORM}) - length(c.label)) <= 2 AND levenshtein({_NORM}, c.label) <= 2),
 edited AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_partkey ORDER BY distance, label) AS INTEGER) AS place FROM edits)"""
 
 

@@ -53,11 +53,11 @@ def abstention_codes(spark, sf_dir):
 
 @query(
     "ambiguity_buckets",
-    f"""WITH {PREDICTIONS_SQL}, k AS (SELECT page, family, count(DISTINCT section) AS options FROM predictions WHERE quantity >= 49 GROUP BY page, family), b AS (SELECT CASE WHEN options = 0 THEN '0' WHEN options = 1 THEN '1' WHEN options <= 5 THEN '2-5' ELSE '>5' END AS bucket FROM k)
+    f"""WITH {PREDICTIONS_SQL}, k AS (SELECT page, family, count(DISTINCT section) AS options FROM predictions GROUP BY page, family), b AS (SELECT CASE WHEN options = 0 THEN '0' WHEN options = 1 THEN '1' WHEN options <= 5 THEN '2-5' ELSE '>5' END AS bucket FROM k)
 SELECT bucket, count(*) AS n FROM b GROUP BY bucket""",
 )
 def ambiguity_buckets(spark, sf_dir):
-    options = predictions(spark, sf_dir).filter("quantity >= 49").groupBy("page", "family").agg(F.countDistinct("section").alias("options"))
+    options = predictions(spark, sf_dir).groupBy("page", "family").agg(F.countDistinct("section").alias("options"))
     bucket = F.when(F.col("options") == 0, "0").when(F.col("options") == 1, "1").when(F.col("options") <= 5, "2-5").otherwise(">5")
     return options.groupBy(bucket.alias("bucket")).agg(_n())
 

@@ -9,8 +9,8 @@ from ..operators import layout as g
 from ..registry import query
 from ..sources.tables import BOXES_SQL, PREDICTIONS_SQL, boxes, predictions, table
 
-#: Boxes whose id and page occur once: which of several would stay is not defined.
-_ONE = "unique_boxes AS (SELECT * FROM boxes QUALIFY count(*) OVER (PARTITION BY l_orderkey, l_partkey, page) = 1)"
+#: Of boxes that share id and page the least by its sides.
+_ONE = "unique_boxes AS (SELECT * FROM boxes QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_partkey, page ORDER BY x0, y0, x1, y1) = 1)"
 _BOXES = f"{BOXES_SQL}, {_ONE}, b AS (SELECT l_orderkey || '-' || l_partkey AS box, page, x0, y0, x1, y1, x0 + x1 AS cx, y0 + y1 AS cy FROM unique_boxes)"
 _PAIRS = f"""{_BOXES}, pairs AS (SELECT a.*, b.box AS box_b, b.x0 AS x0_b, b.y0 AS y0_b, b.x1 AS x1_b, b.y1 AS y1_b, b.cx AS cx_b, b.cy AS cy_b, (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) AS d2
   FROM b a JOIN b ON a.page = b.page AND a.box <> b.box WHERE (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 4 * 30 * 30)"""
@@ -18,8 +18,8 @@ RADIUS = 30
 
 
 def _boxes(spark, sf_dir):
-    once = F.count(F.lit(1)).over(W.partitionBy("l_orderkey", "l_partkey", "page"))
-    return g.with_centres(boxes(spark, sf_dir).withColumn("_n", once).filter("_n = 1").drop("_n"))
+    once = boxes(spark, sf_dir).groupBy("l_orderkey", "l_partkey", "page").agg(F.min(F.struct("x0", "y0", "x1", "y1")).alias("sides"))
+    return g.with_centres(once.select("l_orderkey", "l_partkey", "page", "sides.*"))
 
 
 def _pairs(spark, sf_dir):
@@ -62,14 +62,14 @@ def region_islands(spark, sf_dir):
 
 @query(
     "fragment_islands",
-    """WITH s AS (SELECT conv_id, turn, role, CASE WHEN length(text) - lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn) > 100 THEN 1 ELSE 0 END AS brk, length(text) AS n FROM conversations QUALIFY count(*) OVER (PARTITION BY conv_id, turn) = 1),
-i AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM s) SELECT conv_id, island, count(*) AS turns, CAST(sum(n) AS BIGINT) AS chars FROM i GROUP BY conv_id, island""",
+    """WITH s AS (SELECT conv_id, turn, role, CASE WHEN length(text) - lag(length(text)) OVER (PARTITION BY conv_id ORDER BY turn, length(text)) > 100 THEN 1 ELSE 0 END AS brk, length(text) AS n FROM conversations),
+i AS (SELECT *, CAST(sum(brk) OVER (PARTITION BY conv_id ORDER BY turn, n ROWS UNBOUNDED PRECEDING) AS BIGINT) AS island FROM s) SELECT conv_id, island, count(*) AS turns, CAST(sum(n) AS BIGINT) AS chars FROM i GROUP BY conv_id, island""",
 )
 def fragment_islands(spark, sf_dir):
     """Turns run on until one is over 100 characters longer than the one before."""
-    w = W.partitionBy("conv_id").orderBy("turn")
-    turns = table(spark, sf_dir, "conversations").withColumn("n", F.length("text")).withColumn("_k", F.count(F.lit(1)).over(W.partitionBy("conv_id", "turn"))).filter("_k = 1")
-    rows = g.islands(turns, ["conv_id"], [F.col("turn")], F.col("n") - F.lag("n").over(w) > 100)
+    w = W.partitionBy("conv_id").orderBy("turn", "n")
+    turns = table(spark, sf_dir, "conversations").withColumn("n", F.length("text"))
+    rows = g.islands(turns, ["conv_id"], [F.col("turn"), F.col("n")], F.col("n") - F.lag("n").over(w) > 100)
     return rows.groupBy("conv_id", "island").agg(F.count(F.lit(1)).alias("turns"), F.sum("n").alias("chars"))
 
 
@@ -94,10 +94,14 @@ def radius_pairs(spark, sf_dir):
     return _pairs(spark, sf_dir).filter(F.col("box") < F.col("box_b")).select("page", "box", "box_b", "d2")
 
 
-@query("knn_grid", f"WITH {_PAIRS}, r AS (SELECT page, box, box_b, d2, CAST(row_number() OVER (PARTITION BY page, box ORDER BY d2, box_b) AS INTEGER) AS place FROM pairs) SELECT * FROM r WHERE place <= 3")
+_WIDE = _PAIRS.replace("4 * 30 * 30", "4 * 120 * 120")
+
+
+@query("knn_grid", f"WITH {_WIDE}, r AS (SELECT page, box, box_b, d2, CAST(row_number() OVER (PARTITION BY page, box ORDER BY d2, box_b) AS INTEGER) AS place FROM pairs) SELECT * FROM r WHERE place <= 5")
 def knn_grid(spark, sf_dir):
+    """The five nearest boxes within 120."""
     place = F.row_number().over(W.partitionBy("page", "box").orderBy("d2", "box_b"))
-    return _pairs(spark, sf_dir).select("page", "box", "box_b", "d2", place.alias("place")).filter("place <= 3")
+    return g.near_pairs(_boxes(spark, sf_dir), 120).select("page", "box", "box_b", "d2", place.alias("place")).filter("place <= 5")
 
 
 _RELATION = """CASE WHEN x0 <= x0_b AND y0 <= y0_b AND x1 >= x1_b AND y1 >= y1_b THEN 'contains' WHEN x0 <= x1_b AND x0_b <= x1 AND y0 <= y1_b AND y0_b <= y1 THEN 'intersects'

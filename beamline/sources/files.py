@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Tasks that the rows of one value are dealt to, and so files of its folder at most.
+FILES_A_VALUE = 8
 
 
 def write_json_lines(rows: DataFrame, path: str, mode: str = "append") -> None:
@@ -23,5 +27,6 @@ def read_csv(like: DataFrame, path: str) -> DataFrame:
 
 
 def write_partitioned(rows: DataFrame, path: str, by: str) -> None:
-    """Parquet in a folder for each value, so that a filter on it prunes folders."""
-    rows.repartition(by).write.mode("overwrite").partitionBy(by).parquet(path)
+    """Parquet in a folder for each value, so that a filter on it prunes folders; the rows of a value are dealt to several tasks."""
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(FILES_A_VALUE))
+    rows.repartition(by, salt).write.mode("overwrite").partitionBy(by).parquet(path)

@@ -1,18 +1,21 @@
 """Windowed counts, sessions and deduplication of the event stream.
 
 Each is one function of a DataFrame, batch or streaming. The queries run it as a stream until the input is
-read, and each micro-batch replaces its result in the shared folder.
+read. Window counts and totals come in update mode: a micro-batch writes the rows that it changed to a
+folder of its own, which a repeated batch overwrites, and the latest row of each key counts; the watermark
+drops the state of old windows. Sessions, which have no update mode, come in complete mode.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..registry import query
+from ..sources.scratch import scratch_path
 
 WATERMARK = "1 hour"
 
@@ -29,20 +32,24 @@ def totals(events: DataFrame) -> DataFrame:
     return events.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.max("event_id").alias("last"), F.max("value").alias("most"))
 
 
-def streamed(spark: SparkSession, path: str, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """The result of step over the stream of the files of that name, when all are read."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/beamline").rstrip("/") + f"/stream-{uuid.uuid4().hex}"
+def streamed(spark: SparkSession, path: str, step: Callable[[DataFrame], DataFrame], keys: list[str] | None = None) -> DataFrame:
+    """The result of step over the stream of the files of that name, when all are read; in update mode if it has keys."""
+    base = scratch_path(spark, "stream")
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     out = step(spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp")))
-    put = lambda rows, _: rows.write.mode("overwrite").parquet(f"{base}/result")
-    out.writeStream.outputMode("complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
-    return spark.read.schema(out.schema).parquet(f"{base}/result")
+    put = lambda rows, batch: rows.write.mode("overwrite").parquet(f"{base}/result/batch={batch if keys else 0}")
+    out.writeStream.outputMode("update" if keys else "complete").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    rows = spark.read.schema(T.StructType([*out.schema.fields, T.StructField("batch", T.LongType())])).parquet(f"{base}/result")
+    if not keys:
+        return rows.drop("batch")
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*out.columns), "batch").alias("last"))
+    return latest.select("last.*")
 
 
 @query("stream_hourly", "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 2) AS value FROM events GROUP BY 1, 2")
 def stream_hourly(spark, sf_dir):
-    return streamed(spark, f"{sf_dir}/events.parquet", hourly)
+    return streamed(spark, f"{sf_dir}/events.parquet", hourly, ["start", "event_type"])
 
 
 @query(
@@ -56,4 +63,4 @@ def stream_sessions(spark, sf_dir):
 
 @query("stream_totals", "SELECT event_type, count(*) AS n, max(event_id) AS last, max(value) AS most FROM events GROUP BY event_type")
 def stream_totals(spark, sf_dir):
-    return streamed(spark, f"{sf_dir}/events.parquet", totals)
+    return streamed(spark, f"{sf_dir}/events.parquet", totals, ["event_type"])
