@@ -19,15 +19,23 @@ def latest(rows: DataFrame, superseded: DataFrame, id_col: str, group: str, orde
     return left.groupBy(group).agg(best.alias("best")).select("best.*")
 
 
+#: From where a confidence is high, and from where it is medium.
+HIGH, MEDIUM = 0.80, 0.55
+
+
 def review_status() -> Column:
-    """What becomes of a prediction; the first condition that holds decides."""
+    """What becomes of a prediction; the first condition that holds decides.
+
+    A row without a section abstains, unknown eligibility is a conflict, a schedule row is one that the
+    catalog has not verified, and the pattern of all families but one matches.
+    """
+    conflict, matches = F.col("eligible").isNull(), F.col("family") != "HP"
     return (
-        F.when((F.col("source") == "GEOMETRY") & (F.col("confidence") < 0.5), "pending")
-        .when(F.col("section").isNull(), "pending")
-        .when(F.col("confidence") >= 0.8, "auto")
-        .when((F.col("confidence") < 0.3) | F.col("eligible").isNull(), "pending")
-        .when(F.col("source") == "CORRECTION", "correction_suggested")
-        .otherwise("accepted_unverified")
+        F.when(F.col("section").isNull(), "pending_review")
+        .when((F.col("confidence") >= HIGH) & ~conflict & matches, "auto_accepted")
+        .when((F.col("source") == "CORRECTION") | conflict | (F.col("confidence") < MEDIUM), "pending_review")
+        .when(F.col("is_schedule"), F.when(matches, "accepted_unverified").otherwise("correction_suggested"))
+        .otherwise("auto_accepted")
     )
 
 

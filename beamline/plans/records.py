@@ -102,8 +102,8 @@ def threshold_trigger(spark, sf_dir):
     return table(spark, sf_dir, "events").filter("event_type = 'error'").withColumn("k", k).filter("k % 10 = 0").select("user_id", "event_id", F.floor(F.col("k") / 10).alias("trigger"))
 
 
-_STATUS = """CASE WHEN source = 'GEOMETRY' AND confidence < 0.5 THEN 'pending' WHEN section IS NULL THEN 'pending' WHEN confidence >= 0.8 THEN 'auto' WHEN confidence < 0.3 OR eligible IS NULL THEN 'pending'
-  WHEN source = 'CORRECTION' THEN 'correction_suggested' ELSE 'accepted_unverified' END"""
+_STATUS = """CASE WHEN section IS NULL THEN 'pending_review' WHEN confidence >= 0.8 AND eligible IS NOT NULL AND family <> 'HP' THEN 'auto_accepted' WHEN source = 'CORRECTION' OR eligible IS NULL OR confidence < 0.55 THEN 'pending_review'
+  WHEN is_schedule AND family <> 'HP' THEN 'accepted_unverified' WHEN is_schedule THEN 'correction_suggested' ELSE 'auto_accepted' END"""
 
 
 @query("review_policy", f"WITH {PREDICTIONS_SQL}, s AS (SELECT *, {_STATUS} AS status FROM predictions) SELECT source, status, count(*) AS n, CAST(sum(quantity) AS BIGINT) AS quantity FROM s GROUP BY source, status")

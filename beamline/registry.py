@@ -19,6 +19,8 @@ MODULES = (
     "beamline.plans.learning",
     "beamline.plans.more",
     "beamline.plans.decisions",
+    "beamline.plans.matching",
+    "beamline.plans.evidence",
     "beamline.plans.exports",
     "beamline.streaming.events",
 )
