@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import written
-from .textbytes import Bytes, mix, slices
+from .textbytes import SLICE_BYTES, Bytes, mix, slices
 
 #: Frequent words whose exact counts all tasks hold for the base score, 16 bytes each; it decides the cost, never the result.
 VOCABULARY = 1 << 18
@@ -245,17 +245,48 @@ def _log_probabilities(pair: np.ndarray, word: np.ndarray, before: np.ndarray, n
     return np.log10((low[pair] + PRIOR * (low[word] + 0.1) / norm) / (high[before] + PRIOR))
 
 
+DOC_FIELDS = "row long, id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>"
+ASK_FIELDS = "slice long, segment long, n long, keys binary, rows array<long>, lengths array<long>, places binary"
+
+
+def _nulls(fields: str, k: int) -> list[pa.Array]:
+    types = {"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
+    return [pa.nulls(k, types[x.split()[1]]) for x in fields.split(", ")]
+
+
+def _questions(words: np.ndarray, before: np.ndarray, doc: np.ndarray, rows: pa.Array, segments: int, slice_: int) -> list[pa.Array]:
+    """Of a slice one row of distinct n-grams for each segment to ask, and one of its tokens as places among them."""
+    zip_ = lambda x: pa.compress(x.astype(np.uint32).tobytes(), codec="zstd", asbytes=True)
+    grams = split_keys(np.concatenate([gram_keys(before, words), _single(words), _single(np.array([_START]))]), segments)
+    keys, places = np.unique(grams, return_inverse=True)
+    segment = (keys >> np.uint64(32)).astype(np.int64)
+    edges = np.flatnonzero(np.diff(segment, prepend=-1)).tolist()
+    ends = [*edges[1:], len(keys)]
+    low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+    k, lengths = len(edges), np.bincount(doc, minlength=len(rows))
+    return [
+        pa.array([slice_] * (k + 1)), pa.array([*segment[edges].tolist(), None], pa.int64()), pa.array([*(b - a for a, b in zip(edges, ends)), len(words)]),
+        pa.array([*(zip_(np.diff(low[a:b], prepend=np.uint32(0))) for a, b in zip(edges, ends)), None], pa.binary()), pa.array([None] * k + [rows.to_pylist()], pa.list_(pa.int64())),
+        pa.array([None] * k + [lengths.tolist()], pa.list_(pa.int64())), pa.array([None] * k + [zip_(places)], pa.binary()),
+    ]
+
+
 def _score(shared, filter_, norm: float, trained: int, segments: int):
-    """Rows with the base score of frequent words, the hashes of other words, and the score if the filter is here."""
+    """Rows with the base score of frequent words, the hashes of other words, and the score if the filter is here, else questions to its segments."""
+    names = [x.split()[0] for x in f"{DOC_FIELDS}, {ASK_FIELDS}".split(", ")]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, nth = np.int64(TaskContext.get().partitionId()) << 40, 0
         vocabulary = shared.value
         base_of = np.log10((vocabulary.counts + 0.1) / norm)
         end_base, end_known = math.log10((trained + 0.1) / norm), int(trained > 0)
-        for batch in (y for x in batches for y in slices(x)):
+        for batch in (y for x in batches for y in slices(x, limit=SLICE_BYTES if filter_ else ASKED_TOGETHER)):
             words, before, doc = _with_ends(Bytes(batch.column("text"), lower=True))
             k = batch.num_rows
             if filter_ is None:
+                asked = _questions(words, before, doc, batch.column("row"), segments, int(part) + nth)
+                yield pa.RecordBatch.from_arrays([*_nulls(DOC_FIELDS, len(asked[0])), *asked], names=names)
+                nth += 1
                 scores = np.zeros(k)
             else:
                 held: Filter = filter_.value
@@ -270,43 +301,18 @@ def _score(shared, filter_, norm: float, trained: int, segments: int):
             at = np.concatenate([[0], np.cumsum(np.bincount(of_doc[~head], minlength=k))]).astype(np.int32)
             base = np.bincount(of_doc[head], weights=base_of[ids[head]], minlength=k).astype(np.float64) + end_base
             columns = [batch.column("row"), batch.column("id"), batch.column("held_out"), pa.array(np.bincount(doc, minlength=k)), pa.array(np.bincount(of_doc[head], minlength=k) + end_known), pa.array(base), pa.array(scores), pa.ListArray.from_arrays(pa.array(at), pa.array(words[inner][~head].view(np.int64)))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "id", "held_out", "n_tokens", "known", "base", "score", "tail"])
+            yield pa.RecordBatch.from_arrays([*columns, *_nulls(ASK_FIELDS, k)], names=names)
 
     return score
 
 
-def _ask(segments: int):
-    """Of each slice: its tokens as places among its distinct n-grams, and one row of n-grams for each segment to ask."""
-
-    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, nth = np.int64(TaskContext.get().partitionId()) << 40, 0
-        names = ["slice", "segment", "n", "keys", "rows", "lengths", "places"]
-        zip_ = lambda x: pa.compress(x.astype(np.uint32).tobytes(), codec="zstd", asbytes=True)
-        for batch in (y for x in batches for y in slices(x, limit=ASKED_TOGETHER)):
-            words, before, doc = _with_ends(Bytes(batch.column("text"), lower=True))
-            grams = split_keys(np.concatenate([gram_keys(before, words), _single(words), _single(before)]), segments)
-            keys, places = np.unique(grams, return_inverse=True)
-            segment = (keys >> np.uint64(32)).astype(np.int64)
-            edges = np.flatnonzero(np.diff(segment, prepend=-1)).tolist()
-            low = (keys & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            ends = [*edges[1:], len(keys)]
-            lengths = np.bincount(doc, minlength=batch.num_rows)
-            k = len(edges)
-            rows = [pa.array([part + nth] * (k + 1)), pa.array([*segment[edges].tolist(), None], pa.int64()), pa.array([*(b - a for a, b in zip(edges, ends)), len(words)]), pa.array([*(pa.compress(low[a:b].tobytes(), codec="zstd", asbytes=True) for a, b in zip(edges, ends)), None], pa.binary())]
-            rows += [pa.array([None] * k + [batch.column("row").to_pylist()], pa.list_(pa.int64())), pa.array([None] * k + [lengths.astype(np.int64).tolist()], pa.list_(pa.int64())), pa.array([None] * k + [zip_(places)], pa.binary())]
-            nth += 1
-            yield pa.RecordBatch.from_arrays(rows, names=names)
-
-    return ask
-
-
 def _answer(probes: int):
     def answer(asked: pd.DataFrame, held: pd.DataFrame) -> pd.DataFrame:
         """Levels of the n-grams that slices ask of one segment."""
         here = Filter({0: held["bits"].iloc[0]}, 1, probes) if len(held) else None
         found = []
         for n, keys in zip(asked["n"], asked["keys"]):
-            level = here.probe(_unpacked(n, keys).astype(np.uint64)) if here else np.zeros(n, dtype=np.int64)
+            level = here.probe(np.cumsum(_unpacked(n, keys), dtype=np.uint64)) if here else np.zeros(n, dtype=np.int64)
             found.append(pa.compress(level.astype(np.uint8).tobytes(), codec="zstd", asbytes=True))
         return pd.DataFrame({"slice": asked["slice"], "segment": asked["segment"], "n": asked["n"], "levels": found}, columns=["slice", "segment", "n", "levels"])
 
@@ -319,17 +325,18 @@ def _finish(norm: float):
         found = np.concatenate([np.frombuffer(pa.decompress(x, decompressed_size=int(n), codec="zstd", asbytes=True), dtype=np.uint8) for n, x in zip(answers["n"], answers["levels"])]).astype(np.int64)
         me = slice_.iloc[0]
         n, lengths = int(me["n"]), np.asarray(me["lengths"])
-        level = found[_unpacked(3 * n, me["places"])]
-        p = _log_probabilities(level[:n], level[n : 2 * n], level[2 * n :], norm)
-        doc = np.repeat(np.arange(len(lengths)), lengths)
-        return pd.DataFrame({"row": np.asarray(me["rows"]), "asked": np.bincount(doc, weights=p, minlength=len(lengths))})
+        level = found[_unpacked(2 * n + 1, me["places"])]
+        pair, word, before = level[:n], level[n : 2 * n], np.empty(n, dtype=np.int64)
+        before[1:] = word[: n - 1]
+        before[np.cumsum(lengths) - lengths] = level[2 * n]
+        p = _log_probabilities(pair, word, before, norm)
+        return pd.DataFrame({"row": np.asarray(me["rows"]), "asked": np.bincount(np.repeat(np.arange(len(lengths)), lengths), weights=p, minlength=len(lengths))})
 
     return finish
 
 
-def _asked_scores(texts: DataFrame, filter_: DataFrame, segments: int, probes: int, norm: float) -> DataFrame:
+def _asked_scores(asked: DataFrame, filter_: DataFrame, probes: int, norm: float) -> DataFrame:
     """(row, asked): scores by asking the segments where they lie."""
-    asked = written(texts.select("row", "text").mapInArrow(_ask(segments), "slice long, segment long, n long, keys binary, rows array<long>, lengths array<long>, places binary"), "asked")
     to = asked.filter("segment is not null").select("slice", "segment", "n", "keys")
     answers = written(to.groupBy("segment").cogroup(filter_.groupBy("segment")).applyInPandas(_answer(probes), "slice long, segment long, n long, levels binary"), "answers")
     slices_ = asked.filter("segment is null").select("slice", "n", "rows", "lengths", "places")
@@ -367,15 +374,14 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     whole = None
     if (filter_.agg(F.sum("size")).first()[0] or 0) <= broadcast_filter:
         whole = spark.sparkContext.broadcast(Filter({r["segment"]: bytes(r["bits"]) for r in filter_.collect()}, segments, probes))
-    texts = texts.withColumn("row", F.monotonically_increasing_id())
-    if whole is None:
-        texts = written(texts, "texts")  # read twice, so the numbers must stay
-    scored = written(texts.mapInArrow(_score(shared, whole, norm, trained, segments), "row long, id long, held_out boolean, n_tokens long, known long, base double, score double, tail array<long>"), "scores")
+    rows = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score(shared, whole, norm, trained, segments), f"{DOC_FIELDS}, {ASK_FIELDS}")
+    rows = written(rows, "scores")
     for sent in (shared, whole):
         if sent is not None:
             sent.destroy()
+    scored = rows.filter("slice is null").select(*[x.split()[0] for x in DOC_FIELDS.split(", ")])
     if whole is None:
-        asked = _asked_scores(texts, filter_, segments, probes, norm).withColumnRenamed("row", "a")
+        asked = _asked_scores(rows.filter("slice is not null"), filter_, probes, norm).withColumnRenamed("row", "a")
         scored = scored.drop("score").join(asked, F.col("row") == F.col("a")).withColumnRenamed("asked", "score")
     rare = counts.filter(level < F.lit(float(least))).select(F.col("w").alias("t"), "c")
     tail = scored.select("row", F.explode("tail").alias("w")).join(rare, F.col("w") == F.col("t"), "left")
