@@ -30,3 +30,24 @@ def parsed(label: Column) -> dict[str, Column]:
 def grams(text: Column, n: int) -> Column:
     """The distinct character n-grams of a text; a shorter text is its own only gram."""
     return F.when(F.length(text) <= n, F.array(text)).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))))
+
+
+#: What a scanner's reading is repaired by, in this order.
+REPAIRS = (
+    ("\u00a0", " "),
+    ("[×✕]", "X"),
+    ("[–—]", "-"),
+    ("(?i)(?<=\\w)\\s+X\\s+(?=\\w)", "X"),
+    ("(?<=\\d)\\s*/\\s*(?=\\d)", "/"),
+    ("(?i)(?<=[A-Z])O(?=\\d)", "0"),
+    ("(?i)(?<=\\d)O(?=\\d)", "0"),
+    ("(?<=\\d)[|I](?=\\d)", "1"),
+    ("[ \\t]+", " "),
+)
+
+
+def repaired(text: Column) -> Column:
+    """Dashes, multiplication signs and spaces in one form; O and I between digits, or O between a letter and a digit, as the digits they print like."""
+    for pattern, put in REPAIRS:
+        text = F.regexp_replace(text, pattern, put)
+    return F.trim(text)

@@ -40,3 +40,30 @@ def mutual_nearest(pairs: DataFrame) -> DataFrame:
     first = pairs.select("page", "box", "box_b", "d2", place.alias("place")).filter("place = 1").drop("place")
     back = first.select("page", F.col("box").alias("box_b"), F.col("box_b").alias("box"))
     return first.join(back, ["page", "box", "box_b"]).filter(F.col("box") < F.col("box_b"))
+
+
+def greedy_assignment(pairs: DataFrame, margin: int) -> DataFrame:
+    """One-to-one pairs, nearest first: pairs (page, box, box_b, d2) with box < box_b.
+
+    A box whose two nearest differ by less than margin in d2 abstains. In each round the pairs that are
+    first for both of their boxes are taken, which gives the same pairs as going through all of them in
+    order of (d2, box, box_b); rounds go on until no pair is left.
+    """
+    key = F.struct("d2", "box", "box_b")
+    sides = lambda rows: rows.select("page", F.explode(F.array("box", "box_b")).alias("me"), key.alias("pair"))
+    two = sides(pairs).groupBy("page", "me").agg(F.slice(F.sort_array(F.collect_list("pair.d2")), 1, 2).alias("d"))  # boxes within the radius
+    torn = two.filter((F.size("d") > 1) & (F.col("d")[1] - F.col("d")[0] < margin)).select("page", "me")
+
+    def without(rows: DataFrame, taken: DataFrame) -> DataFrame:
+        for side in ("box", "box_b"):
+            rows = rows.join(taken.withColumnRenamed("me", side), ["page", side], "left_anti")
+        return rows.select("page", "box", "box_b", "d2")
+
+    left, done = written(without(pairs, torn), "open-pairs"), None
+    while left.limit(1).count():
+        best = sides(left).groupBy("page", "me").agg(F.min("pair").alias("pair"))
+        taken = best.groupBy("page", "pair").agg(F.count(F.lit(1)).alias("n")).filter("n = 2").select("page", "pair.box", "pair.box_b", "pair.d2")
+        taken = written(taken, "taken")
+        done = taken if done is None else done.unionByName(taken)
+        left = written(without(left, taken.select("page", F.explode(F.array("box", "box_b")).alias("me"))), "open-pairs")
+    return done if done is not None else left

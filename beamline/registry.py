@@ -21,6 +21,7 @@ MODULES = (
     "beamline.plans.decisions",
     "beamline.plans.matching",
     "beamline.plans.evidence",
+    "beamline.plans.rules",
     "beamline.plans.exports",
     "beamline.streaming.events",
 )

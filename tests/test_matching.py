@@ -1,13 +1,17 @@
 """What SQL does not express, against plain Python."""
 
 import random
+import re
 from collections import defaultdict
 from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
+from beamline.functions.labels import REPAIRS, repaired
 from beamline.operators import fuzzy
 from beamline.operators.folds import longest_matches, merge_duplicates
+from beamline.operators.graph import greedy_assignment
+from beamline.sources.files import catalog_faults, read_csv_text
 
 LABELS = ["W24X57", "W24X55", "W12X26", "WT7X21", "HP12X53", "C10X20", "MC8X20", "M12X10", "W8X10", "WT24X57", ""]
 TOKENS = ["W24X5", "W24XS7", "Q" "W12X26", "24X57", "HPI2X53", "ZZZ", "", "W", "c10x20", "WT24X57"]
@@ -78,3 +82,40 @@ def test_merge_duplicates(spark):
                 kept.append({"id": f"b{k}", "box": (x0, y0, x1, y1), "c": c, "n": 1})
         want |= {(page, s["id"], s["n"]) for s in kept}
     assert got == want
+
+
+def test_greedy_assignment(spark):
+    rng = random.Random(3)
+    at = [(page, f"b{k:02}", rng.randrange(60), rng.randrange(60)) for page in range(3) for k in range(25)]
+    pairs = [(p, a, b, (x - u) ** 2 + (y - v) ** 2) for p, a, x, y in at for q, b, u, v in at if p == q and a < b and (x - u) ** 2 + (y - v) ** 2 <= 900]
+    got = {(r.page, r.box, r.box_b) for r in greedy_assignment(spark.createDataFrame(pairs, "page int, box string, box_b string, d2 int"), 4).collect()}
+    near = defaultdict(list)
+    for p, a, b, d in pairs:
+        near[p, a].append(d)
+        near[p, b].append(d)
+    torn = {k for k, d in near.items() if len(d) > 1 and sorted(d)[1] - sorted(d)[0] < 4}
+    taken, want = set(torn), set()
+    for d, p, a, b in sorted((d, p, a, b) for p, a, b, d in pairs):
+        if (p, a) not in taken and (p, b) not in taken:
+            taken |= {(p, a), (p, b)}
+            want.add((p, a, b))
+    assert got == want and want and torn
+    assert greedy_assignment(spark.createDataFrame([], "page int, box string, box_b string, d2 int"), 4).count() == 0
+
+
+def test_repaired(spark):
+    texts = ["W24 x 57", "W24×S7", "WO5", "1O5", "1I5 2|3", "3 / 4", "a\u00a0b  c\t", "1–2—3", "", "OO7", "Hss8✕8"]
+    got = [r.v for r in spark.createDataFrame([(x,) for x in texts], "t string").select(repaired(F.col("t")).alias("v")).collect()]
+    for text, value in zip(texts, got):
+        for pattern, put in REPAIRS:
+            text = re.sub(pattern, put, text)
+        assert value == text.strip()
+    assert got[:5] == ["W24X57", "W24XS7", "W05", "105", "115 213"]
+
+
+def test_csv_as_text(spark, tmp_path):
+    (tmp_path / "c.csv").write_text('label,type\nW1X2,a\nW1X2,b\n,c\nnone,\n"W3,4",a\n')
+    rows = read_csv_text(spark, f"file://{tmp_path}/c.csv", ["label", "type"])
+    assert [t for _, t in rows.dtypes] == ["string", "string"] and rows.count() == 5
+    assert {r.fault: r.n for r in catalog_faults(rows, "label", "type").collect()} == {"blank_label": 1, "blank_type": 1, "no_digit": 1, "repeated": 1, "conflicting": 1}
+    assert read_csv_text(spark, f"file://{tmp_path}/none.csv", ["label", "type"]).collect() == []
