@@ -1,10 +1,12 @@
 """Encoding to the pieces of a SentencePiece model by streaming Viterbi, and decoding back.
 
 The best segmentation has the greatest sum of piece scores; where sums tie, the piece that begins
-earlier wins. The search keeps the scores of one window, as long as the longest piece, and commits ids as
-soon as every surviving path passes one boundary. When no piece holds the space sign after another
-character, all paths meet before every run of spaces; the words between are then searched many at once,
-each distinct one once. Characters outside the vocabulary become byte pieces.
+earlier wins. `stream` is the search itself: it keeps the scores of one window, as long as the longest
+piece, and commits ids as soon as every surviving path passes one boundary. The same rule gives the windows
+of the main path: when no piece holds the space sign after another character, all paths meet before every
+run of spaces, so what lies between two such boundaries is committed there, in batches of windows of one
+length, each distinct one once. Words over SHORT characters, runs of spaces, texts that hold the sign itself,
+and models without that property go through `stream`. Characters outside the vocabulary become byte pieces.
 
 Defined cases: a null or empty text has no ids; decoding the ids of a text gives the text back byte by byte,
 except that the space sign U+2581 itself comes back as a space; rows that repeat an id are encoded each;

@@ -125,11 +125,11 @@ def _encode(path: str, end_id: int):
     return encode
 
 
-def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> None:
+def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", stripe_bytes: int | None = None) -> None:
     """Encode the texts of docs and write them in ascending id order as ORC files under path."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     ordered = rows.repartitionByRange(partitions(docs.sparkSession), "doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id", F.xxhash64("text"))
-    ordered.mapInArrow(_encode(tokenizer, end_id), "part int, doc_id long, local_start long, n_tokens long, ids array<int>").write.options(**ORC_OPTIONS).orc(path)
+    ordered.mapInArrow(_encode(tokenizer, end_id), "part int, doc_id long, local_start long, n_tokens long, ids array<int>").write.options(**ORC_OPTIONS | ({"orc.stripe.size": str(stripe_bytes)} if stripe_bytes else {})).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:

@@ -46,6 +46,30 @@ def test_files_are_orc_with_pushed_filters(spark, docs):
     assert "PushedFilters: [IsNotNull(doc_id), EqualTo(doc_id,6)]" in frame._jdf.queryExecution().toString()
 
 
+def test_stripes_are_pruned_by_their_metadata(spark):
+    """Files of many stripes, of which a read of a few ids opens few."""
+    from pyarrow import orc
+
+    path = scratch_path(spark, "t")
+    rows = spark.range(60_000).selectExpr("id as doc_id", "concat('word ', id % 50) as text").repartition(3)
+    write_tokens(rows, path, PATH, stripe_bytes=50_000)
+    files = [f for f in spark.read.orc(path).inputFiles()]
+    stripes = [orc.ORCFile(f.removeprefix("file://")).nstripes for f in files]
+    assert max(stripes) > 1
+
+    def read(condition):
+        frame = spark.read.orc(path).filter(condition).select("doc_id", "n_tokens")
+        frame.collect()
+        plan = frame._jdf.queryExecution().executedPlan()
+        leaf = plan.collectLeaves().head()
+        return leaf.metrics().apply("numOutputRows").value()
+
+    assert read("doc_id >= 0") == 60_000
+    assert read("doc_id between 100 and 120") < 60_000 / max(2, sum(stripes)) * 2
+    # An id that no stripe's Bloom filter or range holds reads nothing.
+    assert read("doc_id = 70000") == 0
+
+
 def test_empty(spark, no_docs):
     path = scratch_path(spark, "t")
     write_tokens(no_docs, path, PATH)
