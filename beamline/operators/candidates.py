@@ -94,13 +94,34 @@ def edit_distance(printed: DataFrame, catalog: DataFrame, most: int = 3, limit:
     return named.join(found, "norm").select("p_partkey", "label", "distance", "place")
 
 
+def _rare_first(rows: DataFrame, key: str, text: Column, seen: DataFrame, n: int) -> DataFrame:
+    """(key, grams): the distinct n-grams of each text, those of the fewest labels first."""
+    apart = rows.select(key, F.explode(grams(text, n)).alias("gram")).join(seen, "gram", "left")
+    sorted_ = F.sort_array(F.collect_list(F.struct(F.coalesce("seen", F.lit(0)).alias("seen"), "gram")))
+    return apart.groupBy(key).agg(F.transform(sorted_, lambda x: x["gram"]).alias("grams"))
+
+
 def gram_similarity(printed: DataFrame, catalog: DataFrame, n: int = 3, most: int = 3) -> DataFrame:
-    """Labels by the Jaccard similarity of character n-grams, through an inverted index."""
-    left = printed.select("p_partkey", grams(normalised(F.col("printed")), n).alias("g")).select("p_partkey", F.size("g").alias("a"), F.explode("g").alias("gram"))
-    right = catalog.select("label", grams(F.col("label"), n).alias("g")).select("label", F.size("g").alias("b"), F.explode("g").alias("gram"))
-    common = left.join(right, "gram").groupBy("p_partkey", "label", "a", "b").agg(F.count(F.lit(1)).alias("c"))
-    score = common.withColumn("score", F.round(F.col("c") / (F.col("a") + F.col("b") - F.col("c")), 6))
-    return first_of(score, ["p_partkey"], [F.desc("score"), F.col("label")], most).select("p_partkey", "label", "score", "place")
+    """Labels by the Jaccard similarity of character n-grams, through an inverted index of distinct tokens.
+
+    Pairs of a similarity of at least t share one of the rarest n-grams of each, so only those are indexed,
+    first for a high t; tokens that have enough labels there are searched no further.
+    """
+    named = printed.select("p_partkey", normalised(F.col("printed")).alias("norm"))
+    seen = written(catalog.select(F.explode(grams(F.col("label"), n)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("seen")), "grams")
+    labels = written(_rare_first(catalog, "label", F.col("label"), seen, n).withColumnRenamed("grams", "others"), "label-grams")
+    open_, found = written(_rare_first(named.select("norm").distinct(), "norm", F.col("norm"), seen, n), "token-grams"), None
+    for least in (0.5, 0.25, 0.0):
+        first = lambda c: F.explode(F.slice(c, 1, (F.size(c) - F.ceil(F.size(c) * least) + 1).cast("int"))).alias("gram")
+        met = open_.select("norm", "grams", first("grams")).join(labels.select("label", "others", first("others")), "gram").dropDuplicates(["norm", "label"])
+        common = F.size(F.array_intersect("grams", "others"))
+        score = met.select("norm", "label", (common / (F.size("grams") + F.size("others") - common)).alias("score")).filter(F.col("score") >= least)
+        near = written(first_of(score, ["norm"], [F.desc("score"), F.col("label")], most), "near-labels")
+        full = near.filter(F.col("place") == most).select("norm")
+        done = near.join(full, "norm", "left_semi") if least else near
+        found = done if found is None else found.unionByName(done)
+        open_ = open_.join(full, "norm", "left_anti")
+    return named.join(found, "norm").select("p_partkey", "label", F.round("score", 6).alias("score"), "place")
 
 
 def union_by_priority(strategies: list[tuple[str, DataFrame]], most: int = 25) -> DataFrame:

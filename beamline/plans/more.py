@@ -110,14 +110,16 @@ def tfidf_retrieval(spark, sf_dir):
     labels = catalog(spark, sf_dir)
     n = labels.agg(F.count(F.lit(1)).alias("n"))
     d = labels.select("label", F.explode(grams(F.col("label"), 2)).alias("gram"))
-    p = labelled_parts(spark, sf_dir).select("p_partkey", F.explode(grams(normalised(F.col("printed")), 2)).alias("gram"))
+    named = labelled_parts(spark, sf_dir).select("p_partkey", normalised(F.col("printed")).alias("norm"))
+    p = named.select("norm").distinct().select("norm", F.explode(grams(F.col("norm"), 2)).alias("gram"))
     counts = d.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))
     w = counts.select("gram", F.pow(F.log((1 + F.col("n")) / (1.0 + F.col("df"))) + 1, F.lit(2)).alias("w"))
     dw, pw = d.join(w, "gram"), p.join(w, "gram")
-    nd, np_ = dw.groupBy("label").agg(F.sum("w").alias("sd")), pw.groupBy("p_partkey").agg(F.sum("w").alias("sp"))
-    both = pw.join(d, "gram").groupBy("p_partkey", "label").agg(F.sum("w").alias("s")).join(nd, "label").join(np_, "p_partkey")
-    score = both.select("p_partkey", "label", F.round(F.col("s") / F.sqrt(F.col("sd") * F.col("sp")), 6).alias("score"))
-    return c.first_of(score, ["p_partkey"], [F.desc("score"), F.col("label")], 1).select("p_partkey", "label", "score")
+    nd, np_ = dw.groupBy("label").agg(F.sum("w").alias("sd")), pw.groupBy("norm").agg(F.sum("w").alias("sp"))
+    both = pw.join(d, "gram").groupBy("norm", "label").agg(F.sum("w").alias("s")).join(nd, "label").join(np_, "norm")
+    score = both.select("norm", F.struct(F.round(-F.col("s") / F.sqrt(F.col("sd") * F.col("sp")), 6).alias("less"), "label").alias("hit"))
+    best = score.groupBy("norm").agg(F.min("hit").alias("hit"))
+    return named.join(best, "norm").select("p_partkey", "hit.label", (-F.col("hit.less")).alias("score"))
 
 
 @query("boilerplate_slots", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents), s AS (SELECT doc_id, regexp_replace(line, '[0-9]+', '#', 'g') AS slot FROM l) SELECT slot, count(*) AS n, count(DISTINCT doc_id) AS docs FROM s GROUP BY slot HAVING count(DISTINCT doc_id) >= 3")
