@@ -373,7 +373,8 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     filter_ = written(training.mapInArrow(_count_grams(segments), "segment long, n long, keys binary, counts binary").groupBy("segment").applyInPandas(_segment_of(probes), "segment long, size long, bits binary"), "filter")
     whole = None
     if (filter_.agg(F.sum("size")).first()[0] or 0) <= broadcast_filter:
-        whole = spark.sparkContext.broadcast(Filter({r["segment"]: bytes(r["bits"]) for r in filter_.collect()}, segments, probes))
+        # broadcast_filter bytes at most, fetched part by part.
+        whole = spark.sparkContext.broadcast(Filter({r["segment"]: bytes(r["bits"]) for r in filter_.toLocalIterator()}, segments, probes))
     rows = texts.withColumn("row", F.monotonically_increasing_id()).mapInArrow(_score(shared, whole, norm, trained, segments), f"{DOC_FIELDS}, {ASK_FIELDS}")
     rows = written(rows, "scores")
     for sent in (shared, whole):
