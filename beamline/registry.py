@@ -22,6 +22,7 @@ MODULES = (
     "beamline.plans.matching",
     "beamline.plans.evidence",
     "beamline.plans.rules",
+    "beamline.plans.drawing",
     "beamline.plans.exports",
     "beamline.streaming.events",
 )
