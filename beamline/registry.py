@@ -23,6 +23,7 @@ MODULES = (
     "beamline.plans.evidence",
     "beamline.plans.rules",
     "beamline.plans.drawing",
+    "beamline.plans.readings",
     "beamline.plans.exports",
     "beamline.streaming.events",
 )
