@@ -24,6 +24,7 @@ MODULES = (
     "beamline.plans.rules",
     "beamline.plans.drawing",
     "beamline.plans.readings",
+    "beamline.plans.profiles",
     "beamline.plans.exports",
     "beamline.streaming.events",
 )
