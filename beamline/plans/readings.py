@@ -375,3 +375,90 @@ def rerank_fusion(spark, sf_dir):
     w = W.partitionBy("page").orderBy(F.desc("score"), "section")
     w = scored.select("page", "section", "evidence", F.col("score").alias("top"), F.coalesce(F.lead("score").over(w), F.lit(0.0)).alias("second"), F.row_number().over(w).alias("k")).filter("k = 1")
     return w.select("page", "section", F.round("top", 6).alias("score"), F.round(F.expr(_FUSED.format(d="D")), 6).alias("confidence"))
+
+
+@query(
+    "plate_marks",
+    f"""WITH {PREDICTIONS_SQL}, rows AS (SELECT l_suppkey AS document, 'BP' || l_partkey % 60 AS mark, section AS plate FROM predictions WHERE is_schedule AND section IS NOT NULL), k AS (SELECT document, mark, min(plate) AS plate, count(DISTINCT plate) AS plates, count(*) AS n FROM rows GROUP BY 1, 2),
+u AS (SELECT l_suppkey AS document, 'BP' || l_partkey % 60 AS mark, count(*) AS used FROM predictions WHERE NOT is_schedule GROUP BY 1, 2)
+SELECT document, mark, used, CASE WHEN n = 1 OR plates = 1 THEN plate END AS plate, CASE WHEN plates IS NULL THEN 'absent' WHEN plates = 1 THEN 'resolved' ELSE 'ambiguous' END AS status FROM u LEFT JOIN k USING (document, mark)""",
+)
+def plate_marks(spark, sf_dir):
+    """Plate marks of a document through all its schedules; several different plates leave the mark open."""
+    rows = predictions(spark, sf_dir).select(F.col("l_suppkey").alias("document"), F.concat(F.lit("BP"), (F.col("l_partkey") % 60).cast("string")).alias("mark"), "section", "is_schedule")
+    plates = rows.filter("is_schedule and section is not null").groupBy("document", "mark").agg(F.min("section").alias("plate"), F.countDistinct("section").alias("plates"))
+    used = rows.filter("not is_schedule").groupBy("document", "mark").agg(F.count(F.lit(1)).alias("used"))
+    one = F.col("plates") == 1
+    status = F.when(F.col("plates").isNull(), "absent").when(one, "resolved").otherwise("ambiguous")
+    return used.join(plates, ["document", "mark"], "left").select("document", "mark", "used", F.when(one, F.col("plate")).alias("plate"), status.alias("status"))
+
+
+@query(
+    "level_agreement",
+    """WITH l AS (SELECT l_suppkey AS page, l_partkey % 6 AS level, CAST(round(avg(l_quantity) * 4) AS BIGINT) AS noted FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2), s AS (SELECT l_suppkey AS page, l_partkey % 6 AS level, CAST(round(avg(l_quantity) * 4) AS BIGINT) AS scheduled FROM lineitem WHERE l_linenumber > 3 GROUP BY 1, 2)
+SELECT page, level, noted, scheduled, scheduled - noted AS difference, CASE WHEN noted IS NULL THEN 'schedule_only' WHEN scheduled IS NULL THEN 'note_only' WHEN abs(scheduled - noted) <= 1 THEN 'agree' ELSE 'conflict' END AS status FROM l FULL JOIN s USING (page, level)""",
+)
+def level_agreement(spark, sf_dir):
+    """A level's height by the plan's notes and by the schedule: agreement within an inch, conflict, or one source alone."""
+    items = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), (F.col("l_partkey") % 6).alias("level"), "l_linenumber", "l_quantity")
+    mean = lambda rows, name: rows.groupBy("page", "level").agg(F.round(F.avg("l_quantity") * 4).cast("long").alias(name))
+    both = mean(items.filter("l_linenumber <= 3"), "noted").join(mean(items.filter("l_linenumber > 3"), "scheduled"), ["page", "level"], "full")
+    gap = F.col("scheduled") - F.col("noted")
+    status = F.when(F.col("noted").isNull(), "schedule_only").when(F.col("scheduled").isNull(), "note_only").when(F.abs(gap) <= 1, "agree").otherwise("conflict")
+    return both.select("page", "level", "noted", "scheduled", gap.alias("difference"), status.alias("status"))
+
+
+@query(
+    "batch_review",
+    f"""WITH {PARTS_SQL}, k AS (SELECT user_id, ts, min(event_id) AS first FROM events GROUP BY ALL) SELECT event_id, CASE WHEN value IS NULL OR value <= 0 THEN 'invalid_value' WHEN event_id <> first THEN 'duplicate_item' WHEN label IS NULL THEN 'unknown_object' END AS error, CASE WHEN value > 0 AND event_id = first THEN label END AS label
+  FROM events LEFT JOIN k USING (user_id, ts) LEFT JOIN parts ON p_partkey = event_id % 3000""",
+)
+def batch_review(spark, sf_dir):
+    """Reviews applied in one batch: each row's label, or the first error that keeps it out."""
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", (F.col("event_id") % 3000).alias("p_partkey"))
+    first = events.groupBy("user_id", "ts").agg(F.min("event_id").alias("first"))
+    met = events.join(first, ["user_id", "ts"], "left").join(labelled_parts(spark, sf_dir).select("p_partkey", "label"), "p_partkey", "left")
+    c = F.col
+    error = F.when(c("value").isNull() | (c("value") <= 0), "invalid_value").when(c("event_id") != c("first"), "duplicate_item").when(c("label").isNull(), "unknown_object")
+    return met.select("event_id", error.alias("error"), F.when((c("value") > 0) & (c("event_id") == c("first")), c("label")).alias("label"))
+
+
+@query(
+    "modality_union",
+    f"""WITH {PREDICTIONS_SQL}, u AS (SELECT 'text' AS modality, printed AS sample, label, 0 AS source FROM printed UNION ALL SELECT 'geometry', section, section, 1 FROM predictions WHERE source = 'GEOMETRY' AND section IS NOT NULL UNION ALL SELECT 'text', section, section, 2 FROM predictions WHERE source = 'CORRECTION' AND section IS NOT NULL),
+d AS (SELECT modality, sample, label, min(source) AS source, count(*) AS n FROM u GROUP BY 1, 2, 3) SELECT modality, source, count(*) AS samples, CAST(sum(n) AS BIGINT) AS rows FROM d GROUP BY 1, 2""",
+)
+def modality_union(spark, sf_dir):
+    """All sources' samples, once each within their modality; the first source keeps a sample."""
+    rows = predictions(spark, sf_dir).filter("section is not null")
+    of = lambda name, modality, turn: rows.filter(F.col("source") == name).select(F.lit(modality).alias("modality"), F.col("section").alias("sample"), F.col("section").alias("label"), F.lit(turn).alias("source"))
+    base = labelled_parts(spark, sf_dir).select(F.lit("text").alias("modality"), F.col("printed").alias("sample"), "label", F.lit(0).alias("source"))
+    once = base.unionByName(of("GEOMETRY", "geometry", 1)).unionByName(of("CORRECTION", "text", 2)).groupBy("modality", "sample", "label").agg(F.min("source").alias("source"), _n())
+    return once.groupBy("modality", "source").agg(F.count(F.lit(1)).alias("samples"), F.sum("n").alias("rows"))
+
+
+@query(
+    "reference_edges",
+    f"""WITH n AS (SELECT l_orderkey AS sheet, {_NOTE} AS raw FROM lineitem), r AS (SELECT DISTINCT sheet, 'S' || regexp_replace(regexp_extract(raw, '{_SHEET}', 1), '[^0-9]', '', 'g') AS ref FROM n WHERE regexp_matches(raw, '{_SHEET}')), h AS (SELECT *, min(sheet) OVER (PARTITION BY ref) AS hub FROM r)
+SELECT hub, sheet, list_sort(list(ref)) AS shared FROM h WHERE sheet <> hub GROUP BY hub, sheet""",
+)
+def reference_edges(spark, sf_dir):
+    """Sheets that share a drawing reference, each tied to the first that names it: the components of all pairs, in linear size."""
+    notes = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("sheet"), F.expr(_NOTE).alias("raw")).filter(F.col("raw").rlike(_SHEET))
+    refs = notes.select("sheet", F.concat(F.lit("S"), F.regexp_replace(F.regexp_extract("raw", _SHEET, 1), "[^0-9]", "")).alias("ref")).distinct()
+    hubs = refs.groupBy("ref").agg(F.min("sheet").alias("hub"))
+    return refs.join(hubs, "ref").filter("sheet <> hub").groupBy("hub", "sheet").agg(F.sort_array(F.collect_set("ref")).alias("shared"))
+
+
+@query(
+    "pair_discovery",
+    """WITH d AS (SELECT 'plan_' || (s_suppkey % 700) AS stem, CAST(s_suppkey AS BIGINT) AS drawing FROM supplier), w AS (SELECT 'plan_' || (c_custkey % 900) AS stem, c_custkey AS workbook FROM customer), a AS (SELECT stem, min(drawing) AS drawing, count(*) AS drawings FROM d GROUP BY stem), b AS (SELECT stem, min(workbook) AS workbook, count(*) AS workbooks FROM w GROUP BY stem)
+SELECT stem, drawing, workbook, CASE WHEN drawing IS NULL THEN 'no_drawing' WHEN workbook IS NULL THEN 'no_workbook' WHEN drawings > 1 THEN 'several' ELSE 'paired' END AS status FROM a FULL JOIN b USING (stem)""",
+)
+def pair_discovery(spark, sf_dir):
+    """Drawings and workbooks of one file stem as training pairs, and what has no partner or several."""
+    stem = lambda c, n: F.concat(F.lit("plan_"), (F.col(c) % n).cast("string")).alias("stem")
+    a = table(spark, sf_dir, "supplier").groupBy(stem("s_suppkey", 700)).agg(F.min(F.col("s_suppkey").cast("long")).alias("drawing"), F.count(F.lit(1)).alias("drawings"))
+    b = table(spark, sf_dir, "customer").groupBy(stem("c_custkey", 900)).agg(F.min("c_custkey").alias("workbook"))
+    status = F.when(F.col("drawing").isNull(), "no_drawing").when(F.col("workbook").isNull(), "no_workbook").when(F.col("drawings") > 1, "several").otherwise("paired")
+    return a.join(b, "stem", "full").select("stem", "drawing", "workbook", status.alias("status"))
