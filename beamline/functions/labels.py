@@ -54,18 +54,13 @@ def repaired(text: Column) -> Column:
 
 
 def closed_json(text: Column) -> Column:
-    """A JSON text that was cut off, with the quotes, braces and brackets closed that it leaves open."""
-    start = F.struct(F.lit(False).alias("quoted"), F.lit(False).alias("escaped"), F.lit("").alias("closers"))
-
-    def step(s: Column, ch: Column) -> Column:
-        closer = F.when(ch == "{", "}").when(ch == "[", "]")
-        closers = F.when(s["quoted"], s["closers"]).when(closer.isNotNull(), F.concat(closer, s["closers"])).when(ch.isin("}", "]"), F.substring(s["closers"], 2, 1 << 30)).otherwise(s["closers"])
-        return F.struct(
-            F.when(s["quoted"], s["escaped"] | (ch != '"')).otherwise(ch == '"').alias("quoted"),
-            (s["quoted"] & ~s["escaped"] & (ch == "\\")).alias("escaped"),
-            closers.alias("closers"),
-        )
-
-    end = F.aggregate(F.filter(F.split(text, ""), lambda ch: ch != ""), start, step)
-    whole = F.when(end["quoted"], F.concat(text, F.lit('"'))).otherwise(text)
-    return F.concat(F.regexp_replace(F.rtrim(whole), ",$", ""), end["closers"])
+    """A JSON text that was cut off, with the quote, braces and brackets closed that it leaves open.
+
+    Whole strings are taken out first; a quote that is left opens the string in which the text ends.
+    """
+    bare = F.regexp_replace(text, '"(?:[^"\\\\]++|\\\\[\\s\\S])*+"', "")
+    nesting = F.regexp_replace(F.split_part(bare, F.lit('"'), F.lit(1)), "[^{}\\[\\]]", "")
+    signs = F.filter(F.split(nesting, ""), lambda ch: ch != "")
+    closers = F.aggregate(signs, F.lit(""), lambda left, ch: F.when(ch.isin("{", "["), F.concat(F.translate(ch, "{[", "}]"), left)).otherwise(F.substring(left, F.lit(2), F.length(left))))
+    ended = F.when(bare.contains('"'), F.concat(text, F.lit('"'))).otherwise(F.regexp_replace(F.rtrim(text), ",$", ""))
+    return F.concat(ended, closers)
