@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language_crf, line_dedup, lm_score, mixing, piece_codec, token_orc, topk_search, url_filter
+from . import exact_dedup, jaccard_join, language_crf, line_dedup, lm_score, minhash_dedup, mixing, piece_codec, token_orc, topk_search, url_filter
 
 QUERIES = {
     "op1_token_orc": token_orc.op1_token_orc,
@@ -15,6 +15,7 @@ QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_piece_codec": piece_codec.op8_piece_codec,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op13_minhash_dedup": minhash_dedup.op13_minhash_dedup,
 }
 
 SQL = {

@@ -17,7 +17,8 @@ columns are ignored. N-grams and sets are told apart by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -72,8 +73,11 @@ def bitmap(grams: np.ndarray) -> bytes:
     return np.packbits(np.bincount((grams >> np.uint64(20)).astype(np.int64) % BITMAP_BITS, minlength=BITMAP_BITS).astype(np.uint8) & 1).tobytes()
 
 
-def _survey(n: int):
-    """Rows (id, size, cls) for documents, and at the end of each task its part of the sketch by segment."""
+SURVEYED = "id long, text_hash long, size long, cls long, segment int, counts binary"
+
+
+def _survey(n: int, keep: int | None = None):
+    """Rows (id, size, cls) for documents, and at the end of each task its part of the sketch by segment; keep: only so many of the least n-grams of a text are counted."""
 
     def survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
@@ -81,7 +85,7 @@ def _survey(n: int):
         for batch in (y for x in batches for y in slices(x)):
             sizes, cls = [], []
             for grams in ngram_sets(batch.column("text"), n):
-                np.add.at(counts, (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
+                np.add.at(counts, (mix(grams[:keep]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64) if keep else (grams >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
                 sizes.append(len(grams))
                 cls.append(set_id(grams))
             k = len(sizes)
@@ -112,6 +116,21 @@ def prefix_length(size: int, percent: int) -> int:
     return size - -(-percent * size // 100) + 1
 
 
+@dataclass(frozen=True)
+class WholeSets:
+    """What a pair must share where whole sets are indexed."""
+
+    percent: int
+
+    def kept(self, size: np.ndarray) -> np.ndarray:
+        """Of a set of this size, how many members are indexed."""
+        return size
+
+    def needed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Least number of indexed members that linked sets of these sizes share."""
+        return -(-self.percent * (a + b) // (100 + self.percent))
+
+
 def _postings(sketch, n: int, percent: int):
     """Of each class that a task meets for the first time: one row with its bitmap, and its group's postings once."""
 
@@ -140,11 +159,7 @@ def _postings(sketch, n: int, percent: int):
     return postings
 
 
-def _overlap_needed(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
-    return -(-percent * (a + b) // (100 + percent))
-
-
-def _candidates(percent: int, spare_most: int):
+def _candidates(rule: WholeSets, spare_most: int):
     """Candidate pairs of each bucket that join what is not yet joined, and a few to spare.
 
     Rows (a, b) of classes, (la, lb) of their components so far, the tree of this task that they hang on,
@@ -154,11 +169,12 @@ def _candidates(percent: int, spare_most: int):
     def pairs_of(rows: pd.DataFrame, parent: dict[int, int], spare: dict[int, int], out: dict[tuple[int, int], tuple[int, int]], withheld: set[int]) -> None:
         size, cls, label = (rows[c].to_numpy(np.int64) for c in ("size", "cls", "label"))
         bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(len(rows), -1)
-        for a, b, need in _paired(rows, percent):
+        held = rule.kept(size)
+        for a, b, need in _paired(rows, rule):
             apart = label[a] != label[b]
             a, b, need = a[apart], b[apart], need[apart]
             far = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-            ok = size[a] + size[b] - far >= 2 * need
+            ok = held[a] + held[b] - far >= 2 * need
             for x, y in zip(a[ok].tolist(), b[ok].tolist()):
                 p, q = find(parent, int(label[x])), find(parent, int(label[y]))
                 low, high = int(min(cls[x], cls[y])), int(max(cls[x], cls[y]))
@@ -198,20 +214,20 @@ def _whole_buckets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield held
 
 
-def _partners(percent: int):
+def _partners(rule: WholeSets):
     """Of each bucket's groups those that another may be paired with, by size and place."""
 
     def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _whole_buckets(batches):
             chosen = np.zeros(len(rows), dtype=bool)
-            for a, b, _ in _paired(rows, percent):
+            for a, b, _ in _paired(rows, rule):
                 chosen[a] = chosen[b] = True
             yield rows.loc[chosen, ["token", "grp", "pos"]]
 
     return partners
 
 
-def _paired(rows: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def _paired(rows: pd.DataFrame, rule: WholeSets) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pairs within buckets, by distance in the sorted rows, that size and place allow: two row numbers and the overlap they need."""
     key = rows[["token", "i", "j"]].to_numpy(np.int64)
     n = len(key)
@@ -220,12 +236,12 @@ def _paired(rows: pd.DataFrame, percent: int) -> Iterator[tuple[np.ndarray, np.n
     stop = np.flatnonzero(last)
     left = stop[np.searchsorted(stop, np.arange(n))] - np.arange(n)
     size, pos, side = (rows[c].to_numpy(np.int64) for c in ("size", "pos", "side"))
-    mixed = key[:, 1] != key[:, 2]
+    mixed, room, percent = key[:, 1] != key[:, 2], rule.kept(size) - pos, rule.percent
     for d in range(1, int(left.max(initial=0)) + 1):
         a = np.flatnonzero(left >= d)
         b = a + d
-        need = _overlap_needed(size[a], size[b], percent)
-        ok = (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])) & (np.minimum(size[a] - pos[a], size[b] - pos[b]) >= need) & (~mixed[a] | (side[a] != side[b]))
+        need = rule.needed(size[a], size[b])
+        ok = (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])) & (np.minimum(room[a], room[b]) >= need) & (~mixed[a] | (side[a] != side[b]))
         yield a[ok], b[ok], need[ok]
 
 
@@ -252,32 +268,39 @@ def _together(rows: DataFrame) -> DataFrame:
     return rows.repartition(partitions(rows.sparkSession), "token", "i", "j").sortWithinPartitions("token", "i", "j")
 
 
-def _buckets(postings: DataFrame, percent: int) -> DataFrame:
+def _buckets(postings: DataFrame, rule: WholeSets) -> DataFrame:
     """(token, i, j, side, cls, size, pos, bits): the classes that meet at each prefix n-gram, by chunks."""
     members = written(postings.filter("pos < 0").groupBy("grp", "cls", "size").agg(F.first("bits").alias("bits")), "members")
     tokens = postings.filter("pos >= 0").select("token", "grp", "size", "pos")
     shared = written(tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.col("token").alias("t")), "shared")
     live = written(tokens.join(shared, F.col("token") == F.col("t")).select("token", "grp", "size", "pos").distinct(), "postings")
-    paired = _together(_dealt(live, "grp")).mapInPandas(_partners(percent), "token long, grp long, pos long").distinct()
+    paired = _together(_dealt(live, "grp")).mapInPandas(_partners(rule), "token long, grp long, pos long").distinct()
     inner = members.groupBy("grp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(F.xxhash64("grp").alias("token"), "grp", F.lit(0).cast("long").alias("pos"))
     met = written(paired.union(inner), "group-pairs")
     return _dealt(written(met.join(members, "grp").select("token", "cls", "size", "pos", "bits"), "met"), "cls")
 
 
-def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id, n_shingles, class_id, component_id (the smallest id that links reach), text_hash.
+def classes_of(rows: DataFrame) -> DataFrame:
+    """(cls, size, rep, probe) of rows (id, text_hash, size, cls): each set once, with its smallest id, and the id and hash of a text that has it."""
+    return rows.filter("size > 0").groupBy("cls", "size").agg(F.min("id").alias("rep"), F.min(F.struct("id", "text_hash")).alias("probe"))
 
-    Documents link when their n-gram sets' intersection is at least percent % of their union.
+
+def _linked_pairs(texts: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+    """Of pairs (a, b) those whose whole sets are alike enough. A class's text is read by id and hash together, so rows that share an id don't meet."""
+    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct().join(classes, F.col("wanted") == F.col("cls")).select("wanted", F.col("probe.id").alias("p_id"), F.col("probe.text_hash").alias("p_hash")), "wanted")
+    few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    chosen = texts.join(F.broadcast(wanted) if few else wanted, (F.xxhash64("text") == F.col("p_hash")) & F.col("id").eqNullSafe(F.col("p_id"))).select("text", "wanted")
+    sets = written(chosen.mapInArrow(_sets(n), "cls long, grams array<long>, wanted long").filter("cls = wanted").dropDuplicates(["cls"]).select("cls", "grams"), "sets")
+    left, right = sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), sets.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
+    common = F.size(F.array_intersect("x", "y"))
+    return written(pairs.join(left, "a").join(right, "b").filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "linked")
+
+
+def linked_labels(texts: DataFrame, classes: DataFrame, buckets: DataFrame, n: int, rule: WholeSets, likely: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
+    """(node, label): of each class that a bucket holds, the smallest class that links reach; None where no pair is found.
+
+    buckets come from _buckets; likely, if given, keeps those of the pairs (a, b) that are worth a look at whole texts.
     """
-    spark = docs.sparkSession
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    survey = written(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_survey(n), "id long, text_hash long, size long, cls long, segment int, counts binary"), "survey")
-    sketch = spark.sparkContext.broadcast(sketch_of(survey))
-    rows = survey.filter("segment is null").select("id", "text_hash", "size", "cls")
-    classes = written(rows.filter("size > 0").groupBy("cls", "size").agg(F.min("id").alias("rep")), "classes")
-    postings = written(texts.select("text").mapInArrow(_postings(sketch, n, percent), "token long, grp long, cls long, size long, pos long, bits binary"), "prefixes")
-    buckets = written(_buckets(postings, percent), "buckets")
-    sketch.destroy()
     labels, spare = None, SPARE
     while True:
         now = buckets
@@ -285,19 +308,13 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             now = written(now.join(labels, now["cls"] == labels["node"], "left").drop("node").withColumn("label", F.coalesce("label", "cls")), "labelled")
         else:
             now = now.withColumn("label", F.col("cls"))
-        found = written(_together(now).mapInPandas(_candidates(percent, spare), "a long, b long, la long, lb long, part long, tree long, more long"), "found")
+        found = written(_together(now).mapInPandas(_candidates(rule, spare), "a long, b long, la long, lb long, part long, tree long, more long"), "found")
         pairs = found.select("a", "b").distinct()
-        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct().join(classes, F.col("wanted") == F.col("cls")).select("wanted", "rep"), "wanted")
-        count = wanted.count()
-        if not count:
+        if not pairs.limit(1).count():
             break
-        chosen = texts.join(F.broadcast(wanted) if count <= BROADCAST_IDS else wanted, texts["id"].eqNullSafe(wanted["rep"])).select("text", "wanted")
-        sets = written(chosen.mapInArrow(_sets(n), "cls long, grams array<long>, wanted long").filter("cls = wanted").dropDuplicates(["cls"]).select("cls", "grams"), "sets")
-        left, right = sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), sets.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
-        common = F.size(F.array_intersect("x", "y"))
-        checked = written(pairs.join(left, "a").join(right, "b").select("a", "b", (100 * common >= percent * (F.size("x") + F.size("y") - common)).alias("linked")), "checked")
+        linked = _linked_pairs(texts, classes, written(likely(pairs), "likely") if likely else pairs, n, rule.percent)
         # Components are contracted: a round joins only the labels of the rounds before.
-        new = written(components(found.join(checked.filter("linked").select("a", "b"), ["a", "b"], "left_semi").select(F.col("la").alias("a"), F.col("lb").alias("b"))), "contracted")
+        new = written(components(found.join(linked, ["a", "b"], "left_semi").select(F.col("la").alias("a"), F.col("lb").alias("b"))), "contracted")
         if labels is None:
             labels = new
         else:
@@ -305,18 +322,41 @@ def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
             known = labels.join(turned, F.col("label") == F.col("was"), "left").select("node", F.coalesce("now", "label").alias("label"))
             labels = written(known.union(new.join(labels.select("node"), "node", "left_anti")), "labels")
         # A tree whose pairs were all linked is settled, and so is one of which none was withheld; the rest meets again with more to spare.
-        broken = found.filter("more = 1").join(checked.filter("not linked").select("a", "b"), ["a", "b"], "left_semi").select("part", "tree").distinct()
+        broken = found.filter("more = 1").join(linked, ["a", "b"], "left_anti").select("part", "tree").distinct()
         open_ = written(found.filter("more = 1").join(broken, ["part", "tree"], "left_semi").select(F.explode(F.array("la", "lb")).alias("open")).distinct(), "open")
         if not open_.limit(1).count():
             break
         buckets, spare = now.join(open_, F.col("label") == F.col("open"), "left_semi").drop("label"), spare * 8
+    return labels
+
+
+def with_components(rows: DataFrame, classes: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """rows (id, text_hash, size, cls) with low, the smallest id of the row's component (null where the set is empty)."""
     if labels is None:
         of = classes.select(F.col("cls").alias("c"), F.col("size").alias("s"), F.col("rep").alias("low"))
     else:
         named = classes.join(labels, classes["cls"] == labels["node"], "left").select("cls", "size", "rep", F.coalesce("label", "cls").alias("label"))
         lows = named.groupBy("label").agg(F.min("rep").alias("low"))
         of = named.join(lows, "label").select(F.col("cls").alias("c"), F.col("size").alias("s"), "low")
-    out = rows.join(of, (F.col("cls") == F.col("c")) & (F.col("size") == F.col("s")), "left")
+    return rows.join(of, (F.col("cls") == F.col("c")) & (F.col("size") == F.col("s")), "left").select("id", "text_hash", "size", "cls", "low")
+
+
+def jaccard_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, n_shingles, class_id, component_id (the smallest id that links reach), text_hash.
+
+    Documents link when their n-gram sets' intersection is at least percent % of their union.
+    """
+    spark = docs.sparkSession
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    survey = written(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_survey(n), SURVEYED), "survey")
+    sketch = spark.sparkContext.broadcast(sketch_of(survey))
+    rows = survey.filter("segment is null").select("id", "text_hash", "size", "cls")
+    classes = written(classes_of(rows), "classes")
+    postings = written(texts.select("text").mapInArrow(_postings(sketch, n, percent), "token long, grp long, cls long, size long, pos long, bits binary"), "prefixes")
+    rule = WholeSets(percent)
+    buckets = written(_buckets(postings, rule), "buckets")
+    sketch.destroy()
+    out = with_components(rows, classes, linked_labels(texts, classes, buckets, n, rule))
     return out.select(F.col("id").alias(id_col), F.col("size").alias("n_shingles"), F.when(F.col("size") > 0, F.col("cls")).alias("class_id"), F.coalesce("low", "id").alias("component_id"), "text_hash")
 
 

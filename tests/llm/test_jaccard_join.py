@@ -101,3 +101,13 @@ def test_components_of_chains_and_stars(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     want = {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(200)} | {5000: 5000, 5001: 5000}
     assert got == want
+
+
+def test_many_rows_without_an_id(spark):
+    """Rows of one id, or of none, are told apart by their texts, so no text meets all others."""
+    rows = []
+    for i in range(2500):
+        own = [f"t{i}w{k}" for k in range(60)]
+        rows += [(None if i % 2 else 7, " ".join(own)), (None if i % 2 else 7, " ".join([*own[:-1], "end"]))]
+    got = found(spark.createDataFrame(rows, SCHEMA), 3, 90)
+    assert len(got) == 5000 and {c for _, _, c in got} == {-1, 7}
