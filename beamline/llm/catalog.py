@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, jaccard_join, language_crf, line_dedup, lm_score, minhash_dedup, mixing, piece_codec, token_orc, topk_search, url_filter
+from . import exact_dedup, importance, jaccard_join, language_crf, line_dedup, lm_score, minhash_dedup, mixing, piece_codec, prefix_trie, token_orc, topk_search, url_filter
 
 QUERIES = {
     "op1_token_orc": token_orc.op1_token_orc,
@@ -15,6 +15,8 @@ QUERIES = {
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_piece_codec": piece_codec.op8_piece_codec,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op11_importance": importance.op11_importance,
+    "op12_prefix_trie": prefix_trie.op12_prefix_trie,
     "op13_minhash_dedup": minhash_dedup.op13_minhash_dedup,
 }
 
@@ -22,4 +24,6 @@ SQL = {
     "op2_topk_search": topk_search.OP2_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
     "op9_line_dedup": line_dedup.OP9_SQL,
+    "op11_importance": importance.OP11_SQL,
+    "op12_prefix_trie": prefix_trie.OP12_SQL,
 }

@@ -5,8 +5,20 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+#: In DuckDB, the table of CRC-32 by its rule, and the sum of a string's UTF-8 bytes.
+CRC_TABLE_SQL = """list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS BIGINT), range(8)),
+  lambda c, i: CASE WHEN c & 1 = 1 THEN xor(CAST(3988292384 AS BIGINT), c >> 1) ELSE c >> 1 END))"""
+
+
+def crc_sql(text: str, table: str) -> str:
+    data = f"list_transform(range(1, 2 * octet_length(encode({text})) + 1, 2), lambda i: CAST('0x' || substr(hex(encode({text})), i, 2) AS BIGINT))"
+    full = "CAST(4294967295 AS BIGINT)"
+    return f"xor({full}, list_reduce(list_prepend({full}, {data}), lambda c, v: xor(c >> 8, {table}[xor(c & 255, v) + 1])))"
+
+
 #: Upper-case ASCII, lowered by translate(); other letters stay as they are.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -37,6 +49,26 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def joined(rows: DataFrame, keyed: DataFrame, keys: list[str], often: Column) -> DataFrame:
+    """rows with the values that keyed has, once, for their keys; both are written tables.
+
+    Keys where often holds go to all tasks, so that no task gets all rows of one; the caller bounds their number.
+    """
+    few = written(keyed.filter(often), "often")
+    at_hand = rows.join(F.broadcast(few), keys)
+    rest = rows.join(F.broadcast(few.select(*keys)), keys, "left_anti").join(keyed.filter(~often), keys)
+    return at_hand.unionByName(rest)
+
+
+def numbered(rows: DataFrame, name: str, number: str) -> DataFrame:
+    """rows, written, numbered from 1 in the order in which their partitions hold them; one row a partition gives what lies before it."""
+    at = written(rows.withColumn("_at", F.monotonically_increasing_id()), name)
+    at = at.withColumn("_part", F.shiftright("_at", 33))
+    sizes = at.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(W.orderBy("_part")) - F.col("_n")).alias("_before"))
+    return at.join(F.broadcast(before), "_part").withColumn(number, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1).drop("_at", "_part", "_before")
+
+
 def lower_ascii(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
