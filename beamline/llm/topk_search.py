@@ -10,7 +10,8 @@ Defined cases: vectors that are null, empty, or hold a null or non-finite compon
 do rows without an id; vectors of different lengths meet as if the shorter ended in zeros; rows that
 repeat an id are candidates each, but never for a query of that id, and queries each, with k rows of
 their own ranks; an empty table gives no rows; other columns are ignored. Where floating products of
-scaled components could be inexact, integers are multiplied.
+scaled components could be inexact, integers are multiplied. A scaled component beyond a long counts as
+the long's end, and so does a score: those beyond are equal, and go by id.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ SHARD_ROWS = 16_384
 BLOCK_ROWS = 256
 BLOCKS_TOGETHER = 64
 LEAF = 128
+#: The ends of a long, at which greater components and scores are held.
+LOWEST, HIGHEST = -(2**63), 2**63 - 1
 
 
 def _matrix(vectors: pd.Series) -> np.ndarray:
@@ -87,6 +90,8 @@ def search_tree(points: np.ndarray, ids: np.ndarray, nodes: list, ceilings: np.n
                     heapq.heappush(heap, (-ceilings[x], x))
             continue
         scores = points[lo:hi] @ query
+        if scores.dtype == object:
+            scores = np.array([min(max(x, LOWEST), HIGHEST) for x in scores], dtype=object)
         hit = np.flatnonzero((ids[lo:hi] != own) & ((scores >= low) if low is not None else True))
         if len(hit):
             best = sorted([*best, *zip(map(int, scores[hit]), ids[lo:hi][hit].tolist())], key=lambda x: (-x[0], x[1]))[:k]
@@ -126,7 +131,7 @@ def _search(k: int):
             width = min(tree["width"], x.q_width)
             real = queries[:, :width].astype(np.float64)
             ceilings = real @ all_centres[:, :width].T + np.sqrt((real**2).sum(axis=1))[:, None] * radii[None, :]
-            ceilings += 1e-9 * np.abs(ceilings) + 1e-6
+            ceilings = np.clip(ceilings + 1e-9 * np.abs(ceilings) + 1e-6, float(LOWEST), float(HIGHEST))
             points, queries = _exact(all_points[:, :width], queries[:, :width])
             floors = {} if x.floors is None else dict(x.floors)
             for row, q, v, c in zip(np.frombuffer(x.rows, np.int64).tolist(), np.frombuffer(x.q_ids, np.int64).tolist(), queries, ceilings):

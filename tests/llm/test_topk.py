@@ -52,6 +52,20 @@ def test_wide_products_stay_exact(spark):
     assert sorted(map(tuple, got)) == brute(rows, 3, 2)
 
 
+def test_large_values_are_held_at_the_ends_of_a_long(spark):
+    rng = random.Random(2)
+    low, high = -(2**63), 2**63 - 1
+    rows = [(i, [rng.choice([3e7, -3e7, 1e20, -1e20, 3e38, 1.0]) for _ in range(8)], "r", "s", "h", "d") for i in range(120)]
+    from struct import pack, unpack
+
+    rows = [(i, [unpack("f", pack("f", x))[0] for x in v], *rest) for i, v, *rest in rows]
+    hold = lambda x: min(max(x, low), high)
+    scaled = [(i, [hold(math.floor(256 * x)) for x in v]) for i, v, *_ in rows]
+    want = sorted((q, r + 1, i, -s) for q, v in scaled if q % 10 == 0 for r, (s, i) in enumerate(sorted((-hold(sum(a * b for a, b in zip(v, w))), i) for i, w in scaled if i != q)[:5]))
+    got = top_k(spark.createDataFrame(rows, SCHEMA), every=10, k=5, shard_rows=30, block_rows=4).collect()
+    assert sorted(map(tuple, got)) == want
+
+
 def test_empty_and_alone(spark):
     assert top_k(spark.createDataFrame([], SCHEMA)).count() == 0
     assert top_k(spark.createDataFrame([(0, [1.0], "r", "s", "h", "d")], SCHEMA)).count() == 0
