@@ -285,23 +285,30 @@ def classes_of(rows: DataFrame) -> DataFrame:
     return rows.filter("size > 0").groupBy("cls", "size").agg(F.min("id").alias("rep"), F.min(F.struct("id", "text_hash")).alias("probe"))
 
 
-def _linked_pairs(texts: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
+def linked_pairs(texts: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFrame:
     """Of pairs (a, b) those whose whole sets are alike enough. A class's text is read by id and hash together, so rows that share an id don't meet."""
     wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct().join(classes, F.col("wanted") == F.col("cls")).select("wanted", F.col("probe.id").alias("p_id"), F.col("probe.text_hash").alias("p_hash")), "wanted")
     few = wanted.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     chosen = texts.join(F.broadcast(wanted) if few else wanted, (F.xxhash64("text") == F.col("p_hash")) & F.col("id").eqNullSafe(F.col("p_id"))).select("text", "wanted")
     sets = written(chosen.mapInArrow(_sets(n), "cls long, grams array<long>, wanted long").filter("cls = wanted").dropDuplicates(["cls"]).select("cls", "grams"), "sets")
-    left, right = sets.select(F.col("cls").alias("a"), F.col("grams").alias("x")), sets.select(F.col("cls").alias("b"), F.col("grams").alias("y"))
+    # A class that has more pairs than most meets them in pieces; four for each partition at most are so many.
+    counts = written(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n")), "pair-counts")
+    often = max(CHUNK, (counts.agg(F.sum("n")).first()[0] or 0) // (4 * partitions(texts.sparkSession)))
+    counts = counts.withColumn("pieces", F.ceil(F.col("n") / often).cast("int"))
+    dealt = pairs.join(F.broadcast(counts.filter("pieces > 1").select("b", "pieces")), "b", "left").withColumn("piece", F.coalesce(F.pmod(F.xxhash64("a"), F.col("pieces")).cast("int"), F.lit(0)))
+    left = sets.select(F.col("cls").alias("a"), F.col("grams").alias("x"))
+    right = sets.join(counts, sets["cls"] == counts["b"]).select("b", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("grams").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
-    return written(pairs.join(left, "a").join(right, "b").filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "linked")
+    return written(dealt.join(left, "a").join(right, ["b", "piece"]).filter(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), "linked")
 
 
-def linked_labels(texts: DataFrame, classes: DataFrame, buckets: DataFrame, n: int, rule: WholeSets, likely: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame | None:
+def linked_labels(texts: DataFrame, classes: DataFrame, buckets: DataFrame, n: int, rule: WholeSets, likely: Callable[[DataFrame], DataFrame] | None = None, labels: DataFrame | None = None) -> DataFrame | None:
     """(node, label): of each class that a bucket holds, the smallest class that links reach; None where no pair is found.
 
-    buckets come from _buckets; likely, if given, keeps those of the pairs (a, b) that are worth a look at whole texts.
+    buckets come from _buckets; likely, if given, keeps those of the pairs (a, b) that are worth a look at whole texts;
+    labels, if given, say what is linked already.
     """
-    labels, spare = None, SPARE
+    spare = SPARE
     while True:
         now = buckets
         if labels is not None:
@@ -312,7 +319,7 @@ def linked_labels(texts: DataFrame, classes: DataFrame, buckets: DataFrame, n: i
         pairs = found.select("a", "b").distinct()
         if not pairs.limit(1).count():
             break
-        linked = _linked_pairs(texts, classes, written(likely(pairs), "likely") if likely else pairs, n, rule.percent)
+        linked = linked_pairs(texts, classes, written(likely(pairs), "likely") if likely else pairs, n, rule.percent)
         # Components are contracted: a round joins only the labels of the rounds before.
         new = written(components(found.join(linked, ["a", "b"], "left_semi").select(F.col("la").alias("a"), F.col("lb").alias("b"))), "contracted")
         if labels is None:

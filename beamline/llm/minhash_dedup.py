@@ -2,8 +2,9 @@
 
 A document's sketch holds its KEPT least n-gram hashes (all, if fewer). Inverted lists lead from a retained
 value to the sketches that hold it, rarest values first: a sketch is filed under as many of its values as
-it takes for two sketches that share what linked documents share to meet in a list. Within a list, sizes,
-places and parity bitmaps of the sketches bound what a pair can share. The pairs that span what a list would
+it takes for two sketches that share what linked documents share to meet in a list. Each list's sets first meet two of them, its hubs, which links most
+copies. Then sets that are not yet linked meet: sizes, places and parity bitmaps of the sketches bound what a pair
+can share, and the sets of a list's largest component, however many, meet the others but not each other. The pairs that span what a list would
 connect, and some to spare, are weighed by the sketch of their union: of its KEPT least values, the part
 that both hold estimates the similarity. Pairs that may be linked by it are verified on whole sets. Where a pair
 fails and others were withheld, the next round gives more of them, until none is withheld.
@@ -31,8 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jaccard_join import SKETCH_BITS, SURVEYED, WholeSets, _dealt, _partners, _survey, _together, classes_of, linked_labels, ngram_sets, set_id, sketch_of, with_components
-from .shared import written
+from .components import components
+from .jaccard_join import CHUNK, SKETCH_BITS, SURVEYED, WholeSets, _partners, _survey, _together, classes_of, linked_labels, linked_pairs, ngram_sets, set_id, sketch_of, with_components
+from .shared import joined, partitions, written
 from .textbytes import mix, slices
 
 #: Values that a sketch holds.
@@ -109,22 +111,62 @@ def _file(counted, n: int, rule: Sketches):
     return file
 
 
-def _buckets(filed: DataFrame, sketches: DataFrame, rule: Sketches) -> DataFrame:
-    """(token, i, j, side, cls, size, pos, bits): the sets that meet in each inverted list, by chunks; sets that no other can be linked with there are left out first."""
+def _lists(filed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(token, cls, size, pos) of the inverted lists that hold two sets or more, and (token, n, low, high) of them: their length and two hubs."""
     entries = filed.filter("pos >= 0").select("token", "cls", "size", "pos")
-    shared = written(entries.groupBy("token").agg(F.count_distinct("cls").alias("n")).filter("n > 1").select(F.col("token").alias("t")), "shared")
-    live = written(entries.join(shared, F.col("token") == F.col("t")).select("token", F.col("cls").alias("grp"), "size", "pos").distinct(), "lists")
-    met = _together(_dealt(live, "grp")).mapInPandas(_partners(rule), "token long, grp long, pos long").distinct()
-    return _dealt(written(met.join(sketches.select(F.col("cls").alias("grp"), "cls", "size", "bits"), "grp").select("token", "cls", "size", "pos", "bits"), "met"), "cls")
+    of = F.struct("cls", "size", "pos")
+    heads = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(of).alias("low"), F.max(of).alias("high")).filter("low.cls <> high.cls"), "heads")
+    return written(entries.join(heads.select("token"), "token").distinct(), "lists"), heads
 
 
-def _likely(sketches: DataFrame, rule: Sketches):
+def _to_hubs(lists: DataFrame, heads: DataFrame, rule: Sketches, often: int) -> DataFrame:
+    """Pairs (a, b) of a list's sets with its hubs, b, that sizes and places allow."""
+    met = joined(lists, heads, ["token"], F.col("n") > often).withColumn("hub", F.explode(F.array("low", "high"))).filter("cls <> hub.cls")
+    kept = lambda size: F.least(size, F.lit(rule.held))
+    a, b = F.col("size"), F.col("hub.size")
+    whole, left_out = F.ceil(rule.percent * (a + b) / F.lit(100 + rule.percent)), a - kept(a) + b - kept(b)
+    need = F.when(left_out > 0, F.greatest(whole - left_out, F.lit(rule.least()))).otherwise(whole)
+    fits = (100 * F.least(a, b) >= rule.percent * F.greatest(a, b)) & (F.least(kept(a) - F.col("pos"), kept(b) - F.col("hub.pos")) >= need)
+    return met.filter(fits).select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")).distinct()
+
+
+def _apart(rows: DataFrame, often: int) -> DataFrame:
+    """Rows (token, cls, label, ...) dealt into buckets (token, i, j, side) where sets of different labels meet; lists of one label go.
+
+    The sets of a list's most frequent label lie in chunks of their own, which meet the chunks of the other sets but not each other.
+    """
+    labels = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
+    most = labels.groupBy("token").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("top")).filter("n > top.m")
+    most = written(most.select("token", "n", F.col("top.label").alias("top"), F.ceil(F.col("top.m") / CHUNK).cast("int").alias("tops"), F.ceil((F.col("n") - F.col("top.m")) / CHUNK).cast("int").alias("others")), "most")
+    met = joined(rows, most, ["token"], F.col("n") > often).withColumn("is_top", F.col("label") == F.col("top"))
+    own = met.withColumn("own", F.when(F.col("is_top"), -1 - F.pmod(F.xxhash64("cls"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("cls"), F.col("others"))).cast("int"))
+    # Chunks of the most frequent label have numbers below 0.
+    other = F.explode(F.sequence(F.when(F.col("is_top"), 0).otherwise(-F.col("tops")), F.col("others") - 1))
+    dealt = own.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).withColumn("side", (F.col("own") > F.col("other")).cast("int"))
+    return dealt.drop("n", "top", "tops", "others", "is_top", "own", "other")
+
+
+def _buckets(lists: DataFrame, sketches: DataFrame, labels: DataFrame, rule: Sketches, often: int) -> DataFrame:
+    """(token, i, j, side, cls, size, pos, bits): the sets of different labels that meet in each inverted list; sets that no other can be linked with there are left out first."""
+    known = labels.select(F.col("node").alias("cls"), "label")
+    label = lambda rows: rows.join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
+    apart = written(label(lists), "lists-labels")
+    met = _together(_apart(apart, often).withColumnRenamed("cls", "grp")).mapInPandas(_partners(rule), "token long, grp long, pos long").distinct()
+    bits = sketches.select("cls", "size", "bits")
+    kept = written(label(met.select("token", F.col("grp").alias("cls"), "pos").join(bits, "cls").select("token", "cls", "size", "pos", "bits")), "met")
+    return _apart(kept, often).drop("label")
+
+
+def _likely(sketches: DataFrame, rule: Sketches, often: int):
     """Keeps the pairs that may be linked by the estimate from the sketch of their union."""
 
     def likely(pairs: DataFrame) -> DataFrame:
-        left, right = sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("x")), sketches.select(F.col("cls").alias("b"), F.col("sketch").alias("y"))
+        pairs = written(pairs, "pairs")
+        left = sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("x"))
+        counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
+        right = written(sketches.join(counts, sketches["cls"] == counts["b"]).select("b", "n", F.col("sketch").alias("y")), "second")
         union = F.slice(F.array_sort(F.array_union("x", "y")), 1, rule.held)
-        met = pairs.join(left, "a").join(right, "b").withColumn("u", union).withColumn("both", F.size(F.array_intersect(F.array_intersect("x", "y"), "u")))
+        met = joined(pairs, right, ["b"], F.col("n") > often).join(left, "a").withColumn("u", union).withColumn("both", F.size(F.array_intersect(F.array_intersect("x", "y"), "u")))
         return met.filter(F.when(F.size("u") == rule.held, F.col("both") >= rule.least()).otherwise(100 * F.col("both") >= rule.percent * F.size("u"))).select("a", "b")
 
     return likely
@@ -144,8 +186,14 @@ def minhash_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     filed = written(texts.select("text").mapInArrow(_file(counted, n, rule), "token long, cls long, size long, pos long, bits binary, sketch array<long>"), "filed")
     counted.destroy()
     sketches = written(filed.filter("pos < 0").dropDuplicates(["cls", "size"]).select("cls", "size", "bits", "sketch"), "sketches")
-    buckets = written(_buckets(filed, sketches, rule), "buckets")
-    out = with_components(rows, classes, linked_labels(texts, classes, buckets, n, rule, _likely(sketches, rule)))
+    lists, heads = _lists(filed)
+    # Lists and hubs of more rows than this go to all tasks where they are joined: a few for each partition.
+    often = max(CHUNK, lists.count() // (4 * partitions(spark)))
+    likely = _likely(sketches, rule, often)
+    hubs = written(likely(_to_hubs(lists, heads, rule, often)), "hub-pairs")
+    labels = written(components(linked_pairs(texts, classes, hubs, n, percent)), "hub-labels")
+    buckets = written(_buckets(lists, sketches, labels, rule, often), "buckets")
+    out = with_components(rows, classes, linked_labels(texts, classes, buckets, n, rule, likely, labels))
     named = out.select(F.col("id"), F.col("size").alias("n_shingles"), F.coalesce("low", "id").alias("component_id"))
     return named.select(F.col("id").alias(id_col), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
 
