@@ -130,6 +130,10 @@ class WholeSets:
         """Least number of indexed members that linked sets of these sizes share."""
         return -(-self.percent * (a + b) // (100 + self.percent))
 
+    def may_link(self, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+        """Whether sets of these sizes can be linked whose parity bitmaps differ in far bits."""
+        return a + b - far >= 2 * self.needed(a, b)
+
 
 def _postings(sketch, n: int, percent: int):
     """Of each class that a task meets for the first time: one row with its bitmap, and its group's postings once."""
@@ -169,12 +173,10 @@ def _candidates(rule: WholeSets, spare_most: int):
     def pairs_of(rows: pd.DataFrame, parent: dict[int, int], spare: dict[int, int], out: dict[tuple[int, int], tuple[int, int]], withheld: set[int]) -> None:
         size, cls, label = (rows[c].to_numpy(np.int64) for c in ("size", "cls", "label"))
         bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(len(rows), -1)
-        held = rule.kept(size)
-        for a, b, need in _paired(rows, rule):
+        for a, b in _paired(rows, rule):
             apart = label[a] != label[b]
-            a, b, need = a[apart], b[apart], need[apart]
-            far = np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64)
-            ok = held[a] + held[b] - far >= 2 * need
+            a, b = a[apart], b[apart]
+            ok = rule.may_link(size[a], size[b], np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64))
             for x, y in zip(a[ok].tolist(), b[ok].tolist()):
                 p, q = find(parent, int(label[x])), find(parent, int(label[y]))
                 low, high = int(min(cls[x], cls[y])), int(max(cls[x], cls[y]))
@@ -220,15 +222,15 @@ def _partners(rule: WholeSets):
     def partners(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _whole_buckets(batches):
             chosen = np.zeros(len(rows), dtype=bool)
-            for a, b, _ in _paired(rows, rule):
+            for a, b in _paired(rows, rule):
                 chosen[a] = chosen[b] = True
             yield rows.loc[chosen, ["token", "grp", "pos"]]
 
     return partners
 
 
-def _paired(rows: pd.DataFrame, rule: WholeSets) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Pairs within buckets, by distance in the sorted rows, that size and place allow: two row numbers and the overlap they need."""
+def _paired(rows: pd.DataFrame, rule: WholeSets) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of row numbers within buckets, by distance in the sorted rows, that size and place allow."""
     key = rows[["token", "i", "j"]].to_numpy(np.int64)
     n = len(key)
     last = np.ones(n, dtype=bool)
@@ -242,7 +244,7 @@ def _paired(rows: pd.DataFrame, rule: WholeSets) -> Iterator[tuple[np.ndarray, n
         b = a + d
         need = rule.needed(size[a], size[b])
         ok = (100 * np.minimum(size[a], size[b]) >= percent * np.maximum(size[a], size[b])) & (np.minimum(room[a], room[b]) >= need) & (~mixed[a] | (side[a] != side[b]))
-        yield a[ok], b[ok], need[ok]
+        yield a[ok], b[ok]
 
 
 def _sets(n: int):

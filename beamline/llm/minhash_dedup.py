@@ -3,7 +3,7 @@
 A document's sketch holds its KEPT least n-gram hashes (all, if fewer). Inverted lists lead from a retained
 value to the sketches that hold it, rarest values first: a sketch is filed under as many of its values as
 it takes for two sketches that share what linked documents share to meet in a list. Each list's sets first meet two of them, its hubs, which links most
-copies. Then sets that are not yet linked meet: sizes, places and parity bitmaps of the sketches bound what a pair
+copies. Then sets that are not yet linked meet: sizes, places and parity bitmaps of their least values bound what a pair
 can share, and the sets of a list's largest component, however many, meet the others but not each other. The pairs that span what a list would
 connect, and some to spare, are weighed by the sketch of their union: of its KEPT least values, the part
 that both hold estimates the similarity. Pairs that may be linked by it are verified on whole sets. Where a pair
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cache
 from math import comb
 
 import numpy as np
@@ -41,8 +42,8 @@ from .textbytes import mix, slices
 KEPT = 64
 #: Greatest chance that the sketches of a linked pair share too few values.
 MISSED = 1e-9
-#: Bits of a sketch's parity bitmap.
-BITMAP_BITS = 512
+#: Least values of a set whose parities a bitmap holds, and its bits: more values than are filed, so that it tells copies from what is merely alike.
+BITMAP_VALUES, BITMAP_BITS = 256, 1024
 
 
 @dataclass(frozen=True)
@@ -54,19 +55,26 @@ class Sketches(WholeSets):
     def kept(self, size: np.ndarray) -> np.ndarray:
         return np.minimum(size, self.held)
 
-    def least(self) -> int:
-        """The most values of a union's full sketch that linked sets both hold but for a chance of MISSED."""
+    def least(self, held: int | None = None) -> int:
+        """The most of a union's held least values that linked sets both hold but for a chance of MISSED."""
+        held = held or self.held
         p, tail = self.percent / 100, 0.0
-        for x in range(self.held + 1):
-            tail += comb(self.held, x) * p**x * (1 - p) ** (self.held - x)
+        for x in range(held + 1):
+            tail += comb(held, x) * p**x * (1 - p) ** (held - x)
             if tail > MISSED:
                 return max(1, x)
-        return self.held
+        return held
+
+    def shared(self, a: np.ndarray, b: np.ndarray, held: int, least: int) -> np.ndarray:
+        """What the held least values of two linked sets have in common at least."""
+        whole, left_out = super().needed(a, b), np.maximum(a - held, 0) + np.maximum(b - held, 0)
+        return np.where(left_out > 0, np.maximum(whole - left_out, least), whole)
 
     def needed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        whole = super().needed(a, b)
-        left_out = (a - self.kept(a)) + (b - self.kept(b))
-        return np.where(left_out > 0, np.maximum(whole - left_out, self.least()), whole)
+        return self.shared(a, b, self.held, _least(self, self.held))
+
+    def may_link(self, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
+        return np.minimum(a, BITMAP_VALUES) + np.minimum(b, BITMAP_VALUES) - far >= 2 * self.shared(a, b, BITMAP_VALUES, _least(self, BITMAP_VALUES))
 
     def prefix(self, size: int) -> int:
         """Values that a set of this size is filed under: with fewer left than it must share, no first common value lies beyond them."""
@@ -75,14 +83,19 @@ class Sketches(WholeSets):
         return min(size, self.held) - least + 1
 
 
+@cache
+def _least(rule: Sketches, held: int) -> int:
+    return rule.least(held)
+
+
 def sketch(grams: np.ndarray, held: int = KEPT) -> np.ndarray:
     """The least of a set's sorted hashes, as non-negative 63-bit integers in their order."""
     return (grams[:held] >> np.uint64(1)).view(np.int64)
 
 
-def parity(values: np.ndarray) -> bytes:
-    """The parity of the values that fall on each bit: two bitmaps differ in no more bits than the sketches in values."""
-    return np.packbits(np.bincount((mix(values.view(np.uint64)) >> np.uint64(20)).astype(np.int64) % BITMAP_BITS, minlength=BITMAP_BITS).astype(np.uint8) & 1).tobytes()
+def parity(grams: np.ndarray) -> bytes:
+    """The parity of the least values that fall on each bit: two bitmaps differ in no more bits than those values do."""
+    return np.packbits(np.bincount((mix(grams[:BITMAP_VALUES]) >> np.uint64(20)).astype(np.int64) % BITMAP_BITS, minlength=BITMAP_BITS).astype(np.uint8) & 1).tobytes()
 
 
 def _file(counted, n: int, rule: Sketches):
@@ -102,7 +115,7 @@ def _file(counted, n: int, rule: Sketches):
                 places = (mix(grams[: rule.held]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
                 first = values[np.lexsort((values, counts[places]))[:p]]
                 token.append(np.concatenate([np.zeros(1, np.int64), first])), cls.append(np.full(p + 1, me)), size.append(np.full(p + 1, k)), pos.append(np.arange(-1, p))
-                bits += [parity(values), *[None] * p]
+                bits += [parity(grams), *[None] * p]
                 sketches += [values, *[None] * p]
             if token:
                 columns = [pa.array(np.concatenate(x), pa.int64()) for x in (token, cls, size, pos)]
