@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from ..functions.labels import family_of, grams, normalised
 from ..operators import layout as g
+from ..operators.patterns import COVERAGE, ENOUGH, MOST, READABILITY, SPECIFICITY, SUPPORT, specificity
 from ..registry import query
 from ..sources.tables import PARTS_SQL, PREDICTIONS_SQL, catalog, labelled_parts, predictions, table
 from .catalog import _NORM
@@ -232,21 +233,20 @@ def weighted_evidence(spark, sf_dir):
 _SHAPES = {"W[0-9]+X[0-9]+": 0.90, "[A-Z]+[0-9]+X[0-9]+": 0.75, "[A-Z]+.*": 0.60}
 
 
-def _specific(pattern: str) -> float:
-    literal = sum(ch.isascii() and ch.isalnum() for ch in pattern)
-    score = 0.6 + min(literal, 8) * 0.05 - (0.4 if ".*" in pattern or ".+" in pattern else 0.0) - (0.15 if "[A-Z]+" in pattern and literal <= 1 else 0.0)
-    return round(max(0.0, min(1.0, score)), 6)
+_SPECIFIC_SQL = """greatest(0, least(1, 0.6::DOUBLE + 0.05::DOUBLE * least(len(regexp_extract_all(pattern, '[[:alnum:]]')), 8) - if(instr(pattern, '.*') + instr(pattern, '.+') > 0, 0.4::DOUBLE, 0::DOUBLE)
+  - if(instr(pattern, '[A-Z]+') > 0 AND len(regexp_extract_all(pattern, '[[:alnum:]]')) <= 1, 0.15::DOUBLE, 0::DOUBLE)))"""
 
 
 @query(
     "fullmatch_coverage",
-    f"""WITH {PARTS_SQL}, s AS ({" UNION ALL ".join(f"SELECT family, '{p}' AS pattern, {_specific(p)}::DOUBLE AS specificity, {r}::DOUBLE AS readable, count(*) AS total, count(*) FILTER (regexp_full_match({_NORM}, '{p}')) AS matched FROM printed GROUP BY family" for p, r in _SHAPES.items())})
+    f"""WITH {PARTS_SQL}, t AS ({" UNION ALL ".join(f"SELECT family, '{p}' AS pattern, {r}::DOUBLE AS readable, count(*) AS total, count(*) FILTER (regexp_full_match({_NORM}, '{p}')) AS matched FROM printed GROUP BY family" for p, r in _SHAPES.items())}),
+s AS (SELECT *, round({_SPECIFIC_SQL}, 6) AS specificity FROM t)
 SELECT family, pattern, total, matched, round(matched / total, 6) AS coverage, specificity, round(greatest(0, least(0.97::DOUBLE, 0.5::DOUBLE * matched / total + 0.2::DOUBLE * specificity + 0.2::DOUBLE * readable + 0.1::DOUBLE * least(1.0::DOUBLE, total / 8))), 6) AS confidence FROM s""",
 )
 def fullmatch_coverage(spark, sf_dir):
     """How much of each family's prints a pattern fits whole, how specific it is, and the confidence of both, its readability and support."""
     norm, c = normalised(F.col("printed")), F.col
-    tried = F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), F.lit(_specific(p)).alias("specificity"), F.lit(r).alias("readable"), norm.rlike(f"^(?:{p})$").alias("fits")) for p, r in _SHAPES.items()]))
+    tried = F.explode(F.array(*[F.struct(F.lit(p).alias("pattern"), F.round(specificity(F.lit(p)), 6).alias("specificity"), F.lit(r).alias("readable"), norm.rlike(f"^(?:{p})$").alias("fits")) for p, r in _SHAPES.items()]))
     k = labelled_parts(spark, sf_dir).select("family", tried.alias("t")).select("family", "t.*").groupBy("family", "pattern", "specificity", "readable").agg(F.count(F.lit(1)).alias("total"), F.count(F.when(c("fits"), 1)).alias("matched"))
-    score = 0.5 * c("matched") / c("total") + 0.2 * c("specificity") + 0.2 * c("readable") + 0.1 * F.least(F.lit(1.0), c("total") / 8)
-    return k.select("family", "pattern", "total", "matched", F.round(c("matched") / c("total"), 6).alias("coverage"), "specificity", F.round(F.greatest(F.lit(0.0), F.least(F.lit(0.97), score)), 6).alias("confidence"))
+    score = COVERAGE * c("matched") / c("total") + SPECIFICITY * c("specificity") + READABILITY * c("readable") + SUPPORT * F.least(F.lit(1.0), c("total") / ENOUGH)
+    return k.select("family", "pattern", "total", "matched", F.round(c("matched") / c("total"), 6).alias("coverage"), "specificity", F.round(F.greatest(F.lit(0.0), F.least(F.lit(MOST), score)), 6).alias("confidence"))

@@ -25,6 +25,7 @@ MODULES = (
     "beamline.plans.drawing",
     "beamline.plans.readings",
     "beamline.plans.profiles",
+    "beamline.plans.patterns",
     "beamline.plans.exports",
     "beamline.streaming.events",
 )
