@@ -44,22 +44,29 @@ def _counts(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _ratio_search(most: int, least: float):
+def _begins(text: str, letters: bool) -> str | None:
+    """What a bonus is given for: the first three characters, or the first three letters, of which there must be one."""
+    return ("".join(filter(str.isalpha, text))[:PREFIX] or None) if letters else text[:PREFIX]
+
+
+def _ratio_search(most: int, least: float, bonus: float, letters: bool):
     def search(tokens: pd.DataFrame, blocks: pd.DataFrame) -> pd.DataFrame:
         """The best labels of one block; characters in common bound the ratio, so most labels are never compared."""
         labels = [x for row in blocks["labels"] for x in row]
         length, held = np.array([len(x) for x in labels]), _counts(labels)
+        begins = [_begins(x, letters) for x in labels]
         rows = []
         for token in tokens["norm"]:
-            n = length + len(token)
+            n, begun = length + len(token), _begins(token, letters)
+            more = [bonus if begun is not None and x == begun else 0.0 for x in begins]
             bound = np.where(n > 0, 2.0 * np.minimum(held, _counts([token])).sum(axis=1) / np.maximum(n, 1), 1.0)
-            bound = np.minimum(1.0, bound + BONUS * np.array([x[:PREFIX] == token[:PREFIX] for x in labels], dtype=float))
+            bound = np.minimum(1.0, bound + np.array(more))
             best: list[tuple[float, str]] = []
             for i in np.argsort(-bound, kind="stable"):
                 if bound[i] < least or len(best) == most and round(bound[i], 4) < -best[-1][0]:
                     break
                 matcher = SequenceMatcher(None, token, labels[i], autojunk=False)
-                score = min(1.0, matcher.ratio() + (BONUS if labels[i][:PREFIX] == token[:PREFIX] else 0.0))
+                score = min(1.0, matcher.ratio() + more[i])
                 if score >= least:
                     best = sorted([*best, (-round(score, 4), labels[i])])[:most]
             rows += [(token, label, -score) for score, label in best]
@@ -68,8 +75,8 @@ def _ratio_search(most: int, least: float):
     return search
 
 
-def ratio_search(tokens: DataFrame, labels: DataFrame, most: int = 3, least: float = LEAST_RATIO, block: int = BLOCK_LABELS) -> DataFrame:
-    """tokens (norm) against labels (label): (norm, label, ratio), the best by matching-block ratio with the prefix bonus.
+def ratio_search(tokens: DataFrame, labels: DataFrame, most: int = 3, least: float = LEAST_RATIO, block: int = BLOCK_LABELS, bonus: float = BONUS, letters: bool = False) -> DataFrame:
+    """tokens (norm) against labels (label): (norm, label, ratio), the best by matching-block ratio, with the bonus where both begin alike: by characters, or by letters alone.
 
     Distinct tokens visit the labels block by block.
     """
@@ -79,6 +86,6 @@ def ratio_search(tokens: DataFrame, labels: DataFrame, most: int = 3, least: flo
     parts = max(1, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     asked = tokens.select("norm").distinct().withColumn("part", F.pmod(F.xxhash64("norm"), F.lit(parts))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)).cast("array<long>")))
     there = dealt.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<long>")))
-    found = asked.groupBy("part", "block").cogroup(there.groupBy("part", "block")).applyInPandas(_ratio_search(most, least), "norm string, label string, ratio double")
+    found = asked.groupBy("part", "block").cogroup(there.groupBy("part", "block")).applyInPandas(_ratio_search(most, least, bonus, letters), "norm string, label string, ratio double")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("r"), "label"))), 1, most)  # `most` of each block
     return found.groupBy("norm").agg(best.alias("best")).select("norm", F.explode("best").alias("b")).select("norm", "b.label", (-F.col("b.r")).alias("ratio"))

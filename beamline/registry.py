@@ -26,6 +26,7 @@ MODULES = (
     "beamline.plans.readings",
     "beamline.plans.profiles",
     "beamline.plans.patterns",
+    "beamline.plans.inference",
     "beamline.plans.exports",
     "beamline.streaming.events",
 )
