@@ -27,6 +27,7 @@ MODULES = (
     "beamline.plans.profiles",
     "beamline.plans.patterns",
     "beamline.plans.inference",
+    "beamline.plans.sheets",
     "beamline.plans.exports",
     "beamline.streaming.events",
 )
