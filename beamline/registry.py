@@ -28,6 +28,7 @@ MODULES = (
     "beamline.plans.patterns",
     "beamline.plans.inference",
     "beamline.plans.sheets",
+    "beamline.plans.retrieval",
     "beamline.plans.exports",
     "beamline.streaming.events",
 )
