@@ -29,6 +29,7 @@ MODULES = (
     "beamline.plans.inference",
     "beamline.plans.sheets",
     "beamline.plans.retrieval",
+    "beamline.plans.tracing",
     "beamline.plans.exports",
     "beamline.streaming.events",
 )
