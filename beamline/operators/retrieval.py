@@ -18,8 +18,8 @@ from ..sources.scratch import written
 
 #: The shortest and longest n-gram, and how many anchors a token gets.
 SHORTEST, LONGEST, POOL = 2, 6, 80
-#: Least scores that are tried in turn; a token that fills its pool above one is searched no further.
-FLOORS = (0.5, 0.3, 0.15, 0.0)
+#: Pools that a token's shortest lists fill before the others are bounded.
+ENOUGH = 4
 #: Slack for sums of doubles in another order.
 SLACK = 1e-9
 
@@ -72,44 +72,36 @@ def build(anchors: DataFrame) -> Index:
     return Index(anchors, written(idf.join(top, "gram"), "gram-bounds"), postings)
 
 
-def _bounded(index: Index, tokens: DataFrame) -> DataFrame:
-    """(norm, gram, weight, left): left is the most that this n-gram and those of lesser bounds can add to any anchor's score."""
-    known = _counted(tokens, "norm", "norm").join(index.grams.select("gram", "idf", "top"), "gram")
-    bounds = _weighed(known, "norm").join(index.grams.select("gram", "top"), "gram").withColumn("bound", F.col("weight") * F.col("top"))
-    rising = W.partitionBy("norm").orderBy("bound", "gram").rowsBetween(W.unboundedPreceding, 0)
-    return bounds.withColumn("left", F.sum("bound").over(rising)).select("norm", "gram", "weight", "left")
+def _bounded(index: Index, tokens: DataFrame, most: int) -> DataFrame:
+    """(norm, gram, weight, left, rare): left is the most that this n-gram and those of lesser bounds can add to any anchor's score; rare marks the shortest lists, until they hold a few pools' anchors."""
+    known = _counted(tokens, "norm", "norm").join(index.grams.select("gram", "idf"), "gram")
+    bounds = _weighed(known, "norm").join(index.grams.select("gram", "top", "df"), "gram").withColumn("bound", F.col("weight") * F.col("top"))
+    before = lambda *order: W.partitionBy("norm").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    shorter = F.sum("df").over(before("df", "gram")) - F.col("df")
+    return bounds.select("norm", "gram", "weight", F.sum("bound").over(before("bound", "gram")).alias("left"), (shorter < ENOUGH * most).alias("rare"))
 
 
 def search(index: Index, tokens: DataFrame, most: int = POOL) -> DataFrame:
     """(norm, anchor, score, place): the anchors of the highest scores of each distinct norm, equal scores by anchor.
 
-    Below a floor only those lists are read without which an anchor could not reach it, and an anchor whose sum over
-    them stays too low for what the other lists can add is dropped. Tokens with a full pool above the floor are
-    done; the last floor is 0 and reads all lists, so that none is missed.
+    Sums over a token's shortest lists come first; the last of its pool by them is a floor under its true pool. Then
+    only those lists are read without which an anchor could not reach the floor, and an anchor whose sum over
+    them stays too low for what the other lists can add is dropped. A token without a full pool has the floor 0,
+    for which all lists are read, so that none is missed.
     """
-    bounded = written(_bounded(index, tokens.filter("norm is not null").select("norm").distinct()), "token-bounds")
-    vectors = written(index.postings.groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("vector")), "vectors")
-    open_, found = bounded, None
-    for floor in FLOORS:
-        # Everything is read at the floor of 0, so nothing is left to look up.
-        needed = (F.col("left") >= floor - SLACK) if floor else F.lit(True)
-        read, unread = open_.filter(needed), open_.filter(~needed)
-        rest = unread.groupBy("norm").agg(F.collect_list(F.struct("gram", "weight")).alias("rest"), F.max("left").alias("most"))
-        partial = read.join(index.postings.withColumnRenamed("weight", "w"), "gram").groupBy("norm", "anchor").agg(F.sum(F.col("weight") * F.col("w")).alias("partial"))
-        met = partial.join(rest, "norm", "left").filter(F.col("partial") + F.coalesce("most", F.lit(0.0)) >= floor - SLACK)
-        if floor:
-            met = met.join(vectors, "anchor")
-            more = F.aggregate(F.coalesce("rest", F.array().cast("array<struct<gram:string,weight:double>>")), F.lit(0.0), lambda s, x: s + x["weight"] * F.coalesce(F.try_element_at("vector", x["gram"]), F.lit(0.0)))
-        else:
-            more = F.lit(0.0)
-        scored = met.select("norm", "anchor", F.round(F.col("partial") + more, 9).alias("score")).filter(F.col("score") >= floor)
-        best = scored.withColumn("place", F.row_number().over(W.partitionBy("norm").orderBy(F.desc("score"), "anchor"))).filter(F.col("place") <= most)
-        best = written(best, "pool")
-        full = best.filter(F.col("place") == most).select("norm")
-        done = best.join(full, "norm", "left_semi") if floor else best
-        found = done if found is None else found.unionByName(done)
-        open_ = open_.join(full, "norm", "left_anti")
-    return found
+    bounded = written(_bounded(index, tokens.filter("norm is not null").select("norm").distinct(), most), "token-bounds")
+    lists = index.postings.withColumnRenamed("weight", "w")
+    summed = lambda rows: rows.join(lists, "gram").groupBy("norm", "anchor").agg(F.sum(F.col("weight") * F.col("w")).alias("partial"))
+    first = summed(bounded.filter("rare")).withColumn("k", F.row_number().over(W.partitionBy("norm").orderBy(F.desc("partial")))).filter(F.col("k") == most)
+    floored = bounded.join(first.select("norm", F.col("partial").alias("floor")), "norm", "left").withColumn("read", F.col("floor").isNull() | (F.col("left") >= F.col("floor") - SLACK))
+    floored = written(floored, "token-floors")
+    unread = floored.filter("not read").groupBy("norm").agg(F.first("floor").alias("floor"), F.collect_list(F.struct("gram", "weight")).alias("rest"), F.max("left").alias("most"))
+    met = summed(floored.filter("read")).join(unread, "norm", "left").filter(F.col("rest").isNull() | (F.col("partial") + F.col("most") >= F.col("floor") - SLACK))
+    vectors = index.postings.groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("vector"))
+    met = met.join(vectors, "anchor")
+    more = F.when(F.col("rest").isNull(), 0.0).otherwise(F.aggregate("rest", F.lit(0.0), lambda s, x: s + x["weight"] * F.coalesce(F.try_element_at("vector", x["gram"]), F.lit(0.0))))
+    scored = met.select("norm", "anchor", F.round(F.col("partial") + more, 9).alias("score"))
+    return scored.withColumn("place", F.row_number().over(W.partitionBy("norm").orderBy(F.desc("score"), "anchor"))).filter(F.col("place") <= most)
 
 
 def best_targets(index: Index, pool: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import LIKE_DIGITS, normalised
 from ..operators import retrieval
 from ..registry import query
+from ..sources.scratch import written
 from ..sources.tables import PARTS_SQL, catalog, labelled_parts
 
 #: Labels whose prints are held out: no pair, review or correction of them is learned, nor any token spelled alike.
@@ -70,5 +71,5 @@ def retrieval_pool(spark, sf_dir):
     """The sections of each distinct print: of its 80 most similar spellings, the best of each section; a section as it is scores 1."""
     index = retrieval.build(_anchors(spark, sf_dir))
     tokens = labelled_parts(spark, sf_dir).select(normalised(F.col("printed")).alias("norm"))
-    best = retrieval.best_targets(index, retrieval.search(index, tokens))
+    best = retrieval.best_targets(index, written(retrieval.search(index, tokens), "pool"))
     return best.select("norm", "section", "score")
