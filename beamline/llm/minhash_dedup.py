@@ -1,6 +1,7 @@
 """Near duplicates by bottom-k sketches: the least hash values of a document's n-grams, under one hash function.
 
-A document's sketch holds its KEPT least n-gram hashes (all, if fewer). Inverted lists lead from a retained
+A document's sketch holds its KEPT least n-gram hashes (all, if fewer); one pass over the texts takes all sketches and counts
+their values. Inverted lists lead from a retained
 value to the sketches that hold it, rarest values first: a sketch is filed under as many of its values as
 it takes for two sketches that share what linked documents share to meet in a list. Each list's sets first meet two of them, its hubs, which links most
 copies. Then sets that are not yet linked meet: sizes, places and parity bitmaps of their least values bound what a pair
@@ -34,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .jaccard_join import CHUNK, SKETCH_BITS, SURVEYED, WholeSets, _partners, _survey, _together, classes_of, linked_labels, linked_pairs, ngram_sets, set_id, sketch_of, with_components
+from .jaccard_join import CHUNK, SEGMENTS, SKETCH_BITS, SURVEYED, WholeSets, _partners, _together, classes_of, linked_labels, linked_pairs, ngram_sets, set_id, sketch_of, with_components
 from .shared import joined, partitions, written
 from .textbytes import mix, slices
 
@@ -93,43 +94,65 @@ def sketch(grams: np.ndarray, held: int = KEPT) -> np.ndarray:
     return (grams[:held] >> np.uint64(1)).view(np.int64)
 
 
+def place(values: np.ndarray) -> np.ndarray:
+    """Where retained values are counted."""
+    return (mix(values.view(np.uint64)) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
 def parity(grams: np.ndarray) -> bytes:
     """The parity of the least values that fall on each bit: two bitmaps differ in no more bits than those values do."""
     return np.packbits(np.bincount((mix(grams[:BITMAP_VALUES]) >> np.uint64(20)).astype(np.int64) % BITMAP_BITS, minlength=BITMAP_BITS).astype(np.uint8) & 1).tobytes()
 
 
-def _file(counted, n: int, rule: Sketches):
-    """Of each set that a task meets for the first time: its sketch and bitmap (pos -1), and its places in the inverted lists."""
+SKETCHED = f"{SURVEYED}, bits binary, sketch array<long>"
+NAMES = [x.split()[0] for x in SKETCHED.split(", ")]
 
-    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, seen = counted.value, set()
+
+def _sketched(n: int, held: int):
+    """Rows (id, text_hash, size, cls) for documents, with bitmap and sketch where a task first meets a set; at its end each task's counts of retained values, by segment."""
+
+    def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts, seen = np.zeros(1 << SKETCH_BITS, dtype=np.uint32), set()
         for batch in (y for x in batches for y in slices(x)):
-            token, cls, size, pos, bits, sketches = [], [], [], [], [], []
+            sizes, cls, bits, sketches = [], [], [], []
             for grams in ngram_sets(batch.column("text"), n):
-                k = len(grams)
-                me = set_id(grams) if k else 0
-                if not k or (k, me) in seen:
-                    continue
-                seen.add((k, me))
-                values, p = sketch(grams, rule.held), rule.prefix(k)
-                places = (mix(grams[: rule.held]) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
-                first = values[np.lexsort((values, counts[places]))[:p]]
-                token.append(np.concatenate([np.zeros(1, np.int64), first])), cls.append(np.full(p + 1, me)), size.append(np.full(p + 1, k)), pos.append(np.arange(-1, p))
-                bits += [parity(grams), *[None] * p]
-                sketches += [values, *[None] * p]
+                sizes.append(len(grams)), cls.append(set_id(grams)), bits.append(None), sketches.append(None)
+                if len(grams) and (sizes[-1], cls[-1]) not in seen:
+                    seen.add((sizes[-1], cls[-1]))
+                    bits[-1], sketches[-1] = parity(grams), sketch(grams, held)
+                    np.add.at(counts, place(sketches[-1]), 1)
+            k = len(sizes)
+            columns = [batch.column("id"), batch.column("text_hash"), pa.array(sizes, pa.int64()), pa.array(cls, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary()), pa.array(bits, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=NAMES)
+        parts = [pa.compress(x.tobytes(), codec="zstd", asbytes=True) for x in np.split(counts, SEGMENTS)] if counts.any() else []
+        k = len(parts)
+        columns = [*[pa.nulls(k, pa.int64())] * 4, pa.array(range(k), pa.int32()), pa.array(parts, pa.binary()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, names=NAMES)
+
+    return sketched
+
+
+def _file(counted, rule: Sketches):
+    """A set's places in the inverted lists, from its sketch: the rarest of its values first."""
+
+    def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = counted.value
+        for batch in batches:
+            token, cls, size, pos = [], [], [], []
+            for me, k, values in zip(batch.column("cls").to_pylist(), batch.column("size").to_pylist(), batch.column("sketch")):
+                values, p = values.values.to_numpy(), rule.prefix(k)
+                token.append(values[np.lexsort((values, counts[place(values)]))[:p]]), cls.append(np.full(p, me)), size.append(np.full(p, k)), pos.append(np.arange(p))
             if token:
-                columns = [pa.array(np.concatenate(x), pa.int64()) for x in (token, cls, size, pos)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(bits, pa.binary()), pa.array(sketches, pa.list_(pa.int64()))], names=["token", "cls", "size", "pos", "bits", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x), pa.int64()) for x in (token, cls, size, pos)], names=["token", "cls", "size", "pos"])
 
     return file
 
 
 def _lists(filed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(token, cls, size, pos) of the inverted lists that hold two sets or more, and (token, n, low, high) of them: their length and two hubs."""
-    entries = filed.filter("pos >= 0").select("token", "cls", "size", "pos")
     of = F.struct("cls", "size", "pos")
-    heads = written(entries.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(of).alias("low"), F.max(of).alias("high")).filter("low.cls <> high.cls"), "heads")
-    return written(entries.join(heads.select("token"), "token").distinct(), "lists"), heads
+    heads = written(filed.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(of).alias("low"), F.max(of).alias("high")).filter("low.cls <> high.cls"), "heads")
+    return written(filed.join(heads.select("token"), "token"), "lists"), heads
 
 
 def _to_hubs(lists: DataFrame, heads: DataFrame, rule: Sketches, often: int) -> DataFrame:
@@ -192,13 +215,13 @@ def minhash_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     """
     spark, rule = docs.sparkSession, Sketches(percent, held)
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    survey = written(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_survey(n, held), SURVEYED), "survey")
+    survey = written(texts.withColumn("text_hash", F.xxhash64("text")).mapInArrow(_sketched(n, held), SKETCHED), "survey")
     counted = spark.sparkContext.broadcast(sketch_of(survey))
     rows = survey.filter("segment is null").select("id", "text_hash", "size", "cls")
     classes = written(classes_of(rows), "classes")
-    filed = written(texts.select("text").mapInArrow(_file(counted, n, rule), "token long, cls long, size long, pos long, bits binary, sketch array<long>"), "filed")
+    sketches = written(survey.filter("bits is not null").select("cls", "size", "bits", "sketch").dropDuplicates(["cls", "size"]), "sketches")
+    filed = written(sketches.select("cls", "size", "sketch").mapInArrow(_file(counted, rule), "token long, cls long, size long, pos long"), "filed")
     counted.destroy()
-    sketches = written(filed.filter("pos < 0").dropDuplicates(["cls", "size"]).select("cls", "size", "bits", "sketch"), "sketches")
     lists, heads = _lists(filed)
     # Lists and hubs of more rows than this go to all tasks where they are joined: a few for each partition.
     often = max(CHUNK, lists.count() // (4 * partitions(spark)))
