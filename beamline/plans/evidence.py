@@ -106,11 +106,12 @@ def longest_match(spark, sf_dir):
 
 @query("duplicate_merge")
 def duplicate_merge(spark, sf_dir):
-    """Boxes of one page and family that overlap the survivor by 60 % of the union are one."""
-    parts = labelled_parts(spark, sf_dir).select("p_partkey", "family")
+    """Boxes of one id are one, and so are those of one page and label that overlap the survivor by 60 % of the union."""
+    parts = labelled_parts(spark, sf_dir).select("p_partkey", "label")
     b = boxes(spark, sf_dir).withColumn("confidence", (F.col("x1") - F.col("x0")).cast("double"))
     b = b.withColumn("id", F.concat_ws("-", "l_orderkey", "l_partkey")).join(parts, F.col("l_partkey") == F.col("p_partkey"))
-    return folds.merge_duplicates(b, ["page", "family"], ["l_orderkey", "l_partkey"])
+    once = folds.merge_ids(b, "id", ["page", "x0", "y0", "x1", "y1"])
+    return folds.merge_duplicates(once, ["page", "label"], ["l_orderkey", "l_partkey"])
 
 
 _BINS = f"{_JUDGED}, bins AS (SELECT CAST(least(n_chars // 400, 9) AS BIGINT) AS bin, count(*) AS n, CAST(sum(actual) AS BIGINT) AS good FROM j GROUP BY 1)"
@@ -182,18 +183,18 @@ def feature_hash_signed(spark, sf_dir):
 @query(
     "embedding_knn",
     """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT *, sqrt(list_dot_product(e, e)) AS norm FROM v),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_dot_product(q.e, c.e) / (q.norm * c.norm), 4) AS cosine FROM u q JOIN u c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0 AND q.norm > 0 AND c.norm > 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_dot_product(q.e, c.e) / (q.norm * c.norm), 4) AS cosine FROM u q JOIN u c ON q.label = c.label AND q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0 AND q.norm > 0 AND c.norm > 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INTEGER) AS place FROM s) SELECT * FROM r WHERE place <= 5""",
 )
 def embedding_knn(spark, sf_dir):
-    """The five nearest vectors by cosine among those of the query's label; queries are the ids divisible by 100.
+    """The five nearest vectors by cosine among those of the query's label; queries are the ids divisible by 20.
 
     Queries travel in blocks to the vectors of their label, which are dealt to salted parts of it.
     """
     norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
     unit = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e")).withColumn("norm", norm).filter("norm > 0")
     salts = 8
-    asked = unit.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("e").alias("q"), F.col("norm").alias("q_norm")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    asked = unit.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("e").alias("q"), F.col("norm").alias("q_norm")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     dealt = unit.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
     dot = F.aggregate(F.zip_with("q", "e", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
     scored = dealt.join(asked, ["label", "salt"]).filter("vec_id <> query_id").select("query_id", "vec_id", F.round(dot / (F.col("q_norm") * F.col("norm")), 4).alias("cosine"))
@@ -222,11 +223,12 @@ SELECT page, box, max(near) AS near, max(box_b) FILTER (k = 1) AS pick, string_a
 )
 def label_groups(spark, sf_dir):
     """Of each box the three nearest candidates, the pick, and whether the second is as good."""
-    ranked = _pairs(spark, sf_dir).select("page", "box", F.struct("d2", "box_b").alias("c"))
-    all_ = ranked.groupBy("page", "box").agg(F.sort_array(F.collect_list("c")).alias("all"))  # boxes within the radius
-    first = F.slice("all", 1, 3)
-    tie = F.coalesce(F.get("all", F.lit(1))["d2"] - F.get("all", F.lit(0))["d2"] < 64, F.lit(False))
-    return all_.select("page", "box", F.size("all").cast("long").alias("near"), F.col("all")[0]["box_b"].alias("pick"), F.array_join(F.transform(first, lambda x: x["box_b"]), ",").alias("candidates"), tie.alias("tie"))
+    near = _pairs(spark, sf_dir).select("page", "box", "box_b", "d2")
+    ranked = near.withColumn("k", F.row_number().over(W.partitionBy("page", "box").orderBy("d2", "box_b"))).filter("k <= 3")
+    at = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
+    three = F.concat_ws(",", *[at("box_b", k) for k in (1, 2, 3)])
+    first = ranked.groupBy("page", "box").agg(at("box_b", 1).alias("pick"), three.alias("candidates"), F.coalesce(at("d2", 2) - at("d2", 1) < 64, F.lit(False)).alias("tie"))
+    return near.groupBy("page", "box").agg(F.count(F.lit(1)).alias("near")).join(first, ["page", "box"]).select("page", "box", "near", "pick", "candidates", "tie")
 
 
 @query(

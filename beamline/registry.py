@@ -30,6 +30,7 @@ MODULES = (
     "beamline.plans.sheets",
     "beamline.plans.retrieval",
     "beamline.plans.tracing",
+    "beamline.plans.annotations",
     "beamline.plans.exports",
     "beamline.streaming.events",
 )

@@ -25,7 +25,7 @@ def written(rows: DataFrame, name: str) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
-def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
+def numbered(rows: DataFrame, order: list[Column], name: str, kind: str = "int") -> DataFrame:
     """rows with their place in the whole order, from 1: sorted by range, each range numbered alone."""
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     placed = written(ranged.withColumn("nth", F.monotonically_increasing_id()), name)
@@ -33,4 +33,4 @@ def numbered(rows: DataFrame, order: list[Column], name: str) -> DataFrame:
     placed = placed.withColumn("range", F.shiftright("nth", 33)).withColumn("within", F.col("nth").bitwiseAND((1 << 33) - 1))
     ranges = placed.groupBy("range").agg(F.count(F.lit(1)).alias("n"))
     first = ranges.select("range", (F.sum("n").over(W.orderBy("range")) - F.col("n")).alias("first"))  # one row a range
-    return placed.join(F.broadcast(first), "range").withColumn(name, (F.col("first") + F.col("within") + 1).cast("int")).drop("nth", "range", "within", "first")
+    return placed.join(F.broadcast(first), "range").withColumn(name, (F.col("first") + F.col("within") + 1).cast(kind)).drop("nth", "range", "within", "first")
