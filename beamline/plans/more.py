@@ -62,9 +62,13 @@ SELECT f.p_partkey, c.label FROM f JOIN catalog c ON c.family = f.family AND len
 def field_compatible(spark, sf_dir):
     """Labels of the same family whose fields have the same lengths and characters, wildcards aside."""
     read, norm = "^(WT|HP|MC|W|M|C)([0-9*]+)X([0-9*]+)$", normalised(F.col("printed"))
-    f = labelled_parts(spark, sf_dir).select("p_partkey", *[F.regexp_extract(norm, read, i).alias(n) for i, n in enumerate(("family", "a", "b"), 1)]).withColumn("na", F.length("a")).withColumn("nb", F.length("b"))
-    labels = catalog(spark, sf_dir).select("family", "label", F.col("depth").cast("string").alias("x"), F.col("weight").cast("string").alias("y")).withColumn("na", F.length("x")).withColumn("nb", F.length("y"))
-    return f.join(labels, ["family", "na", "nb"]).filter("x like replace(a, '*', '_') and y like replace(b, '*', '_')").select("p_partkey", "label")
+    asked = labelled_parts(spark, sf_dir).select("p_partkey", *[F.regexp_extract(norm, read, i).alias(n) for i, n in enumerate(("family", "a", "b"), 1)])
+    size = lambda x, y: (F.length(x).alias("na"), F.length(y).alias("nb"))
+    asked = asked.select("p_partkey", "family", *size("a", "b"), F.translate(F.concat_ws("X", "a", "b"), "*", "_").alias("mask"))
+    fields = catalog(spark, sf_dir).select("family", "label", F.col("depth").cast("string").alias("x"), F.col("weight").cast("string").alias("y"))
+    labels = fields.select("family", "label", *size("x", "y"), F.concat_ws("X", "x", "y").alias("text"))
+    by = ["family", "na", "nb"]
+    return asked.join(c.fitting(asked, labels, by), [*by, "mask"]).select("p_partkey", "label")
 
 
 @query(
