@@ -1,7 +1,7 @@
 """Order, neighbourhood and spatial relations of words and boxes.
 
-Boxes meet through grid cells, an equi-join: every box is filed under the cell of its centre and looked up
-in the cells around.
+Boxes meet through grid cells, an equi-join: every box is looked up in the cell of its centre and filed under
+all cells within reach.
 """
 
 from __future__ import annotations
@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Widths of a cell in reaches: a box is filed under (1 + 2 / CELL)^2 cells on average, where cells of one reach take nine.
+CELL = 3
+
 
 def islands(rows: DataFrame, by: list[str], order: list[Column], breaks: Column) -> DataFrame:
     """Numbers runs of rows from 0: a new one begins where breaks holds."""
@@ -23,13 +26,20 @@ def with_centres(boxes: DataFrame) -> DataFrame:
 
 
 def near_pairs(boxes: DataFrame, radius: int) -> DataFrame:
-    """Ordered pairs of different boxes on a page whose centres are at most radius apart; d2 is 4 times the squared distance."""
-    cell = 2 * radius
-    at = boxes.withColumn("gx", F.floor(F.col("cx") / cell)).withColumn("gy", F.floor(F.col("cy") / cell))
-    around = F.array(*[F.struct((F.col("gx") + i).alias("gx"), (F.col("gy") + j).alias("gy")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    other = at.select(F.col("page"), F.explode(around).alias("g"), *[F.col(c).alias(f"{c}_b") for c in ("box", "x0", "y0", "x1", "y1", "cx", "cy")]).select("page", "g.*", *[f"{c}_b" for c in ("box", "x0", "y0", "x1", "y1", "cx", "cy")])
+    """Ordered pairs of different boxes on a page whose centres are at most radius apart; d2 is 4 times the squared distance.
+
+    A cell is CELL times as wide as the reach, so that a box stands in few cells besides its own; far sides follow from centres after the join.
+    """
+    reach = 2 * radius
+    cell = CELL * reach
+    cells = lambda c: F.sequence(F.floor((F.col(c) - reach) / cell), F.floor((F.col(c) + reach) / cell))
+    kept, own = ("box", "x0", "y0", "cx", "cy"), lambda c: F.floor(F.col(c) / cell)
+    at = boxes.select("page", *kept, own("cx").alias("gx"), own("cy").alias("gy"))
+    other = boxes.select("page", *[F.col(c).alias(f"{c}_b") for c in kept]).withColumn("gx", F.explode(cells("cx_b"))).withColumn("gy", F.explode(cells("cy_b")))
     d2 = (F.col("cx") - F.col("cx_b")) * (F.col("cx") - F.col("cx_b")) + (F.col("cy") - F.col("cy_b")) * (F.col("cy") - F.col("cy_b"))
-    return at.join(other, ["page", "gx", "gy"]).filter(F.col("box") != F.col("box_b")).withColumn("d2", d2).filter(F.col("d2") <= 4 * radius * radius).drop("gx", "gy")
+    met = at.join(other, ["page", "gx", "gy"]).filter(F.col("box") != F.col("box_b")).withColumn("d2", d2).filter(F.col("d2") <= reach * reach)
+    whole = lambda b: [F.col(f"box{b}"), F.col(f"x0{b}"), F.col(f"y0{b}"), (F.col(f"cx{b}") - F.col(f"x0{b}")).alias(f"x1{b}"), (F.col(f"cy{b}") - F.col(f"y0{b}")).alias(f"y1{b}"), F.col(f"cx{b}"), F.col(f"cy{b}")]
+    return met.select("page", *whole(""), *whole("_b"), "d2")
 
 
 def relation() -> Column:

@@ -324,11 +324,15 @@ UNION ALL SELECT page, 'disconnected', count(*) FROM b WHERE NOT EXISTS (SELECT
 def extraction_faults(spark, sf_dir):
     """Of each page the texts that repeat, boxes that overlap, degenerate boxes, and boxes without a neighbour."""
     b, p = _boxes(spark, sf_dir), _pairs(spark, sf_dir)
-    count = lambda rows, name: rows.groupBy("page").agg(_n()).select("page", F.lit(name).alias("fault"), "n")
-    repeated = b.groupBy("page", F.split("box", "-")[1].alias("text")).agg(F.count(F.lit(1)).alias("k")).filter("k > 1")
-    overlap = p.filter("box < box_b and x0 < x1_b and x0_b < x1 and y0 < y1_b and y0_b < y1")
-    alone = b.join(p.select("page", "box").distinct(), ["page", "box"], "left_anti")
-    return count(repeated, "repeated_text").unionByName(count(overlap, "overlap")).unionByName(count(b.filter("least(x1 - x0, y1 - y0) <= 5"), "degenerate")).unionByName(count(alone, "disconnected"))
+    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
+    thin, meet = F.expr("least(x1 - x0, y1 - y0) <= 5"), F.expr("box < box_b and x0 < x1_b and x0_b < x1 and y0 < y1_b and y0_b < y1")
+    repeated = b.groupBy("page", F.split("box", "-")[1].alias("text")).agg(F.count(F.lit(1)).alias("k")).filter("k > 1").groupBy("page").agg(_n()).select("page", F.lit("repeated_text").alias("fault"), "n")
+    # Pairs are made once: a box that has any is taken off the boxes that have none.
+    near = p.groupBy("page", "box").agg(F.count(F.when(meet, 1)).alias("overlap"))
+    counts = b.select("page", none.alias("overlap"), F.when(thin, one).otherwise(none).alias("degenerate"), one.alias("disconnected")).unionByName(near.select("page", "overlap", none.alias("degenerate"), (-one).alias("disconnected")))
+    names = ["overlap", "degenerate", "disconnected"]
+    other = counts.groupBy("page").agg(*[F.sum(c).alias(c) for c in names]).unpivot(["page"], names, "fault", "n").filter("n > 0")
+    return repeated.unionByName(other)
 
 
 @query(
