@@ -1,9 +1,8 @@
 """Labels and the members they name: by the tip of a leader first, then by what lies near the label itself.
 
 Points meet segments through grid cells as wide as the radius, an equi-join. Where a member may be claimed once
-only, labels go in order within each component of labels and members that can meet at all; components are
-small, as they reach no further than the radius from link to link. A second pass looks farther for labels that
-were left over, among members that are.
+only, the labels of a page go in order, as a stream. A second pass looks farther for labels that were left over,
+among members that are.
 
 Defined cases: labels without a place, and pages without members, resolve to nothing and say why; two members that
 are near to equally far are told apart by nobody, and the label abstains; repeated rows are to be made one before.
@@ -11,13 +10,14 @@ are near to equally far are told apart by nobody, and the label abstains; repeat
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..sources.scratch import written
-from .graph import components
 
 #: How far a label reaches, how far a leader's tip reaches, and the lead that the nearest member needs.
 REACH, TIP_REACH, MARGIN = 100.0, 80.0, 8.0
@@ -68,31 +68,45 @@ def nearest(found: DataFrame) -> DataFrame:
     return ranked.groupBy("page", "label").agg(one(1, "method").alias("method"), one(1, "member").alias("member"), one(1, "d").alias("d"), one(2, "d").alias("second"))
 
 
-def _claims(rows: pd.DataFrame) -> pd.DataFrame:
-    """Of one component's candidates: each label, in order, with the member it claims or the reason why none."""
+def _claims(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Candidates that stand in order, page after page: each label with the member it claims or the reason why none."""
+    label = None
     taken: set[str] = set()
-    out = []
-    for (page, label), mine in rows.sort_values(["page", "place", "label", "d", "length", "member"], ascending=[True, True, True, True, False, True]).groupby(["page", "label"], sort=False):
-        free = [r for r in mine.itertuples(index=False) if r.member not in taken]
+    free: list[tuple] = []
+
+    def claim() -> tuple:
         if not free:
-            out.append((page, label, None, None, None, "member_already_claimed"))
-        elif len(free) > 1 and free[1].d - free[0].d <= MARGIN:
-            out.append((page, label, None, None, None, "ambiguous_members"))
-        else:
-            taken.add(free[0].member)
-            out.append((page, label, free[0].method, free[0].member, free[0].d, None))
-    return pd.DataFrame(out, columns=["page", "label", "method", "member", "d", "reason"])
+            return (*label, None, None, None, "member_already_claimed")
+        if len(free) > 1 and free[1][2] - free[0][2] <= MARGIN:
+            return (*label, None, None, None, "ambiguous_members")
+        method, member, d = free[0]
+        taken.add(member)
+        return (*label, method, member, d, None)
+
+    columns = ["page", "label", "method", "member", "d", "reason"]
+    for batch in batches:
+        out = []
+        for page, name, *member in zip(*[batch[c].tolist() for c in ("page", "label", "method", "member", "d")]):
+            if (page, name) != label:
+                if label is not None:
+                    out.append(claim())
+                    if page != label[0]:
+                        taken.clear()
+                label, free = (page, name), []
+            # The first two that are free decide.
+            if len(free) < 2 and member[1] not in taken:
+                free.append(tuple(member))
+        yield pd.DataFrame(out, columns=columns)
+    if label is not None:
+        yield pd.DataFrame([claim()], columns=columns)
 
 
 def claimed(found: DataFrame, places: DataFrame) -> DataFrame:
     """(page, label, method, member, d, reason): labels claim members in the order of places (page, label, place), each member once."""
-    if not found.limit(1).count():
-        return found.select("page", "label", "method", "member", "d", F.lit(None).cast("string").alias("reason"))
-    name = lambda kind, c: F.concat_ws(":", F.lit(kind), "page", c)
-    pairs = written(found.withColumn("l", name("label", "label")).withColumn("m", name("member", "member")), "label-members")
-    roots = components(pairs, "l", "m").withColumnRenamed("node", "l")
-    met = pairs.join(roots, "l").join(places, ["page", "label"]).select("root", "page", "label", "place", "method", "member", "length", "d")
-    return met.groupBy("root").applyInPandas(_claims, "page long, label string, method string, member string, d double, reason string")
+    met = found.join(places, ["page", "label"]).select("page", "label", "place", "method", "member", "length", "d")
+    # Members are claimed within a page. A task streams its pages in order and holds the claimed members of one page alone.
+    ordered = met.repartition("page").sortWithinPartitions("page", F.col("place").asc_nulls_last(), "label", "d", F.desc("length"), "member")
+    return ordered.mapInPandas(_claims, "page long, label string, method string, member string, d double, reason string")
 
 
 def associated(labels: DataFrame, members: DataFrame, leaders: DataFrame) -> DataFrame:

@@ -89,6 +89,18 @@ def test_association(spark, seed):
     assert all((r.confidence is None) == (r.member is None) and (r.member is None or 0.35 <= r.confidence <= 0.95) for r in got)
 
 
+def test_claims_run_as_one_stream_of_pages(spark):
+    """Many small pages are no groups of their own, no rounds of components are run, and a page's claims end with it."""
+    found = spark.createDataFrame([(p, f"l{i}", "m", f"s{j}", 5, 20.0 * abs(i - j)) for p in range(300) for i in range(3) for j in range(2)], "page long, label string, method string, member string, length long, d double")
+    got = a.claimed(found, found.selectExpr("page", "label", "label as place").distinct())
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "MapInPandas" in plan
+    rows = {(r.page, r.label): (r.member, r.d, r.reason) for r in got.collect()}
+    want = {"l0": ("s0", 0.0, None), "l1": ("s1", 0.0, None), "l2": (None, None, "member_already_claimed")}
+    assert rows.keys() == {(p, x) for p in range(300) for x in want}
+    assert all((m, None if d is None or d != d else d, why) == want[x] for (_, x), (m, d, why) in rows.items())
+
+
 def test_association_of_nothing(spark):
     none = [spark.createDataFrame([], s) for s in (LABEL, MEMBER, LEADER)]
     assert a.associated(*none).count() == 0
