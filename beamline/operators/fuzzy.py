@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: Characters that print alike, each with the one it is taken for.
 CONFUSED = {"0": "O", "O": "0", "1": "I", "I": "1", "L": "1", "5": "S", "S": "5", "8": "B", "B": "8", "2": "Z", "Z": "2", "6": "G", "G": "6"}
 CONFUSED_COST = 0.5
@@ -16,6 +18,10 @@ CONFUSED_COST = 0.5
 PREFIX, BONUS, LEAST_RATIO = 3, 0.08, 0.55
 #: Labels of one block: so many are held by a task at once.
 BLOCK_LABELS = 20_000
+#: Tokens of one part, and those that a task multiplies at once.
+PART_TOKENS, CHUNK_TOKENS = 4_000, 200
+#: Cosines so near to the greatest may be equal to it once they are rounded.
+NEAR = 2e-6
 
 
 def weighted_edits(a: Column, b: Column) -> Column:
@@ -89,3 +95,49 @@ def ratio_search(tokens: DataFrame, labels: DataFrame, most: int = 3, least: flo
     found = asked.groupBy("part", "block").cogroup(there.groupBy("part", "block")).applyInPandas(_ratio_search(most, least, bonus, letters), "norm string, label string, ratio double")
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("ratio")).alias("r"), "label"))), 1, most)  # `most` of each block
     return found.groupBy("norm").agg(best.alias("best")).select("norm", F.explode("best").alias("b")).select("norm", "b.label", (-F.col("b.r")).alias("ratio"))
+
+
+def _near_cosines(tokens: pd.DataFrame, labels: pd.DataFrame) -> pd.DataFrame:
+    """Of each token the labels of one block whose cosine is the greatest but for NEAR, each different value once, by its least label."""
+    columns = ["norm", "label", "s", "sd", "sp"]
+    if not len(labels):
+        return pd.DataFrame([], columns=columns)
+    labels = labels.sort_values("label")
+    names, whole = labels["label"].to_numpy(), labels["sd"].to_numpy()
+    place: dict[str, int] = {}
+    for held in labels["held"]:
+        for g in held:
+            place.setdefault(g["gram"], len(place))
+    weights = np.zeros((len(place), len(names)))
+    for i, held in enumerate(labels["held"]):
+        for g in held:
+            weights[place[g["gram"]], i] = g["w"]
+    rows = []
+    for at in range(0, len(tokens), CHUNK_TOKENS):
+        some = tokens.iloc[at : at + CHUNK_TOKENS]
+        has = np.zeros((len(some), len(place)))
+        for i, held in enumerate(some["held"]):
+            has[i, [place[g["gram"]] for g in held if g["gram"] in place]] = 1.0
+        shared = has @ weights
+        cosine = shared / np.sqrt(whole[None, :] * some["sp"].to_numpy()[:, None])
+        top = cosine.max(axis=1)
+        for i, (norm, sp) in enumerate(zip(some["norm"], some["sp"])):
+            if top[i] > 0:
+                near = np.flatnonzero(cosine[i] >= top[i] - NEAR)
+                for j in near[np.unique(cosine[i, near], return_index=True)[1]]:
+                    rows.append((norm, names[j], shared[i, j], whole[j], sp))
+    return pd.DataFrame(rows, columns=columns)
+
+
+def nearest_by_cosine(tokens: DataFrame, labels: DataFrame, block: int = BLOCK_LABELS, part: int = PART_TOKENS) -> DataFrame:
+    """tokens (norm, gram, w) and labels (label, gram, w): (norm, label, s, sd, sp), the labels nearest to the greatest cosine s / sqrt(sd * sp) of weighted sets.
+
+    Blocks of labels meet parts of tokens as matrices, so that no pair becomes a row but the best ones.
+    """
+    vector = lambda rows, key, whole: written(rows.groupBy(key).agg(F.collect_list(F.struct("gram", "w")).alias("held"), F.sum("w").alias(whole)), key)
+    there, asked = vector(labels, "label", "sd"), vector(tokens, "norm", "sp")
+    blocks, parts = (max(1, -(-rows.count() // n)) for rows, n in ((there, block), (asked, part)))
+    all_ = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    there = there.select("*", F.pmod(F.xxhash64("label"), F.lit(blocks)).cast("int").alias("block"), all_("part", parts))
+    asked = asked.select("*", F.pmod(F.xxhash64("norm"), F.lit(parts)).cast("int").alias("part"), all_("block", blocks))
+    return asked.groupBy("part", "block").cogroup(there.groupBy("part", "block")).applyInPandas(_near_cosines, "norm string, label string, s double, sd double, sp double")

@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 
 from ..functions.labels import family_of, grams, normalised
 from ..operators import candidates as c
-from ..operators import graph
+from ..operators import fuzzy, graph
 from ..operators import layout as g
 from ..registry import query
 from ..sources.tables import PARTS_SQL, PREDICTIONS_SQL, catalog, labelled_parts, predictions, table
@@ -110,7 +110,7 @@ x AS (SELECT p_partkey, label, sum(w) AS s FROM p JOIN d USING (gram) JOIN w USI
 SELECT p_partkey, label, score FROM s QUALIFY row_number() OVER (PARTITION BY p_partkey ORDER BY score DESC, label) = 1""",
 )
 def tfidf_retrieval(spark, sf_dir):
-    """The label of the greatest cosine of bigram weights, through an inverted index."""
+    """The label of the greatest cosine of bigram weights; blocks of distinct prints and of labels meet as matrices."""
     labels = catalog(spark, sf_dir)
     n = labels.agg(F.count(F.lit(1)).alias("n"))
     d = labels.select("label", F.explode(grams(F.col("label"), 2)).alias("gram"))
@@ -119,9 +119,8 @@ def tfidf_retrieval(spark, sf_dir):
     counts = d.groupBy("gram").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(n))
     w = counts.select("gram", F.pow(F.log((1 + F.col("n")) / (1.0 + F.col("df"))) + 1, F.lit(2)).alias("w"))
     dw, pw = d.join(w, "gram"), p.join(w, "gram")
-    nd, np_ = dw.groupBy("label").agg(F.sum("w").alias("sd")), pw.groupBy("norm").agg(F.sum("w").alias("sp"))
-    both = pw.join(d, "gram").groupBy("norm", "label").agg(F.sum("w").alias("s")).join(nd, "label").join(np_, "norm")
-    score = both.select("norm", F.struct(F.round(-F.col("s") / F.sqrt(F.col("sd") * F.col("sp")), 6).alias("less"), "label").alias("hit"))
+    near = fuzzy.nearest_by_cosine(pw, dw)
+    score = near.select("norm", F.struct(F.round(-F.col("s") / F.sqrt(F.col("sd") * F.col("sp")), 6).alias("less"), "label").alias("hit"))
     best = score.groupBy("norm").agg(F.min("hit").alias("hit"))
     return named.join(best, "norm").select("p_partkey", "hit.label", (-F.col("hit.less")).alias("score"))
 

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from beamline.operators import candidates
+from beamline.operators import candidates, fuzzy
 from beamline.plans.matching import field_any
 from beamline.plans.more import field_compatible
 from beamline.plans.rules import mask_reasons
@@ -58,3 +58,23 @@ def test_repeated_parts_make_no_pairs_on_the_way(spark, tmp_path, query):
     text = got._jdf.queryExecution().optimizedPlan().toString()
     assert rows and made and " LIKE replace" not in text and " LIKE translate" not in text
     assert max(made) <= 4 * (len(rows) + 4 * parts.count())
+
+
+@pytest.mark.parametrize("block, part", [(20_000, 4_000), (7, 5)])
+def test_nearest_cosines_by_brute_force_without_rows_of_pairs(spark, block, part):
+    draw = random.Random(5)
+    word = lambda: "".join(draw.choice("WX012") for _ in range(draw.randint(2, 6)))
+    cut = lambda t: {t[i : i + 2] for i in range(len(t) - 1)}
+    labels, tokens = {word() for _ in range(60)}, {word() for _ in range(40)}
+    weight = {g: 1 + 7 * i % 5 for i, g in enumerate(sorted(set().union(*map(cut, labels))))}
+    frame = lambda rows, key: spark.createDataFrame([(t, g, float(weight[g])) for t in rows for g in cut(t) if g in weight], f"{key} string, gram string, w double")
+    found = fuzzy.nearest_by_cosine(frame(tokens, "norm"), frame(labels, "label"), block, part).collect()
+    got, want = {}, {}
+    for r in found:
+        got[r.norm] = min(got.get(r.norm, (1.0, "")), (-round(r.s / (r.sd * r.sp) ** 0.5, 6), r.label))
+    size = lambda grams: sum(weight.get(g, 0) for g in grams)
+    for t in tokens:
+        hits = [(-round(size(cut(t) & cut(x)) / (size(cut(t)) * size(cut(x))) ** 0.5, 6), x) for x in labels if cut(t) & cut(x)]
+        if hits:
+            want[t] = min(hits)
+    assert got == want and len(found) < len(tokens) * len(labels) / 4
