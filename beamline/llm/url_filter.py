@@ -103,13 +103,13 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     found = written(FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items.select("items")).freqItemsets.select(F.sort_array("items").alias("items"), "freq"), "itemsets")
     found = _recounted(found, rows, items)
     label = F.filter("items", lambda x: x.startswith(_LABEL))
-    both = found.filter((F.size(label) == 1) & (F.size("items") > 1)).select(F.filter("items", lambda x: ~x.startswith(_LABEL)).alias("left"), F.substring(label[0], len(_LABEL) + 1, 100).alias("verdict"), F.col("freq").alias("hits"))
+    both = found.filter((F.size(label) == 1) & (F.size("items") > 1)).select(F.filter("items", lambda x: ~x.startswith(_LABEL)).alias("left"), F.substring(F.get(label, F.lit(0)), len(_LABEL) + 1, 100).alias("verdict"), F.col("freq").alias("hits"))
     alone = found.select(F.col("items").alias("left"), F.col("freq").alias("times"))
-    prior = found.filter((F.size("items") == 1) & (F.size(label) == 1)).select(F.substring(F.col("items")[0], len(_LABEL) + 1, 100).alias("verdict"), (F.col("freq") / F.lit(float(max(1, n)))).alias("prior"))
+    prior = found.filter((F.size("items") == 1) & (F.size(label) == 1)).select(F.substring(F.get("items", F.lit(0)), len(_LABEL) + 1, 100).alias("verdict"), (F.col("freq") / F.lit(float(max(1, n)))).alias("prior"))
     rules = both.join(alone, "left").join(prior, "verdict").withColumn("confidence", F.col("hits") / F.col("times")).withColumn("support", F.col("hits") / F.lit(float(max(1, n))))
     chance = F.col("times") * F.col("prior")
     rules = rules.filter((F.col("confidence") >= min_confidence) & (F.col("hits") - chance > min_deviations * F.sqrt(chance * (1 - F.col("prior")))))
-    single = found.filter(F.size("items") == 1).select(F.col("items")[0].alias("token"), F.col("freq").alias("seen"))
+    single = found.filter(F.size("items") == 1).select(F.get("items", F.lit(0)).alias("token"), F.col("freq").alias("seen"))
     rarest = rules.select("left", "verdict", F.explode("left").alias("token")).join(single, "token").groupBy("left", "verdict").agg(F.min(F.struct("seen", "token")).alias("m"))
     return rules.join(rarest, ["left", "verdict"]).select(F.col("m.token").alias("key"), "left", "verdict", "confidence", "support")
 
