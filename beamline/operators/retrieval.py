@@ -1,4 +1,4 @@
-"""A retrieval index of character n-grams kept as tables, and exact search of it by upper bounds of its lists.
+"""A retrieval index of character n-grams kept as tables, and exact search of it block by block.
 
 Anchors are texts that stand for a target. An anchor's vector holds, for each n-gram, (1 + ln of its count) times
 the n-gram's idf, ln((1 + N) / (1 + df)) + 1 over N anchors, at length 1; tokens are weighed alike over the
@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,10 +20,10 @@ from ..sources.scratch import written
 
 #: The shortest and longest n-gram, and how many anchors a token gets.
 SHORTEST, LONGEST, POOL = 2, 6, 80
-#: Pools that a token's shortest lists fill before the others are bounded.
-ENOUGH = 4
-#: Slack for sums of doubles in another order.
-SLACK = 1e-9
+#: Anchors of one block, and tokens of one part: what a task holds at once.
+BLOCK_ANCHORS, PART_TOKENS = 50_000, 10_000
+#: Scores so near to a pool's last may be equal to it once they are rounded.
+NEAR = 2e-9
 
 
 def all_grams(text: Column) -> Column:
@@ -72,35 +74,48 @@ def build(anchors: DataFrame) -> Index:
     return Index(anchors, written(idf.join(top, "gram"), "gram-bounds"), postings)
 
 
-def _bounded(index: Index, tokens: DataFrame, most: int) -> DataFrame:
-    """(norm, gram, weight, left, rare): left is the most that this n-gram and those of lesser bounds can add to any anchor's score; rare marks the shortest lists, until they hold a few pools' anchors."""
-    known = _counted(tokens, "norm", "norm").join(index.grams.select("gram", "idf"), "gram")
-    bounds = _weighed(known, "norm").join(index.grams.select("gram", "top", "df"), "gram").withColumn("bound", F.col("weight") * F.col("top"))
-    before = lambda *order: W.partitionBy("norm").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    shorter = F.sum("df").over(before("df", "gram")) - F.col("df")
-    return bounds.select("norm", "gram", "weight", F.sum("bound").over(before("bound", "gram")).alias("left"), (shorter < ENOUGH * most).alias("rare"))
-
-
-def search(index: Index, tokens: DataFrame, most: int = POOL) -> DataFrame:
+def _pools(most: int):
+    def pools(tokens: pd.DataFrame, anchors: pd.DataFrame) -> pd.DataFrame:
+        """The anchors of one block with the highest scores for each token of one part, with all that tie with the last but for NEAR."""
+        columns = ["norm", "anchor", "score"]
+        names = anchors["anchor"].tolist()
+        lists: dict[str, tuple[list[int], list[float]]] = {}
+        for i, held in enumerate(anchors["held"]):
+            for g in held:
+                at, weights = lists.setdefault(g["gram"], ([], []))
+                at.append(i)
+                weights.append(g["weight"])
+        arrays = {g: (np.array(at), np.array(weights)) for g, (at, weights) in lists.items()}
+        rows = []
+        for norm, held in zip(tokens["norm"], tokens["held"]):
+            score = np.zeros(len(names))
+            for g in held:
+                if g["gram"] in arrays:
+                    at, weights = arrays[g["gram"]]
+                    score[at] += g["weight"] * weights
+            floor = max(0.0, np.partition(score, -most)[-most] - NEAR) if len(names) > most else 0.0
+            met = np.flatnonzero(score > 0.0) if floor == 0.0 else np.flatnonzero(score >= floor)
+            rows += [(norm, names[k], score[k]) for k in met]
+        return pd.DataFrame(rows, columns=columns)
+
+    return pools
+
+
+def search(index: Index, tokens: DataFrame, most: int = POOL, block: int = BLOCK_ANCHORS, part: int = PART_TOKENS) -> DataFrame:
     """(norm, anchor, score, place): the anchors of the highest scores of each distinct norm, equal scores by anchor.
 
-    Sums over a token's shortest lists come first; the last of its pool by them is a floor under its true pool. Then
-    only those lists are read without which an anchor could not reach the floor, and an anchor whose sum over
-    them stays too low for what the other lists can add is dropped. A token without a full pool has the floor 0,
-    for which all lists are read, so that none is missed.
+    Parts of tokens meet blocks of anchors with their lists; a task sums a token's lists in memory, and only the block's
+    pool becomes rows, so that no list is shuffled once for each token. Every list is read, so none is missed.
     """
-    bounded = written(_bounded(index, tokens.filter("norm is not null").select("norm").distinct(), most), "token-bounds")
-    lists = index.postings.withColumnRenamed("weight", "w")
-    summed = lambda rows: rows.join(lists, "gram").groupBy("norm", "anchor").agg(F.sum(F.col("weight") * F.col("w")).alias("partial"))
-    first = summed(bounded.filter("rare")).withColumn("k", F.row_number().over(W.partitionBy("norm").orderBy(F.desc("partial")))).filter(F.col("k") == most)
-    floored = bounded.join(first.select("norm", F.col("partial").alias("floor")), "norm", "left").withColumn("read", F.col("floor").isNull() | (F.col("left") >= F.col("floor") - SLACK))
-    floored = written(floored, "token-floors")
-    unread = floored.filter("not read").groupBy("norm").agg(F.first("floor").alias("floor"), F.collect_list(F.struct("gram", "weight")).alias("rest"), F.max("left").alias("most"))
-    met = summed(floored.filter("read")).join(unread, "norm", "left").filter(F.col("rest").isNull() | (F.col("partial") + F.col("most") >= F.col("floor") - SLACK))
-    vectors = index.postings.groupBy("anchor").agg(F.map_from_entries(F.collect_list(F.struct("gram", "weight"))).alias("vector"))
-    met = met.join(vectors, "anchor")
-    more = F.when(F.col("rest").isNull(), 0.0).otherwise(F.aggregate("rest", F.lit(0.0), lambda s, x: s + x["weight"] * F.coalesce(F.try_element_at("vector", x["gram"]), F.lit(0.0))))
-    scored = met.select("norm", "anchor", F.round(F.col("partial") + more, 9).alias("score"))
+    known = _counted(tokens.filter("norm is not null").select("norm").distinct(), "norm", "norm").join(index.grams.select("gram", "idf"), "gram")
+    vector = lambda rows, key, name: written(rows.groupBy(key).agg(F.collect_list(F.struct("gram", "weight")).alias("held")), name)
+    asked, there = vector(_weighed(known, "norm"), "norm", "token-vectors"), vector(index.postings, "anchor", "anchor-vectors")
+    blocks, parts = (max(1, -(-rows.count() // n)) for rows, n in ((there, block), (asked, part)))
+    all_ = lambda name, n: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    there = there.select("*", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).cast("int").alias("block"), all_("part", parts))
+    asked = asked.select("*", F.pmod(F.xxhash64("norm"), F.lit(parts)).cast("int").alias("part"), all_("block", blocks))
+    found = asked.groupBy("part", "block").cogroup(there.groupBy("part", "block")).applyInPandas(_pools(most), "norm string, anchor string, score double")
+    scored = found.select("norm", "anchor", F.round("score", 9).alias("score"))
     return scored.withColumn("place", F.row_number().over(W.partitionBy("norm").orderBy(F.desc("score"), "anchor"))).filter(F.col("place") <= most)
 
 

@@ -65,3 +65,12 @@ def test_empty_tables(spark):
     index = retrieval.build(spark.createDataFrame([], SCHEMA))
     assert index.postings.count() == 0
     assert retrieval.search(index, spark.createDataFrame([("W8X10",), (None,)], "norm string")).count() == 0
+
+
+def test_small_blocks_and_parts_give_the_same_pools_without_rows_of_lists(spark):
+    anchors = spark.createDataFrame([(f"W{d}X{w}|{d}{w}", f"W{d}X{w}", f"{d}{w}", "catalog") for d in range(10, 20) for w in range(10, 16)], "anchor string, token string, target string, source string")
+    tokens = spark.createDataFrame([(f"W{d}X1{w}",) for d in range(10, 22) for w in "*05"] + [("",), (None,), ("ZZ",)], "norm string")
+    index = retrieval.build(anchors)
+    whole, cut = (sorted(map(tuple, retrieval.search(index, tokens, 5, block, part).collect())) for block, part in ((1000, 1000), (7, 4)))
+    assert whole == cut and len(whole) == 36 * 5
+    assert "FlatMapCoGroupsInPandas" in retrieval.search(index, tokens, 5)._jdf.queryExecution().executedPlan().toString()
