@@ -4,8 +4,10 @@ Each labelled URL is a set of tokens (scheme, words of the host, words of the pa
 label as one more item; Spark's FP-growth finds the frequent sets, and those with a label become rules,
 kept by support, confidence and significance: as many of the label as chance gives by its share of all
 labelled URLs make no rule. A URL has 2^k sets of k tokens, so of a labelled URL with more than ITEMS
-frequent tokens only those whose labels lie furthest from chance are combined; sets that hold a token left out
-somewhere are counted anew over all tokens. A rule is filed in an inverted index under the rarest token of its left
+frequent tokens FP-growth combines those whose labels lie furthest from chance. Sets that hold a token left out
+somewhere are counted anew over all tokens, and those that FP-growth missed are grown from that token, step by step, over
+whole rows; only a set in as many rows as one of its subsets is left out, since the subset's rule counts the same and
+fits wherever the set's would. So no rule that could decide is lost. A rule is filed in an inverted index under the rarest token of its left
 side; a URL looks its tokens up there, and the rule of greatest confidence, then support, that it holds
 whole decides. A URL that no rule fits is allowed.
 
@@ -17,6 +19,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import ceil
 
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
@@ -33,7 +36,7 @@ MIN_COUNT = 5
 MIN_DEVIATIONS = 3.0
 #: Rules up to this number go to all tasks (some 10 MB); more are joined by a shuffle.
 BROADCAST_RULES = 50_000
-#: Frequent tokens of one labelled URL that can stand together in rules: 2^ITEMS sets at most come from one URL, however often it is repeated.
+#: Frequent tokens of one labelled URL that FP-growth combines, so 2^ITEMS sets at most; sets that hold any of the others are grown apart.
 ITEMS = 12
 _LABEL = "verdict="
 
@@ -81,8 +84,8 @@ def _transactions(rows: DataFrame, n: int, support: float) -> DataFrame:
     return mined.select("r", F.concat(F.slice("all", 1, ITEMS), label).alias("items"), F.slice("all", ITEMS + 1, 2**31 - 1).alias("cut"))
 
 
-def _recounted(found: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame:
-    """found (items, freq), with those that hold a token which was cut somewhere counted anew over all tokens of rows."""
+def _recounted(found: DataFrame, rows: DataFrame, items: DataFrame, need: int) -> DataFrame:
+    """found (items, freq), with those that hold a token which was cut somewhere counted anew over all tokens of rows, and those that the cut hid."""
     cut = written(items.select(F.explode("cut").alias("token")).distinct(), "cut")
     if not cut.limit(1).count():
         return found
@@ -91,7 +94,43 @@ def _recounted(found: DataFrame, rows: DataFrame, items: DataFrame) -> DataFrame
     sets = written(touched.withColumn("key", F.element_at(F.filter("items", lambda x: ~x.startswith(_LABEL)), 1)), "touched")
     all_ = rows.select("r", F.concat("tokens", F.array(F.concat(F.lit(_LABEL), "verdict"))).alias("all"))
     counts = all_.withColumn("key", F.explode("all")).join(sets, "key").filter(F.size(F.array_except("items", "all")) == 0).groupBy("items").agg(F.count(F.lit(1)).alias("times"))
-    return written(found.join(counts, "items", "left").select("items", F.coalesce("times", "freq").alias("freq")), "recounted")
+    known = written(found.join(counts, "items", "left").select("items", F.coalesce("times", "freq").alias("freq")), "recounted")
+    return known.unionByName(_grown(items, cut, need).join(known, "items", "left_anti"))
+
+
+def _grown(items: DataFrame, cut: DataFrame, need: int) -> DataFrame:
+    """(items, freq) of the sets that hold a cut token and have a label at least need times, counted in whole rows, alone and with their labels.
+
+    A set grows by one token at a time, cut ones first, so each is met on one way. Its subsets lie in the round before, if each of them
+    is in more rows than the set; otherwise the set says no more than a subset, and neither does what would grow from it.
+    """
+    cuts = cut.agg(F.sort_array(F.collect_set("token")).alias("cuts"))  # frequent tokens only
+    whole = items.select(F.concat(F.slice("items", 1, F.size("items") - 1), "cut").alias("all"), F.element_at("items", -1).alias("label")).join(F.broadcast(cuts))
+    first = F.array_intersect("cuts", "all")
+    alike = whole.select(F.concat(first, F.sort_array(F.array_except("all", "cuts"))).alias("line"), F.size(first).alias("firsts"), "label").filter("firsts > 0").groupBy("line", "firsts", "label").agg(F.count(F.lit(1)).alias("n"))
+    lines = written(alike.withColumn("g", F.monotonically_increasing_id()), "whole-rows")
+    sets = lines.select("g", "n", "label", F.explode(F.sequence(F.lit(1), "firsts")).alias("at"), F.array(F.element_at("line", F.col("at"))).alias("set"))
+    before, done = None, []
+    while True:
+        sets = written(sets, "grown-sets")
+        hits = sets.groupBy("set", "label").agg(F.sum("n").alias("hits"))
+        counts = hits.groupBy("set").agg(F.sum("hits").alias("times"), F.collect_list(F.struct("label", "hits")).alias("labels")).filter(F.array_max(F.transform("labels", lambda x: x["hits"])) >= need)
+        if before is not None:
+            less = F.transform(F.sequence(F.lit(2), F.size("set")), lambda i: F.concat(F.slice("set", F.lit(1), i - 1), F.slice("set", i + 1, F.size("set"))))
+            more = counts.select("set", "times", F.explode(less).alias("less")).join(before.select(F.col("set").alias("less"), F.col("times").alias("most")), "less").filter("times < most")
+            counts = counts.join(more.groupBy("set").agg(F.count(F.lit(1)).alias("k")), "set").filter(F.col("k") == F.size("set") - 1).drop("k")
+        before = written(counts, "grown-counts")
+        if not before.limit(1).count():
+            break
+        done.append(before)
+        open_ = sets.join(before.select("set"), "set", "left_semi").join(lines.select("g", "line"), "g").filter(F.col("at") < F.size("line"))
+        step = open_.select("g", "n", "label", "set", "line", F.explode(F.sequence(F.col("at") + 1, F.size("line"))).alias("at"))
+        sets = step.select("g", "n", "label", "at", F.concat("set", F.array(F.element_at("line", F.col("at")))).alias("set"))
+    found = before
+    for counts in done:
+        found = found.unionByName(counts)
+    labelled = found.select("set", F.explode("labels").alias("x")).filter(F.col("x.hits") >= need).select(F.concat("set", F.array("x.label")).alias("items"), F.col("x.hits").alias("freq"))
+    return found.select(F.col("set").alias("items"), F.col("times").alias("freq")).unionByName(labelled).select(F.sort_array("items").alias("items"), "freq")
 
 
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confidence: float = MIN_CONFIDENCE, min_count: int = MIN_COUNT, min_deviations: float = MIN_DEVIATIONS) -> DataFrame:
@@ -101,7 +140,7 @@ def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT, min_confid
     support = min(1.0, max(min_support, min_count / max(1, n)))
     items = written(_transactions(rows, n, support), "transactions")
     found = written(FPGrowth(itemsCol="items", minSupport=support, minConfidence=min_confidence).fit(items.select("items")).freqItemsets.select(F.sort_array("items").alias("items"), "freq"), "itemsets")
-    found = _recounted(found, rows, items)
+    found = _recounted(found, rows, items, ceil(support * n))
     label = F.filter("items", lambda x: x.startswith(_LABEL))
     both = found.filter((F.size(label) == 1) & (F.size("items") > 1)).select(F.filter("items", lambda x: ~x.startswith(_LABEL)).alias("left"), F.substring(F.get(label, F.lit(0)), len(_LABEL) + 1, 100).alias("verdict"), F.col("freq").alias("hits"))
     alone = found.select(F.col("items").alias("left"), F.col("freq").alias("times"))

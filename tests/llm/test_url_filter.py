@@ -105,3 +105,30 @@ def test_cut_tokens_are_counted_in_full(spark, monkeypatch):
     for r in got:
         times, hits = sum(set(r.left) <= set(t) for t, _ in rows), sum(set(r.left) <= set(t) and v == r.verdict for t, v in rows)
         assert (round(r.confidence, 9), round(r.support, 9)) == (round(hits / times, 9), round(hits / len(rows), 9))
+
+
+def test_cut_tokens_lose_no_rule(spark, monkeypatch):
+    """With two items a row, every set of tokens still finds the confidence and support that counting all rules gives it."""
+    from beamline.llm import url_filter
+
+    monkeypatch.setattr(url_filter, "ITEMS", 2)
+    rng = random.Random(5)
+    rows = []
+    for _ in range(150):
+        tokens = [t for t in "abcdefg" if rng.random() < 0.6]
+        rows.append((tokens, "block" if {"a", "d", "f"} <= set(tokens) or rng.random() < 0.15 else "allow"))
+    frame = spark.createDataFrame(rows, "tokens array<string>, verdict string")
+    rules = [(set(r.left), round(r.confidence, 9), round(r.support, 9)) for r in mine_rules(frame, 0.05, 0.6, 1, 1.0).collect()]
+    counted = []
+    for k in range(1, 8):
+        for left in combinations("abcdefg", k):
+            labels = [v for t, v in rows if set(left) <= set(t)]
+            for verdict in set(labels):
+                prior, hits = sum(v == verdict for _, v in rows) / len(rows), labels.count(verdict)
+                if hits >= 0.05 * len(rows) and hits / len(labels) >= 0.6 and hits - len(labels) * prior > math.sqrt(len(labels) * prior * (1 - prior)):
+                    counted.append((set(left), round(hits / len(labels), 9), round(hits / len(rows), 9)))
+    assert all(r in counted for r in rules) and any(len(left) > 2 for left, _, _ in rules)
+    for k in range(1, 8):
+        for asked in combinations("abcdefg", k):
+            best = lambda rules: max(((c, s) for left, c, s in rules if left <= set(asked)), default=None)
+            assert best(rules) == best(counted), asked
