@@ -17,13 +17,24 @@ _PAIRS = f"""{_BOXES}, pairs AS (SELECT a.*, b.box AS box_b, b.x0 AS x0_b, b.y0
 RADIUS = 30
 
 
+def _unique(spark, sf_dir):
+    """Boxes once an id and page: the least by its sides, first in the one order that each task makes of its ids."""
+    n = table(spark, sf_dir, "lineitem").count()
+    first = F.row_number().over(W.partitionBy("l_orderkey", "l_partkey", "page").orderBy("x0", "y0", "x1", "y1"))
+    dealt = g.dealt(boxes(spark, sf_dir), n, "l_orderkey", "l_partkey", "page")
+    return dealt.withColumn("nth", first).filter("nth = 1").drop("nth")
+
+
 def _boxes(spark, sf_dir):
-    once = boxes(spark, sf_dir).groupBy("l_orderkey", "l_partkey", "page").agg(F.min(F.struct("x0", "y0", "x1", "y1")).alias("sides"))
-    return g.with_centres(once.select("l_orderkey", "l_partkey", "page", "sides.*"))
+    return g.with_centres(_unique(spark, sf_dir))
 
 
-def _pairs(spark, sf_dir):
-    return g.near_pairs(_boxes(spark, sf_dir), RADIUS)
+def _pairs(spark, sf_dir, radius=RADIUS):
+    """Near pairs; boxes meet by their keys and are named once they have met."""
+    keys = F.struct("l_orderkey", "l_partkey")
+    once = _unique(spark, sf_dir).select(keys.alias("box"), "page", "x0", "y0", (F.col("x0") + F.col("x1")).alias("cx"), (F.col("y0") + F.col("y1")).alias("cy"))
+    name = lambda b: g.box_name(f"{b}.l_orderkey", f"{b}.l_partkey")
+    return g.near_pairs(once, radius).withColumns({b: name(b) for b in ("box", "box_b")})
 
 
 @query(
@@ -100,8 +111,8 @@ _WIDE = _PAIRS.replace("4 * 30 * 30", "4 * 120 * 120")
 @query("knn_grid", f"WITH {_WIDE}, r AS (SELECT page, box, box_b, d2, CAST(row_number() OVER (PARTITION BY page, box ORDER BY d2, box_b) AS INTEGER) AS place FROM pairs) SELECT * FROM r WHERE place <= 5")
 def knn_grid(spark, sf_dir):
     """The five nearest boxes within 120."""
-    place = F.row_number().over(W.partitionBy("page", "box").orderBy("d2", "box_b"))
-    return g.near_pairs(_boxes(spark, sf_dir), 120).select("page", "box", "box_b", "d2", place.alias("place")).filter("place <= 5")
+    place = F.row_number().over(W.partitionBy("page", *g.CELLS, "box").orderBy("d2", "box_b"))
+    return _pairs(spark, sf_dir, 120).select("page", "box", "box_b", "d2", place.alias("place")).filter("place <= 5")
 
 
 _RELATION = """CASE WHEN x0 <= x0_b AND y0 <= y0_b AND x1 >= x1_b AND y1 >= y1_b THEN 'contains' WHEN x0 <= x1_b AND x0_b <= x1 AND y0 <= y1_b AND y0_b <= y1 THEN 'intersects'
@@ -116,7 +127,7 @@ def spatial_relations(spark, sf_dir):
 @query("node_features", f"WITH {_PAIRS} SELECT page, box, count(*) AS degree, count(*) FILTER ({_RELATION} IN ('contains', 'intersects')) AS touching, min(d2) AS nearest FROM pairs GROUP BY page, box")
 def node_features(spark, sf_dir):
     touching = F.count(F.when(g.relation().isin("contains", "intersects"), 1))
-    return _pairs(spark, sf_dir).groupBy("page", "box").agg(F.count(F.lit(1)).alias("degree"), touching.alias("touching"), F.min("d2").alias("nearest"))
+    return _pairs(spark, sf_dir).groupBy("page", *g.CELLS, "box").agg(F.count(F.lit(1)).alias("degree"), touching.alias("touching"), F.min("d2").alias("nearest")).drop(*g.CELLS)
 
 
 @query("point_in_region", f"WITH {_BOXES} SELECT page, cx // 500 AS gx, cy // 500 AS gy, count(*) AS n, count(DISTINCT box) AS boxes FROM b GROUP BY 1, 2, 3")

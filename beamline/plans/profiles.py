@@ -98,8 +98,8 @@ SELECT b.page, b.box, coalesce(degree, 0) AS degree, coalesce(links, 0) AS struc
 )
 def graph_lookup(spark, sf_dir):
     """Degree, structural links, nearest distance and consistency of every box; defaults where the graph has none."""
-    e = _pairs(spark, sf_dir).groupBy("page", "box").agg(F.count(F.lit(1)).alias("k"), F.count(F.when(F.expr(_STRUCTURAL), 1)).alias("links"), F.min("d2").alias("near"))
-    rows, zero = _boxes(spark, sf_dir).select("page", "box").join(e, ["page", "box"], "left"), F.lit(0).cast("long")
+    e = _pairs(spark, sf_dir).groupBy("page", *g.CELLS, "box").agg(F.count(F.lit(1)).alias("k"), F.count(F.when(F.expr(_STRUCTURAL), 1)).alias("links"), F.min("d2").alias("near"))
+    rows, zero = _boxes(spark, sf_dir).select("page", "box").join(e.drop(*g.CELLS), ["page", "box"], "left"), F.lit(0).cast("long")
     consistency = F.least(F.lit(1.0), 0.35 + 0.09 * F.coalesce("links", zero))
     return rows.select("page", "box", F.coalesce("k", zero).alias("degree"), F.coalesce("links", zero).alias("structural_links"), F.round(F.coalesce(F.sqrt("near") / 2, F.lit(999.0)), 6).alias("min_distance"), F.round(consistency, 4).alias("consistency"), F.col("k").isNotNull().alias("graph_available"))
 
