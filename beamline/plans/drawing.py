@@ -8,7 +8,8 @@ from pyspark.sql import Window as W
 
 from ..operators import layout as g
 from ..registry import query
-from ..sources.tables import PREDICTIONS_SQL, predictions
+from ..sources.scratch import written
+from ..sources.tables import PREDICTIONS_SQL, predictions, table
 from .layout import _BOXES, _PAIRS, _boxes, _pairs
 
 
@@ -97,24 +98,29 @@ axes AS (SELECT page, orientation, axis, min(lo) AS lo, max(hi) AS hi, CAST(sum(
 
 
 def _axes(spark, sf_dir):
-    """Strokes along one line joined over gaps of a dash, and those chains over wider gaps."""
+    """Strokes along one line joined over gaps of a dash, and those chains over wider gaps.
+
+    Strokes of one place are alike to both, so they need no name; a page's two directions are dealt to as many tasks as there are strokes for.
+    """
     flat = (F.col("x1") - F.col("x0")) >= (F.col("y1") - F.col("y0"))
     pick = lambda a, b: F.when(flat, F.col(a)).otherwise(F.col(b))
-    seg = _boxes(spark, sf_dir).select("page", "box", F.when(flat, "horizontal").otherwise("vertical").alias("orientation"), F.floor(pick("cy", "cx") / 2).alias("axis"), pick("x0", "y0").alias("lo"), pick("x1", "y1").alias("hi"))
-    by = ["page", "orientation"]
-    seg = g.islands(seg, by, [F.col("axis"), F.col("box")], F.col("axis") - F.lag("axis").over(W.partitionBy(*by).orderBy("axis", "box")) > 3).withColumnRenamed("island", "cluster")
+    seg = _boxes(spark, sf_dir).select("page", flat.alias("flat"), F.floor(pick("cy", "cx") / 2).alias("axis"), pick("x0", "y0").alias("lo"), pick("x1", "y1").alias("hi"))
+    by = ["page", "flat"]
+    seg = g.dealt(seg, table(spark, sf_dir, "lineitem").count(), *by)
+    seg = g.islands(seg, by, [F.col("axis")], F.col("axis") - F.lag("axis").over(W.partitionBy(*by).orderBy("axis")) > 3).withColumnRenamed("island", "cluster")
 
     def runs(rows, by, order, gap):
         reach = F.max("hi").over(W.partitionBy(*by).orderBy(*order).rowsBetween(W.unboundedPreceding, -1))
         return g.islands(rows.withColumn("reach", reach), by, [F.col(c) for c in order], F.col("lo") > F.col("reach") + gap)
 
-    line = runs(seg, [*by, "cluster"], ["lo", "hi", "box"], DASH_GAP)
+    line = runs(seg, [*by, "cluster"], ["lo", "hi"], DASH_GAP)
     mean = F.floor(F.sum("axis").over(W.partitionBy(*by, "cluster")) / F.count(F.lit(1)).over(W.partitionBy(*by, "cluster")))
     ends = [F.min("lo").alias("lo"), F.max("hi").alias("hi")]
     chains = line.withColumn("mean", mean).groupBy(*by, "cluster", "island", "mean").agg(*ends, F.sum(F.col("hi") - F.col("lo")).alias("ink"), F.count(F.lit(1)).alias("pieces"))
     chains = chains.select(*by, F.col("mean").alias("axis"), "lo", "hi", "ink", "pieces")
     linked = runs(chains, [*by, "axis"], ["lo", "hi"], AXIS_GAP)
-    return linked.groupBy(*by, "axis", "island").agg(*ends, F.sum("ink").alias("ink"), F.sum("pieces").alias("pieces"), F.count(F.lit(1)).alias("runs")).drop("island")
+    axes = linked.groupBy(*by, "axis", "island").agg(*ends, F.sum("ink").alias("ink"), F.sum("pieces").alias("pieces"), F.count(F.lit(1)).alias("runs"))
+    return axes.select("page", F.when(F.col("flat"), "horizontal").otherwise("vertical").alias("orientation"), "axis", "lo", "hi", "ink", "pieces", "runs")
 
 
 @query("collinear_axes", f"WITH {_CHAINS} SELECT * FROM axes")
@@ -242,6 +248,10 @@ def distance_norms(spark, sf_dir):
     return near.select("page", "box", "box_b", by_page.alias("by_page"), F.round(raw / (F.col("y1") - F.col("y0")), 4).alias("by_text"), F.when(scale != 0, F.round(raw * scale, 4)).alias("by_scale"), (scale != 0).alias("scaled"))
 
 
+#: Points across a cell in which tips meet ends.
+TIP_CELL = 64
+
+
 @query(
     "leader_ends",
     f"""WITH {_BOXES}, e AS (SELECT page, box, x0 AS ex, y0 AS ey, x1 AS ox, y1 AS oy FROM b UNION ALL SELECT page, box, x1, y1, x0, y0 FROM b), h1 AS (SELECT b.page, b.box, b.box AS via, e.box AS seg, e.ox, e.oy FROM b JOIN e ON e.page = b.page AND e.box <> b.box AND abs(e.ex - b.x1) <= 1 AND abs(e.ey - b.y1) <= 1),
