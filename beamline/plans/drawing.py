@@ -262,13 +262,16 @@ def leader_ends(spark, sf_dir):
     """Where a stroke leads: its end is followed through up to two strokes that begin or end within a point of it."""
     b = _boxes(spark, sf_dir)
     ends = b.select("page", F.col("box").alias("seg"), F.explode(F.array(*[F.struct(F.col(f"x{i}").alias("ex"), F.col(f"y{i}").alias("ey"), F.col(f"x{1 - i}").alias("ox"), F.col(f"y{1 - i}").alias("oy")) for i in (0, 1)])).alias("e")).select("page", "seg", "e.*")
-    around = F.explode(F.array(*[F.struct((F.col("fx") + i).alias("ex"), (F.col("fy") + j).alias("ey")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    # Ends are filed under the cells within a point of them, mostly one; a tip looks in its own.
+    filed = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1) / TIP_CELL), F.floor((F.col(c) + 1) / TIP_CELL)))
+    ends = ends.withColumn("gx", filed("ex")).withColumn("gy", filed("ey"))
 
     def follow(front, hop):
-        tips = front.select("page", "box", "via", around.alias("t")).select("page", "box", "via", "t.*")
-        return tips.join(ends, ["page", "ex", "ey"]).filter("seg <> via and seg <> box").select("page", "box", F.lit(hop).alias("hop"), "seg", "ox", "oy")
+        tips = front.withColumn("gx", F.floor(F.col("fx") / TIP_CELL)).withColumn("gy", F.floor(F.col("fy") / TIP_CELL))
+        met = tips.join(ends, ["page", "gx", "gy"]).filter("abs(ex - fx) <= 1 and abs(ey - fy) <= 1 and seg <> via and seg <> box")
+        return met.select("page", "box", F.lit(hop).alias("hop"), "seg", "ox", "oy")
 
-    one = follow(b.select("page", "box", F.col("box").alias("via"), F.col("x1").alias("fx"), F.col("y1").alias("fy")), 1)
+    one = written(follow(b.select("page", "box", F.col("box").alias("via"), F.col("x1").alias("fx"), F.col("y1").alias("fy")), 1), "first-hops")
     two = follow(one.select("page", "box", F.col("seg").alias("via"), F.col("ox").alias("fx"), F.col("oy").alias("fy")), 2)
     return one.unionByName(two).distinct()
 
