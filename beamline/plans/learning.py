@@ -167,7 +167,7 @@ def variants(spark, sf_dir):
 SELECT label, near, distance FROM j WHERE distance <= 3""",
 )
 def hard_negatives(spark, sf_dir):
-    return candidates.nearest_fields(catalog(spark, sf_dir), most=10**6).filter("distance <= 3").select("label", "near", "distance")
+    return candidates.near_fields(catalog(spark, sf_dir), within=3)
 
 
 @query(
