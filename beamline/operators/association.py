@@ -1,6 +1,6 @@
 """Labels and the members they name: by the tip of a leader first, then by what lies near the label itself.
 
-Points meet segments through grid cells as wide as the radius, an equi-join. Where a member may be claimed once
+Points meet segments through grid cells of CELL reaches, an equi-join. Where a member may be claimed once
 only, the labels of a page go in order, as a stream. A second pass looks farther for labels that were left over,
 among members that are.
 
@@ -23,6 +23,8 @@ from ..sources.scratch import written
 REACH, TIP_REACH, MARGIN = 100.0, 80.0, 8.0
 #: The least and the most confidence.
 LEAST, MOST = 0.35, 0.95
+#: Widths of a cell in reaches: a short segment is filed under some two cells, where cells of one reach take nine.
+CELL = 4
 #: The second pass reaches so many times as far.
 FARTHER = 2
 
@@ -38,9 +40,9 @@ def to_segment(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: C
 
 def near(points: DataFrame, segments: DataFrame, reach: float) -> DataFrame:
     """points (page, px, py, ...) and segments (page, x0, y0, x1, y1, ...) at most reach apart, with d; each pair meets in the point's cell."""
-    low, high = lambda a, b: F.floor((F.least(a, b) - reach) / reach), lambda a, b: F.floor((F.greatest(a, b) + reach) / reach)
+    low, high = lambda a, b: F.floor((F.least(a, b) - reach) / (CELL * reach)), lambda a, b: F.floor((F.greatest(a, b) + reach) / (CELL * reach))
     cells = segments.withColumn("gx", F.explode(F.sequence(low("x0", "x1"), high("x0", "x1")))).withColumn("gy", F.explode(F.sequence(low("y0", "y1"), high("y0", "y1"))))
-    at = points.withColumn("gx", F.floor(F.col("px") / reach)).withColumn("gy", F.floor(F.col("py") / reach))
+    at = points.withColumn("gx", F.floor(F.col("px") / (CELL * reach))).withColumn("gy", F.floor(F.col("py") / (CELL * reach)))
     met = at.join(cells, ["page", "gx", "gy"]).withColumn("d", to_segment(*[F.col(c) for c in ("px", "py", "x0", "y0", "x1", "y1")]))
     return met.filter(F.col("d") <= reach).drop("gx", "gy", "x0", "y0", "x1", "y1")
 
