@@ -7,13 +7,13 @@ a place or name meet nothing; empty tables give no lines and no crossings.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Directions in half a circle, the shortest stroke, how near a bubble a stroke begins and how far its line may miss the centre.
 DIRECTIONS, LEAST_STROKE, LOCAL_REACH, MISS = 360, 2.0, 60.0, 1.5
+#: Widths of a cell in reaches, and of one of directions and places in buckets: rows are filed under one or two of them, not under nine.
+CELL, BUCKETS = 4, 8
 #: The least ink along a line, buckets within which lines are parallel, and how far from a crossing a mark is found.
 LEAST_INK, PARALLEL, MARK_REACH = 12.0, 20, 12.0
 
@@ -31,10 +31,11 @@ def _nearest(c: Column) -> Column:
     return F.floor(c + 0.5)
 
 
-def _around(*columns: Column, names: tuple[str, ...]) -> Column:
-    """One row for each cell of the block of three around a cell, in every dimension."""
-    steps = reduce(lambda done, _: [(*d, i) for d in done for i in (-1, 0, 1)], columns, [()])
-    return F.explode(F.array(*[F.struct(*[(c + i).alias(n) for c, i, n in zip(columns, s, names, strict=True)]) for s in steps]))
+def _filed(rows: DataFrame, reach: float, width: float, **places: Column) -> DataFrame:
+    """rows under each of the cells, so wide, within reach of a place, in every dimension: few where cells are wide."""
+    for name, c in places.items():
+        rows = rows.withColumn(name, F.explode(F.sequence(F.floor((c - reach) / width), F.floor((c + reach) / width))))
+    return rows
 
 
 def directed(strokes: DataFrame) -> DataFrame:
@@ -53,15 +54,18 @@ def axes(strokes: DataFrame, bubbles: DataFrame) -> DataFrame:
     """
     drawn = directed(strokes)
     lines = drawn.groupBy("page", "key", _nearest(place(F.col("key"), F.col("x0"), F.col("y0"))).alias("at")).agg(F.sum("length").alias("ink"))
-    cell = lambda c: F.floor(c / LOCAL_REACH)
+    cell = lambda c: F.floor(c / (CELL * LOCAL_REACH))
     ends = drawn.select("page", "key", F.col("x0").alias("sx"), F.col("y0").alias("sy"), F.explode(F.array(F.struct(F.col("x0").alias("x"), F.col("y0").alias("y")), F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")))).alias("e"))
     ends = ends.select("page", "key", "sx", "sy", F.col("e.x").alias("ex"), F.col("e.y").alias("ey")).withColumn("gx", cell(F.col("ex"))).withColumn("gy", cell(F.col("ey")))
-    around = bubbles.select("page", "name", "x", "y", _around(cell(F.col("x")), cell(F.col("y")), names=("gx", "gy")).alias("g")).select("page", "name", "x", "y", "g.*")
+    around = _filed(bubbles.select("page", "name", "x", "y"), LOCAL_REACH, CELL * LOCAL_REACH, gx=F.col("x"), gy=F.col("y"))
     x, y, key = F.col("x"), F.col("y"), F.col("key")
     beside = (F.pow(x - F.col("ex"), F.lit(2)) + F.pow(y - F.col("ey"), F.lit(2)) <= LOCAL_REACH**2) & (F.abs(place(key, x, y) - place(key, F.col("sx"), F.col("sy"))) <= MISS)
     local = around.join(ends, ["page", "gx", "gy"]).filter(beside).select("page", "name", "x", "y", "key").distinct().withColumn("c", place(key, x, y))
-    wide = local.select("*", _around(key, _nearest(F.col("c")), names=("k", "at")).alias("n")).select("page", "name", "x", "y", "c", F.col("key").alias("own"), F.pmod("n.k", F.lit(DIRECTIONS)).alias("key"), "n.at")
-    inked = wide.join(lines, ["page", "key", "at"]).groupBy("page", "name", "x", "y", "own", "c").agg(F.round(F.sum("ink"), 6).alias("ink"))
+    turned = F.array_distinct(F.array(*[F.floor(F.pmod(F.col("own") + i, F.lit(DIRECTIONS)) / BUCKETS) for i in (-1, 0, 1)]))
+    wide = _filed(local.withColumnRenamed("key", "own").withColumn("mid", _nearest(F.col("c"))).withColumn("k", F.explode(turned)), 1, BUCKETS, a=F.col("mid"))
+    near = F.least(F.abs(F.col("key") - F.col("own")), DIRECTIONS - F.abs(F.col("key") - F.col("own"))) <= 1
+    drawn_at = lines.withColumn("k", F.floor(key / BUCKETS)).withColumn("a", F.floor(F.col("at") / BUCKETS))
+    inked = wide.join(drawn_at, ["page", "k", "a"]).filter(near & (F.abs(F.col("at") - F.col("mid")) <= 1)).groupBy("page", "name", "x", "y", "own", "c").agg(F.round(F.sum("ink"), 6).alias("ink"))
     best = inked.groupBy("page", "name", "x", "y").agg(F.max(F.struct("ink", (-F.col("own")).alias("own"), "c")).alias("b")).filter(F.col("b.ink") >= LEAST_INK)
     one = best.groupBy("page", "name", (-F.col("b.own")).alias("key"), _nearest(F.col("b.c")).alias("at")).agg(F.min("b.c").alias("c"), F.max("b.ink").alias("ink"))
     return one.select("page", "name", "key", "c", "ink")
@@ -83,8 +87,8 @@ def crossings(wanted: DataFrame, lines: DataFrame, sheet: float) -> DataFrame:
 
 def nearest_marks(points: DataFrame, marks: DataFrame) -> DataFrame:
     """points (page, px, py, ...) with the nearest of marks (page, mark, x, y) in reach and its distance; null where there is none."""
-    cell = lambda c: F.floor(c / MARK_REACH)
-    around = marks.select("page", "mark", "x", "y", _around(cell(F.col("x")), cell(F.col("y")), names=("gx", "gy")).alias("g")).select("page", "mark", "x", "y", "g.*")
+    cell = lambda c: F.floor(c / (CELL * MARK_REACH))
+    around = _filed(marks.select("page", "mark", "x", "y"), MARK_REACH, CELL * MARK_REACH, gx=F.col("x"), gy=F.col("y"))
     at = points.select("page", "px", "py").distinct().withColumn("gx", cell(F.col("px"))).withColumn("gy", cell(F.col("py")))
     far = F.round(F.sqrt(F.pow(F.col("x") - F.col("px"), F.lit(2)) + F.pow(F.col("y") - F.col("py"), F.lit(2))), 6)
     near = at.join(around, ["page", "gx", "gy"]).withColumn("far", far).filter(F.col("far") <= MARK_REACH)
