@@ -5,7 +5,8 @@ their values. Inverted lists lead from a retained
 value to the sketches that hold it, rarest values first: a sketch is filed under as many of its values as
 it takes for two sketches that share what linked documents share to meet in a list. Each list's sets first meet two of them, its hubs, which links most
 copies. Then sets that are not yet linked meet: sizes, places and parity bitmaps of their least values bound what a pair
-can share, and the sets of a list's largest component, however many, meet the others but not each other. The pairs that span what a list would
+can share; a set that no other of its list can be linked with leaves the list before any round, so that a large group of
+sets that are alike, but not enough, gives no pairs. The sets of a list's largest component, however many, meet the others but not each other. The pairs that span what a list would
 connect, and some to spare, are weighed by the sketch of their union: of its KEPT least values, the part
 that both hold estimates the similarity. Pairs that may be linked by it are verified on whole sets. Where a pair
 fails and others were withheld, the next round gives more of them, until none is withheld.
@@ -27,15 +28,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
-from math import comb
+from math import comb, lgamma
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .jaccard_join import CHUNK, SEGMENTS, SKETCH_BITS, SURVEYED, WholeSets, _partners, _together, classes_of, linked_labels, linked_pairs, ngram_sets, set_id, sketch_of, with_components
+from .jaccard_join import BROADCAST_IDS, CHUNK, SEGMENTS, SKETCH_BITS, SURVEYED, WholeSets, _paired, _partners, _together, _whole_buckets, classes_of, linked_labels, linked_pairs, ngram_sets, set_id, sketch_of, with_components
 from .shared import joined, partitions, written
 from .textbytes import mix, slices
 
@@ -43,8 +45,10 @@ from .textbytes import mix, slices
 KEPT = 64
 #: Greatest chance that the sketches of a linked pair share too few values.
 MISSED = 1e-9
-#: Least values of a set whose parities a bitmap holds, and its bits: more values than are filed, so that it tells copies from what is merely alike.
-BITMAP_VALUES, BITMAP_BITS = 256, 1024
+#: Least values of a set whose parities a bitmap holds, and its bits: most sets whole, so that it tells copies from what is merely alike.
+BITMAP_VALUES, BITMAP_BITS = 2048, 2048
+#: Steps of a share, rounded down, for which a bound is kept.
+STEPS = 1000
 
 
 @dataclass(frozen=True)
@@ -66,16 +70,20 @@ class Sketches(WholeSets):
                 return max(1, x)
         return held
 
-    def shared(self, a: np.ndarray, b: np.ndarray, held: int, least: int) -> np.ndarray:
-        """What the held least values of two linked sets have in common at least."""
+    def shared(self, a: np.ndarray, b: np.ndarray, held: int) -> np.ndarray:
+        """What the held least values of two linked sets have in common at least.
+
+        Up to the lower of both last values all are held, so what is common are the members of both among the held least of one set.
+        """
         whole, left_out = super().needed(a, b), np.maximum(a - held, 0) + np.maximum(b - held, 0)
-        return np.where(left_out > 0, np.maximum(whole - left_out, least), whole)
+        share = np.clip(STEPS * whole // np.maximum(np.maximum(a, b), 1), 0, STEPS)
+        return np.where(left_out > 0, np.maximum(whole - left_out, _fewest(held)[share]), whole)
 
     def needed(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        return self.shared(a, b, self.held, _least(self, self.held))
+        return self.shared(a, b, self.held)
 
     def may_link(self, a: np.ndarray, b: np.ndarray, far: np.ndarray) -> np.ndarray:
-        return np.minimum(a, BITMAP_VALUES) + np.minimum(b, BITMAP_VALUES) - far >= 2 * self.shared(a, b, BITMAP_VALUES, _least(self, BITMAP_VALUES))
+        return np.minimum(a, BITMAP_VALUES) + np.minimum(b, BITMAP_VALUES) - far >= 2 * self.shared(a, b, BITMAP_VALUES)
 
     def prefix(self, size: int) -> int:
         """Values that a set of this size is filed under: with fewer left than it must share, no first common value lies beyond them."""
@@ -85,8 +93,16 @@ class Sketches(WholeSets):
 
 
 @cache
-def _least(rule: Sketches, held: int) -> int:
-    return rule.least(held)
+def _fewest(held: int) -> np.ndarray:
+    """By share of a set's members that another has too, in steps: the most of its held least values that are in both but for a chance of MISSED, for either set half."""
+    x = np.arange(held + 1)
+    ways = np.array([lgamma(held + 1) - lgamma(k + 1) - lgamma(held - k + 1) for k in x])
+    out = np.zeros(STEPS + 1, dtype=np.int64)
+    for step in range(1, STEPS):
+        p = step / STEPS
+        out[step] = np.searchsorted(np.cumsum(np.exp(ways + x * np.log(p) + (held - x) * np.log1p(-p))), MISSED / 2, "right")
+    out[STEPS] = held
+    return out
 
 
 def sketch(grams: np.ndarray, held: int = KEPT) -> np.ndarray:
@@ -151,8 +167,9 @@ def _file(counted, rule: Sketches):
 def _lists(filed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(token, cls, size, pos) of the inverted lists that hold two sets or more, and (token, n, low, high) of them: their length and two hubs."""
     of = F.struct("cls", "size", "pos")
-    heads = written(filed.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(of).alias("low"), F.max(of).alias("high")).filter("low.cls <> high.cls"), "heads")
-    return written(filed.join(heads.select("token"), "token"), "lists"), heads
+    shared = written(filed.groupBy("token").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("token"), "shared")
+    lists = written(filed.join(shared, "token"), "lists")
+    return lists, written(lists.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min(of).alias("low"), F.max(of).alias("high")).filter("low.cls <> high.cls"), "heads")
 
 
 def _to_hubs(lists: DataFrame, heads: DataFrame, rule: Sketches, often: int) -> DataFrame:
@@ -182,27 +199,64 @@ def _apart(rows: DataFrame, often: int) -> DataFrame:
     return dealt.drop("n", "top", "tops", "others", "is_top", "own", "other")
 
 
+def _linkable(rule: Sketches):
+    """Of each bucket's sets those whose bitmaps allow a link with another of a different label."""
+
+    def linkable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole_buckets(batches):
+            size, label, chosen = rows["size"].to_numpy(np.int64), rows["label"].to_numpy(np.int64), np.zeros(len(rows), dtype=bool)
+            bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint64).reshape(len(rows), -1)
+            for a, b in _paired(rows, rule):
+                open_ = (label[a] != label[b]) & ~(chosen[a] & chosen[b])
+                a, b = a[open_], b[open_]
+                ok = rule.may_link(size[a], size[b], np.bitwise_count(bits[a] ^ bits[b]).sum(axis=1, dtype=np.int64))
+                chosen[a[ok]] = chosen[b[ok]] = True
+            yield rows.loc[chosen, ["token", "cls", "size", "pos", "bits", "label"]]
+
+    return linkable
+
+
 def _buckets(lists: DataFrame, sketches: DataFrame, labels: DataFrame, rule: Sketches, often: int) -> DataFrame:
-    """(token, i, j, side, cls, size, pos, bits): the sets of different labels that meet in each inverted list; sets that no other can be linked with there are left out first."""
+    """(token, i, j, side, cls, size, pos, bits): the sets of different labels that meet in each inverted list; sets that no other can be linked with there, by size and place and then by bitmap, are left out first."""
     known = labels.select(F.col("node").alias("cls"), "label")
     label = lambda rows: rows.join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     apart = written(label(lists), "lists-labels")
     met = _together(_apart(apart, often).withColumnRenamed("cls", "grp")).mapInPandas(_partners(rule), "token long, grp long, pos long").distinct()
     bits = sketches.select("cls", "size", "bits")
     kept = written(label(met.select("token", F.col("grp").alias("cls"), "pos").join(bits, "cls").select("token", "cls", "size", "pos", "bits")), "met")
-    return _apart(kept, often).drop("label")
+    close = _together(_apart(kept, often)).mapInPandas(_linkable(rule), "token long, cls long, size long, pos long, bits binary, label long")
+    return _apart(written(close.dropDuplicates(["token", "cls"]), "close"), often).drop("label")
+
+
+def _beside(pairs: DataFrame, sketches: DataFrame, columns: list[str], often: int) -> DataFrame:
+    """pairs (a, b), written, with these columns of both sets' sketches, as a_... and b_...; sketches of other sets are not dealt out."""
+    of = lambda side: [F.col(c).alias(f"{side}_{c}") for c in columns]
+    counts = pairs.select("b", F.lit(1).alias("n")).union(pairs.select("a", F.lit(0))).groupBy(F.col("b").alias("met")).agg(F.sum("n").alias("n"))
+    counts = written(counts, "met-counts")
+    few = counts.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    met = written(sketches.join(F.broadcast(counts) if few else counts, F.col("cls") == F.col("met")).select("cls", "n", *columns), "met-sketches")
+    second = met.filter("n > 0").select(F.col("cls").alias("b"), "n", *of("b"))
+    return joined(pairs, second, ["b"], F.col("n") > often).join(met.select(F.col("cls").alias("a"), *of("a")), "a")
+
+
+def _near(rule: Sketches):
+    """Keeps the pairs whose bitmaps are as alike as those of linked sets."""
+
+    def near(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            x, y = (np.frombuffer(b"".join(rows[c]), dtype=np.uint64).reshape(len(rows), -1) for c in ("a_bits", "b_bits"))
+            far = np.bitwise_count(x ^ y).sum(axis=1, dtype=np.int64)
+            yield rows.loc[rule.may_link(rows["a_size"].to_numpy(np.int64), rows["b_size"].to_numpy(np.int64), far), ["a", "b"]]
+
+    return near
 
 
 def _likely(sketches: DataFrame, rule: Sketches, often: int):
     """Keeps the pairs that may be linked by the estimate from the sketch of their union."""
 
     def likely(pairs: DataFrame) -> DataFrame:
-        pairs = written(pairs, "pairs")
-        left = sketches.select(F.col("cls").alias("a"), F.col("sketch").alias("x"))
-        counts = pairs.groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-        right = written(sketches.join(counts, sketches["cls"] == counts["b"]).select("b", "n", F.col("sketch").alias("y")), "second")
-        union = F.slice(F.array_sort(F.array_union("x", "y")), 1, rule.held)
-        met = joined(pairs, right, ["b"], F.col("n") > often).join(left, "a").withColumn("u", union).withColumn("both", F.size(F.array_intersect(F.array_intersect("x", "y"), "u")))
+        union = F.slice(F.array_sort(F.array_union("a_sketch", "b_sketch")), 1, rule.held)
+        met = _beside(written(pairs, "pairs"), sketches, ["sketch"], often).withColumn("u", union).withColumn("both", F.size(F.array_intersect(F.array_intersect("a_sketch", "b_sketch"), "u")))
         return met.filter(F.when(F.size("u") == rule.held, F.col("both") >= rule.least()).otherwise(100 * F.col("both") >= rule.percent * F.size("u"))).select("a", "b")
 
     return likely
@@ -226,7 +280,8 @@ def minhash_components(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     # Lists and hubs of more rows than this go to all tasks where they are joined: a few for each partition.
     often = max(CHUNK, lists.count() // (4 * partitions(spark)))
     likely = _likely(sketches, rule, often)
-    hubs = written(likely(_to_hubs(lists, heads, rule, often)), "hub-pairs")
+    to_hubs = _beside(written(_to_hubs(lists, heads, rule, often), "to-hubs"), sketches, ["size", "bits"], often)
+    hubs = written(likely(to_hubs.mapInPandas(_near(rule), "a long, b long")), "hub-pairs")
     labels = written(components(linked_pairs(texts, classes, hubs, n, percent)), "hub-labels")
     buckets = written(_buckets(lists, sketches, labels, rule, often), "buckets")
     out = with_components(rows, classes, linked_labels(texts, classes, buckets, n, rule, likely, labels))

@@ -1,7 +1,9 @@
 import random
 
+import numpy as np
 import pytest
 
+from beamline.llm import minhash_dedup
 from beamline.llm.minhash_dedup import Sketches, minhash_components, op13_minhash_dedup
 
 from .conftest import ROWS
@@ -57,6 +59,29 @@ def test_many_rows_without_an_id(spark):
     assert len(got) == 3000 and {c for _, _, c in got} == {-1}
 
 
+def test_groups_that_are_alike_but_not_linked_give_few_pairs(spark, monkeypatch):
+    """Pairs at a similarity of some 65 % are told by their bitmaps; none of their square is verified."""
+    verified = []
+    whole = minhash_dedup.linked_labels.__globals__["linked_pairs"]
+    counting = lambda texts, classes, pairs, *more: verified.append(pairs.count()) or whole(texts, classes, pairs, *more)
+    monkeypatch.setattr(minhash_dedup, "linked_pairs", counting)
+    monkeypatch.setitem(minhash_dedup.linked_labels.__globals__, "linked_pairs", counting)
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(400)]
+    texts = [" ".join(f"r{rng.randrange(10**9)}" if rng.random() < 0.04 else w for w in base) for _ in range(120)]
+    rows = list(enumerate([*texts, texts[7] + " and more", texts[40] + " or less"]))
+    assert found(spark.createDataFrame(rows, SCHEMA), 3, 85) == brute(rows, 3, 85)
+    assert sum(verified) <= 2 * len(rows)
+
+
+def test_bounds_of_equal_sizes_are_sharper():
+    """Linked sets of one size have 91.9 % of each in common, so of their least values too."""
+    rule, size = Sketches(85), np.array([5000])
+    assert rule.needed(size, size) == 42 and rule.needed(size, np.array([4250])) == 34
+    linked, apart = np.array([2 * 5000 * 3 // 37]), np.array([1000])
+    assert rule.may_link(size // 4, size // 4, linked // 4) and not rule.may_link(size // 4, size // 4, apart // 3)
+
+
 def test_bounds():
     rule = Sketches(85)
     assert rule.least() == 34
