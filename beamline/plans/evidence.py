@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..operators import folds
+from ..operators.neighbours import nearest_of_label
 from ..registry import query
 from ..sources.tables import PARTS_SQL, PREDICTIONS_SQL, boxes, labelled_parts, predictions, table
 from .layout import _BOXES, _PAIRS, _boxes, _pairs
@@ -187,19 +188,8 @@ s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_dot_product(q.e, c.e) /
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY cosine DESC, vec_id) AS INTEGER) AS place FROM s) SELECT * FROM r WHERE place <= 5""",
 )
 def embedding_knn(spark, sf_dir):
-    """The five nearest vectors by cosine among those of the query's label; queries are the ids divisible by 20.
-
-    Queries travel in blocks to the vectors of their label, which are dealt to salted parts of it.
-    """
-    norm = F.sqrt(F.aggregate("e", F.lit(0.0), lambda s, x: s + x * x))
-    unit = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("e")).withColumn("norm", norm).filter("norm > 0")
-    salts = 8
-    asked = unit.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label", F.col("e").alias("q"), F.col("norm").alias("q_norm")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    dealt = unit.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(salts)).cast("int"))
-    dot = F.aggregate(F.zip_with("q", "e", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + F.coalesce(x, F.lit(0.0)))
-    scored = dealt.join(asked, ["label", "salt"]).filter("vec_id <> query_id").select("query_id", "vec_id", F.round(dot / (F.col("q_norm") * F.col("norm")), 4).alias("cosine"))
-    place = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("cosine"), "vec_id"))
-    return scored.withColumn("place", place).filter("place <= 5").select("query_id", "vec_id", "cosine", "place")
+    """The five nearest vectors by cosine among those of the query's label; queries are the ids divisible by 20."""
+    return nearest_of_label(table(spark, sf_dir, "embeddings"), 20, 5)
 
 
 @query(
