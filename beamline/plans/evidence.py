@@ -9,7 +9,7 @@ from ..operators import folds
 from ..operators.neighbours import nearest_of_label
 from ..registry import query
 from ..sources.tables import PARTS_SQL, PREDICTIONS_SQL, boxes, labelled_parts, predictions, table
-from .layout import _BOXES, _PAIRS, _boxes, _pairs
+from .layout import _BOXES, _PAIRS, _boxes, _each, _paged, _pairs
 from .learning import _JUDGED, _judged
 
 
@@ -198,12 +198,20 @@ def embedding_knn(spark, sf_dir):
 SELECT a.page, a.box, c.box AS box_b FROM o a JOIN o c ON a.page = c.page AND c.place BETWEEN a.place + 1 AND a.place + 11 WHERE a.place <= 60 AND (a.cx - c.cx) * (a.cx - c.cx) + (a.cy - c.cy) * (a.cy - c.cy) <= 4 * 160 * 160""",
 )
 def windowed_pairs(spark, sf_dir):
-    """The first 60 boxes of a page in reading order, each with the next 11 within 160."""
-    order = _boxes(spark, sf_dir).withColumn("place", F.row_number().over(W.partitionBy("page").orderBy("y0", "x0", "box"))).filter("place <= 71")
-    first = order.filter("place <= 60").withColumn("other", F.explode(F.sequence(F.col("place") + 1, F.col("place") + 11)))
-    second = order.select("page", F.col("place").alias("other"), F.col("box").alias("box_b"), F.col("cx").alias("cx_b"), F.col("cy").alias("cy_b"))
-    dx, dy = F.col("cx") - F.col("cx_b"), F.col("cy") - F.col("cy_b")
-    return first.join(second, ["page", "other"]).filter(dx * dx + dy * dy <= 4 * 160 * 160).select("page", "box", "box_b")
+    """The first 60 boxes of a page in reading order, each with the next 11 within 160.
+
+    A page's boxes are read once in order, with those that follow at hand, so that no pair is made by a join.
+    """
+    read = W.partitionBy("page").orderBy("y0", "x0", "box")
+
+    def pairs(rows):
+        first = rows.withColumn("place", F.row_number().over(read)).filter("place <= 71")
+        met = first.withColumn("next", F.collect_list(F.struct("box", "cx", "cy")).over(read.rowsBetween(1, 11))).filter("place <= 60")
+        met = met.select("page", "box", "cx", "cy", F.explode("next").alias("n"))
+        dx, dy = F.col("cx") - F.col("n.cx"), F.col("cy") - F.col("n.cy")
+        return met.filter(dx * dx + dy * dy <= 4 * 160 * 160).select("page", "box", F.col("n.box").alias("box_b"))
+
+    return _each(_paged(spark, sf_dir), pairs)
 
 
 @query(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -15,20 +18,46 @@ _BOXES = f"{BOXES_SQL}, {_ONE}, b AS (SELECT l_orderkey || '-' || l_partkey AS b
 _PAIRS = f"""{_BOXES}, pairs AS (SELECT a.*, b.box AS box_b, b.x0 AS x0_b, b.y0 AS y0_b, b.x1 AS x1_b, b.y1 AS y1_b, b.cx AS cx_b, b.cy AS cy_b, (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) AS d2
   FROM b a JOIN b ON a.page = b.page AND a.box <> b.box WHERE (a.cx - b.cx) * (a.cx - b.cx) + (a.cy - b.cy) * (a.cy - b.cy) <= 4 * 30 * 30)"""
 RADIUS = 30
+#: Rows of a page, or of pages that share one of so many buckets, up to which one task takes it whole.
+PAGE_ROWS, PAGE_BUCKETS = 500_000, 1 << 16
 
 
-def _unique(spark, sf_dir):
-    """Boxes once an id and page: the least by its sides, first in the one order that each task makes of its ids."""
-    n = table(spark, sf_dir, "lineitem").count()
-    first = F.row_number().over(W.partitionBy("l_orderkey", "l_partkey", "page").orderBy("x0", "y0", "x1", "y1"))
-    dealt = g.dealt(boxes(spark, sf_dir), n, "l_orderkey", "l_partkey", "page")
+def _once(dealt):
+    """Of rows that are dealt by id and page, or by page, one an id and page: the least by its sides."""
+    first = F.row_number().over(W.partitionBy("page", "l_orderkey", "l_partkey").orderBy("x0", "y0", "x1", "y1"))
     return dealt.withColumn("nth", first).filter("nth = 1").drop("nth")
 
 
+def _unique(spark, sf_dir, kept=None):
+    """Boxes once an id and page, first in the one order that each task makes of its ids; kept tells the boxes that are wanted."""
+    n = table(spark, sf_dir, "lineitem").count()
+    rows = boxes(spark, sf_dir)
+    return _once(g.dealt(rows if kept is None else rows.filter(kept), n, "l_orderkey", "l_partkey", "page"))
+
+
 def _boxes(spark, sf_dir):
     return g.with_centres(_unique(spark, sf_dir))
 
 
+def _paged(spark, sf_dir):
+    """Boxes in one frame or two: those of pages that a task can hold, dealt by page in one exchange that also finds an id's boxes, and those of crowded pages, if any, dealt by id.
+
+    A bucket of pages is counted, not a page, so that counts are few wherever a page's rows lie.
+    """
+    rows = boxes(spark, sf_dir)
+    bucket = F.pmod(F.xxhash64("page"), F.lit(PAGE_BUCKETS))
+    crowded = [r.bucket for r in rows.groupBy(bucket.alias("bucket")).count().filter(F.col("count") > PAGE_ROWS).collect()]  # one for so many rows at most
+    whole = lambda kept: _once(g.dealt(kept, table(spark, sf_dir, "lineitem").count(), "page"))
+    if not crowded:
+        return [g.with_centres(whole(rows))]
+    return [g.with_centres(whole(rows.filter(~bucket.isin(crowded)))), g.with_centres(_unique(spark, sf_dir, bucket.isin(crowded)))]
+
+
+def _each(frames, f):
+    """f of each frame, as one: no page is in two of them."""
+    return reduce(DataFrame.unionByName, [f(x) for x in frames])
+
+
 def _pairs(spark, sf_dir, radius=RADIUS):
     """Near pairs; boxes meet by their keys and are named once they have met."""
     keys = F.struct("l_orderkey", "l_partkey")
