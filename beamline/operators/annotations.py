@@ -1,8 +1,8 @@
 """Pieces of text joined along a baseline, the edge of a block of lines, and records matched by place.
 
-Nothing is ordered within one page alone, so that a page may hold any share of the rows: pieces are numbered by
-range over the whole table, marks are carried from block to block of numbers, and positions are summed by cell
-before they are walked.
+A page may hold any share of the rows: pieces of such pages are numbered by range over the whole table, and marks are
+carried from block to block of numbers; pieces of pages that a task can hold are read page by page. Positions are
+summed by cell before they are walked.
 """
 
 from __future__ import annotations
@@ -30,33 +30,63 @@ def last_marked(rows: DataFrame, place: str, mark: Column, name: str, own: bool)
     return at.withColumn(name, running).join(before, "_block").withColumn(name, F.coalesce(name, "_before")).drop("_block", "_mark", "_before")
 
 
-def baseline_groups(pieces: DataFrame) -> DataFrame:
+def _read_on(met: DataFrame) -> DataFrame:
+    """Pieces with what was before them, was (page, x1, font, rotation, mid), as goes_on, tag and spaced."""
+    gap = F.col("x0") - F.col("was.x1")
+    level = (F.abs(F.col("rotation") - F.col("was.rotation")) <= TURN) & (F.abs(_mid() - F.col("was.mid")) <= BASELINE * F.greatest("font", "was.font"))
+    goes_on = F.coalesce((F.col("page") == F.col("was.page")) & level & (gap >= 0) & (gap <= LINE_GAP * F.col("was.font")), F.lit(False))
+    return met.withColumn("goes_on", goes_on).withColumn("tag", F.regexp_extract(F.trim("text"), TAG, 1)).withColumn("spaced", F.col("goes_on") & (gap > SPACE_GAP * F.col("was.font"))).drop("was")
+
+
+def _mid() -> Column:
+    return (F.col("y0") + F.col("y1")) / 2
+
+
+def _is_tag() -> Column:
+    return F.col("tag") != ""
+
+
+def _numbered_over_tables(known: DataFrame, order: list[Column]) -> DataFrame:
+    """Pieces in the table's order with begins, modifier and head, the place of the annotation's first: marks are carried from block to block."""
+    placed = numbered(known, [F.col("page"), *order], "place", "long")
+    before = placed.select((F.col("place") + 1).alias("place"), F.struct("page", "x1", "font", "rotation", _mid().alias("mid")).alias("was"))
+    met = _read_on(placed.join(before, "place", "left"))
+    turns = last_marked(met, "place", ~(_is_tag() & F.col("goes_on")), "sure", own=False)
+    begun = written(_begun(turns), "pieces")
+    return last_marked(begun, "place", F.col("begins"), "head", own=True)
+
+
+def _numbered_on_pages(known: DataFrame, order: list[Column]) -> DataFrame:
+    """The same in each page's order, for pages that a task can hold: all windows are those of the page."""
+    w = W.partitionBy("page").orderBy(*order)
+    placed = known.withColumn("place", F.row_number().over(w).cast("long")).withColumn("was", F.lag(F.struct("page", "x1", "font", "rotation", _mid().alias("mid"))).over(w))
+    marked = lambda c, end: F.max(F.when(c, F.col("place"))).over(w.rowsBetween(W.unboundedPreceding, end))
+    turns = _read_on(placed).withColumn("sure", marked(~(_is_tag() & F.col("goes_on")), -1))
+    return _begun(turns).withColumn("head", marked(F.col("begins"), 0))
+
+
+def _begun(turns: DataFrame) -> DataFrame:
+    # Behind the last piece that surely is no modifier, tags that go on are modifiers and beginnings in turn.
+    begins = ~F.col("goes_on") | ((F.col("place") - F.col("sure")) % 2 == 0)
+    return turns.withColumn("begins", begins).withColumn("modifier", _is_tag() & ~F.col("begins"))
+
+
+def baseline_groups(pieces: DataFrame, whole_pages: bool = False) -> DataFrame:
     """One row per annotation of pieces (page, piece, text, x0, y0, x1, y1, font, rotation), read by line and then from the left.
 
     A piece goes on from the one before it where both share page, turn and baseline and the gap is neither negative nor wide. A tag in brackets that goes
     on from an annotation becomes its modifier and ends it; a second one begins an annotation of its own, to which others may be joined.
     A null or zero font counts as FONT, null text as empty, null rotation as 0; pieces without page or sides take no part. Labels that go on in the line below are not joined.
+    With whole_pages a task takes a page whole, which needs one exchange by page, or none where pieces are dealt by page; else a page may hold any share of the rows.
     """
     known = pieces.dropna(subset=["page", "x0", "y0", "x1", "y1"]).select(
         "page", "piece", F.coalesce("text", F.lit("")).alias("text"), *[F.col(c).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")],
         F.coalesce(F.nullif(F.col("font").cast("double"), F.lit(0.0)), F.lit(FONT)).alias("font"), F.coalesce(F.col("rotation").cast("double"), F.lit(0.0)).alias("rotation"),
     )
-    placed = numbered(known, [F.col("page"), F.round("y0", 1), F.col("x0"), F.col("piece")], "place", "long")
-    mid = (F.col("y0") + F.col("y1")) / 2
-    before = placed.select((F.col("place") + 1).alias("place"), F.struct("page", "x1", "font", "rotation", mid.alias("mid")).alias("was"))
-    gap = F.col("x0") - F.col("was.x1")
-    level = (F.abs(F.col("rotation") - F.col("was.rotation")) <= TURN) & (F.abs(mid - F.col("was.mid")) <= BASELINE * F.greatest("font", "was.font"))
-    goes_on = F.coalesce((F.col("page") == F.col("was.page")) & level & (gap >= 0) & (gap <= LINE_GAP * F.col("was.font")), F.lit(False))
-    met = placed.join(before, "place", "left").withColumn("goes_on", goes_on).withColumn("tag", F.regexp_extract(F.trim("text"), TAG, 1)).withColumn("spaced", F.col("goes_on") & (gap > SPACE_GAP * F.col("was.font"))).drop("was")
-    # Behind the last piece that surely is no modifier, tags that go on are modifiers and beginnings in turn.
-    is_tag = F.col("tag") != ""
-    turns = last_marked(met, "place", ~(is_tag & F.col("goes_on")), "sure", own=False)
-    begins = ~F.col("goes_on") | ((F.col("place") - F.col("sure")) % 2 == 0)
-    begun = written(turns.withColumn("begins", begins).withColumn("modifier", is_tag & ~F.col("begins")), "pieces")
-    headed = last_marked(begun, "place", F.col("begins"), "head", own=True)
+    headed = (_numbered_on_pages if whole_pages else _numbered_over_tables)(known, [F.round("y0", 1), F.col("x0"), F.col("piece")])
     printed = F.concat(F.when(F.col("spaced") & ~F.col("begins"), " ").otherwise(""), F.col("text"))
-    grouped = headed.groupBy("head").agg(
-        F.first("page").alias("page"), F.min_by("piece", "place").alias("piece"), F.count(F.lit(1)).alias("n"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))],
+    grouped = headed.groupBy("page", "head").agg(
+        F.min_by("piece", "place").alias("piece"), F.count(F.lit(1)).alias("n"), *[f(c).alias(c) for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))],
         F.sort_array(F.collect_list(F.when(~F.col("modifier"), F.struct("place", "text", printed.alias("printed"))))).alias("chain"),
         F.max(F.when(F.col("modifier"), F.col("tag"))).alias("modifier"), F.max(F.when(F.col("modifier"), F.col("text"))).alias("raw"),
     )

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import annotations as a
 from ..registry import query
-from .layout import _BOXES, _boxes
+from .layout import _BOXES, _boxes, _each, _paged
 
 #: Boxes as pieces of labels and tags, some of unknown font or turned, by part and order.
 _PIECES = f"""{_BOXES}, k AS (SELECT *, CAST(split_part(box, '-', 1) AS BIGINT) AS ord, CAST(split_part(box, '-', 2) AS BIGINT) AS part FROM b),
@@ -14,9 +14,13 @@ pieces AS (SELECT page, box, x0, y0, x1, y1, CASE part % 5 WHEN 0 THEN 'W' WHEN
   CASE ord % 4 WHEN 0 THEN 10 WHEN 1 THEN 40 ELSE 120 END AS font, if(ord % 20 = 0, 90, 0) AS rotation FROM k)"""
 
 
-def _numbers(spark, sf_dir):
+def _named(boxes):
     part = lambda i: F.split_part("box", F.lit("-"), F.lit(i)).cast("long")
-    return _boxes(spark, sf_dir).withColumn("ord", part(1)).withColumn("part", part(2))
+    return boxes.withColumn("ord", part(1)).withColumn("part", part(2))
+
+
+def _numbers(spark, sf_dir):
+    return _named(_boxes(spark, sf_dir))
 
 
 @query(
@@ -35,13 +39,14 @@ SELECT any_value(page) AS page, min_by(box, nth) AS piece, count(*) AS n, trim(s
   min(x0)::DOUBLE AS x0, min(y0)::DOUBLE AS y0, max(x1)::DOUBLE AS x1, max(y1)::DOUBLE AS y1 FROM g GROUP BY head""",
 )
 def baseline_groups(spark, sf_dir):
-    """Annotations from pieces that go on along a baseline, with the tag behind them as modifier."""
-    n = _numbers(spark, sf_dir)
+    """Annotations from pieces that go on along a baseline, with the tag behind them as modifier; pages are read whole but for crowded ones."""
     tag = lambda m: F.concat(F.lit("["), (F.col("part") % m).cast("string"), F.lit("]"))
     kind = F.col("part") % 5
     text = F.when(kind == 0, "W").when(kind == 1, (F.col("part") % 40).cast("string")).when(kind == 2, "X").when(kind == 3, tag(30)).otherwise(F.concat(tag(7), F.lit(" ")))
     font = F.when(F.col("ord") % 4 == 1, 40).when(F.col("ord") % 4 > 1, 120)
-    return a.baseline_groups(n.select("page", F.col("box").alias("piece"), text.alias("text"), "x0", "y0", "x1", "y1", font.alias("font"), F.when(F.col("ord") % 20 == 0, 90).alias("rotation")))
+    pieces = lambda n: n.select("page", F.col("box").alias("piece"), text.alias("text"), "x0", "y0", "x1", "y1", font.alias("font"), F.when(F.col("ord") % 20 == 0, 90).alias("rotation"))
+    whole, *crowded = [pieces(_named(x)) for x in _paged(spark, sf_dir)]
+    return _each([a.baseline_groups(whole, whole_pages=True), *map(a.baseline_groups, crowded)], lambda x: x)
 
 
 #: Share of the width beyond which boilerplate lies, widest gap within a block, and play at its edge.

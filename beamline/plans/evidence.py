@@ -205,7 +205,7 @@ def windowed_pairs(spark, sf_dir):
     read = W.partitionBy("page").orderBy("y0", "x0", "box")
 
     def pairs(rows):
-        first = rows.withColumn("place", F.row_number().over(read)).filter("place <= 71")
+        first = rows.filter("page is not null").withColumn("place", F.row_number().over(read)).filter("place <= 71")
         met = first.withColumn("next", F.collect_list(F.struct("box", "cx", "cy")).over(read.rowsBetween(1, 11))).filter("place <= 60")
         met = met.select("page", "box", "cx", "cy", F.explode("next").alias("n"))
         dx, dy = F.col("cx") - F.col("n.cx"), F.col("cy") - F.col("n.cy")

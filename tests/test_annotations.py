@@ -48,6 +48,17 @@ def test_baseline_groups(spark, monkeypatch, seed, block):
     assert sum(bool(m) for *_, m in got) > 10
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_baseline_groups_of_whole_pages(spark, seed):
+    """Pages read one by one, with and without lines that go on in the next, give what the table's order gives."""
+    rng = random.Random(seed)
+    rows = [(p, f"{p}-{i:03}", rng.choice(["W", "[4]", "[ 5 ]", None, "[7"]), x, y, x + 6, y + 8.0, rng.choice([None, 10.0, 40.0]), rng.choice([None, 0.0, 0.0, 90.0]), "") for p in (1, 2, 3) for i, (x, y) in enumerate(sorted(((rng.randrange(30) * 7.0, rng.randrange(6) * 9.0) for _ in range(90)), key=lambda s: (s[1], s[0])))]
+    rows += [(None, "lost", "W", 0.0, 0.0, 1.0, 1.0, None, None, "")]
+    frame = spark.createDataFrame(rows, PIECE)
+    got, want = (sorted(map(repr, a.baseline_groups(frame, whole).collect())) for whole in (True, False))
+    assert got == want and any("same_baseline_merge,bracket" in r for r in got)
+
+
 def test_pieces_print_their_spaces(spark):
     rows = [(1, "a", "W", 0.0, 0.0, 8.0, 10.0, 10.0, 0.0, ""), (1, "b", "8", 9.0, 0.0, 15.0, 10.0, 10.0, 0.0, ""), (1, "c", "X10", 20.0, 0.0, 35.0, 10.0, 10.0, 0.0, ""), (1, "d", "[24]", 40.0, 0.0, 50.0, 10.0, 10.0, 0.0, ""), (None, "e", "W", 0.0, 0.0, 1.0, 1.0, None, None, "")]
     got = a.baseline_groups(spark.createDataFrame(rows, PIECE)).collect()

@@ -3,13 +3,13 @@
 import pytest
 
 from beamline import registry
-from beamline.plans import layout
+from beamline.plans import evidence, layout
 
 from . import test_oracles
 from .test_oracles import duck  # noqa: F401
 
 registry.load()
-QUERIES = ["windowed_pairs"]
+QUERIES = ["windowed_pairs", "baseline_groups"]
 
 
 def exchanges(frame):
@@ -17,10 +17,17 @@ def exchanges(frame):
     return [x for x in plan.splitlines() if "Exchange hashpartitioning" in x or "Exchange rangepartitioning" in x]
 
 
-def test_pairs_of_a_page_are_made_where_its_boxes_are(spark, sf_dir):
-    pairs = registry.QUERIES["windowed_pairs"](spark, sf_dir)
-    pairs.collect()
-    assert len(exchanges(pairs)) == 1
+@pytest.mark.parametrize("name", QUERIES)
+def test_a_page_is_read_where_its_boxes_are(spark, sf_dir, name):
+    rows = registry.QUERIES[name](spark, sf_dir)
+    rows.collect()
+    assert len(exchanges(rows)) == 1
+
+
+def test_boxes_without_a_page_meet_none(spark, monkeypatch):
+    rows = [(f"{i}", page, 0, 0, 2, 2, 2, 2) for page in (1, None) for i in range(3)]
+    monkeypatch.setattr(evidence, "_paged", lambda *_: [spark.createDataFrame(rows, "box string, page long, x0 long, y0 long, x1 long, y1 long, cx long, cy long")])
+    assert sorted(map(tuple, evidence.windowed_pairs(spark, "").collect())) == [(1, "0", "1"), (1, "0", "2"), (1, "1", "2")]
 
 
 @pytest.mark.parametrize("most", [0, 90])
