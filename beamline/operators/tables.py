@@ -56,21 +56,26 @@ def _lines(regions: DataFrame, lines: DataFrame, share: float) -> DataFrame:
 def cells(regions: DataFrame, lines: DataFrame, words: DataFrame, along: float = ALONG) -> DataFrame:
     """(page, region, row, col, text, words): what is printed between two lines each way, in reading order.
 
-    regions (page, region, x0, y0, x1, y1), lines (page, orientation, at, lo, hi), words (page, word, text, px, py).
+    regions (page, region, x0, y0, x1, y1), lines (page, orientation, at, lo, hi), words (page, word, text, px, py). All steps are by
+    page, so what is dealt by page already is not dealt again.
     """
-    bounds = written(_lines(regions, lines, along), "rulings")
     inside = F.col("px").between(F.col("x0"), F.col("x1")) & F.col("py").between(F.col("y0"), F.col("y1"))
-    placed = words.filter("text is not null").join(regions, "page").filter(inside).select("page", "region", "word", "text", "px", "py").dropDuplicates(["page", "region", "text", "px", "py"])
-    placed = written(placed, "placed-words")
-    both = F.explode(F.array(*[F.struct(F.lit(w).alias("way"), F.col(f"p{w}").alias("at")) for w in "xy"]))
-    marks = placed.select("page", "region", "word", both.alias("b")).select("page", "region", "b.way", F.col("b.at").cast("double").alias("at"), "word")
-    sides = bounds.withColumn("word", F.lit(None).cast("string")).unionByName(marks)
-    line = F.when(F.col("word").isNull(), 1)
-    nth = sides.withColumn("nth", F.count(line).over(W.partitionBy("page", "region", "way").orderBy("at").rangeBetween(W.unboundedPreceding, 0))).withColumn("all", F.count(line).over(W.partitionBy("page", "region", "way")))
+    held = words.filter("text is not null").join(regions, "page").filter(inside).select("page", "region", "word", "text", *[F.col(c).cast("double").alias(c) for c in ("px", "py")])
+    copy = F.row_number().over(W.partitionBy("page", "region", "text", "px", "py").orderBy("word"))
+    placed = held.withColumn("copy", copy).filter("copy = 1").drop("copy")
+    # Lines stand among words by the one place that they have.
+    of = lambda way: F.when(F.col("way") == way, F.col("at"))
+    none = F.lit(None).cast("string")
+    bounds = _lines(regions, lines, along).select("page", "region", of("x").alias("px"), of("y").alias("py"), "way")
+    both = placed.withColumn("way", none).unionByName(bounds, allowMissingColumns=True)
+    page = W.partitionBy("page", "region")
+    for name, way in (("row", "y"), ("col", "x")):
+        line = F.count(F.when(F.col("way") == way, 1))
+        both = both.withColumn(name, line.over(page.orderBy(f"p{way}").rangeBetween(W.unboundedPreceding, 0))).withColumn(f"last_{name}", line.over(page))
     # A word behind the last line lies outside the table.
-    at = nth.filter("word is not null and nth > 0 and nth < all").groupBy("page", "region", "word").agg(F.max(F.when(F.col("way") == "y", F.col("nth"))).alias("row"), F.max(F.when(F.col("way") == "x", F.col("nth"))).alias("col")).filter("row is not null and col is not null")
+    at = both.filter("way is null and row > 0 and row < last_row and col > 0 and col < last_col")
     read = F.sort_array(F.collect_list(F.struct("py", "px", "word", "text")))
-    out = placed.join(at, ["page", "region", "word"]).groupBy("page", "region", "row", "col").agg(read.alias("r"))
+    out = at.groupBy("page", "region", "row", "col").agg(read.alias("r"))
     return out.select("page", "region", "row", "col", F.array_join(F.transform("r", lambda x: x["text"]), " ").alias("text"), F.size("r").alias("words"))
 
 
@@ -92,6 +97,7 @@ def headings(table: DataFrame) -> DataFrame:
 
 def grid_rows(table: DataFrame) -> DataFrame:
     """(page, region, row, mark, size, status): the rows under each heading row; of several mark or size columns the first counts."""
+    table = written(table, "cells")
     heads = written(headings(table), "headings")
     first = heads.filter("role <> 'other'").groupBy("page", "region", "head", "role").agg(F.min("col").alias("col"))
     body = table.join(heads.select("page", "region", "head").distinct(), ["page", "region"]).filter("row > head")

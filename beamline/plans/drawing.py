@@ -10,7 +10,7 @@ from ..operators import layout as g
 from ..registry import query
 from ..sources.scratch import written
 from ..sources.tables import PREDICTIONS_SQL, predictions, table
-from .layout import _BOXES, _PAIRS, _boxes, _pairs
+from .layout import _BOXES, _PAIRS, _boxes, _each, _paged, _pairs
 
 
 def _n():
@@ -97,16 +97,25 @@ c2 AS (SELECT *, sum(CASE WHEN lo > reach + {AXIS_GAP} THEN 1 ELSE 0 END) OVER (
 axes AS (SELECT page, orientation, axis, min(lo) AS lo, max(hi) AS hi, CAST(sum(ink) AS BIGINT) AS ink, CAST(sum(pieces) AS BIGINT) AS pieces, count(*) AS runs FROM c2 GROUP BY page, orientation, axis, run)"""
 
 
+def _strokes(boxes):
+    """Boxes as strokes along their longer side; those of one place are alike to what joins them, so they need no name."""
+    flat = (F.col("x1") - F.col("x0")) >= (F.col("y1") - F.col("y0"))
+    pick = lambda a, b: F.when(flat, F.col(a)).otherwise(F.col(b))
+    return boxes.select("page", flat.alias("flat"), F.floor(pick("cy", "cx") / 2).alias("axis"), pick("x0", "y0").alias("lo"), pick("x1", "y1").alias("hi"))
+
+
 def _axes(spark, sf_dir):
     """Strokes along one line joined over gaps of a dash, and those chains over wider gaps.
 
-    Strokes of one place are alike to both, so they need no name; a page's two directions are dealt to as many tasks as there are strokes for.
+    Strokes are joined where boxes are dealt by page; a crowded page's two directions are dealt to as many tasks as there are strokes for.
     """
-    flat = (F.col("x1") - F.col("x0")) >= (F.col("y1") - F.col("y0"))
-    pick = lambda a, b: F.when(flat, F.col(a)).otherwise(F.col(b))
-    seg = _boxes(spark, sf_dir).select("page", flat.alias("flat"), F.floor(pick("cy", "cx") / 2).alias("axis"), pick("x0", "y0").alias("lo"), pick("x1", "y1").alias("hi"))
+    whole, *crowded = [_strokes(x) for x in _paged(spark, sf_dir)]
+    n = table(spark, sf_dir, "lineitem").count()
+    return _each([whole, *[g.dealt(x, n, "page", "flat") for x in crowded]], _chained)
+
+
+def _chained(seg):
     by = ["page", "flat"]
-    seg = g.dealt(seg, table(spark, sf_dir, "lineitem").count(), *by)
     seg = g.islands(seg, by, [F.col("axis")], F.col("axis") - F.lag("axis").over(W.partitionBy(*by).orderBy("axis")) > 3).withColumnRenamed("island", "cluster")
 
     def runs(rows, by, order, gap):

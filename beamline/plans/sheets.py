@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import association as a
+from ..operators import layout as g
 from ..operators import tables as t
 from ..registry import query
-from ..sources.tables import PARTS_SQL, labelled_parts
+from ..sources.scratch import written
+from ..sources.tables import PARTS_SQL, labelled_parts, table
 from .drawing import _CHAINS, _axes
-from .layout import _BOXES, _boxes
+from .layout import _BOXES, _boxes, _each, _paged
 
 #: Boxes are labels, members along their longer side, or leaders from corner to corner, by their part.
 _KINDS = f"""{_BOXES}, k AS (SELECT *, CAST(split_part(box, '-', 2) AS BIGINT) % 3 AS kind, cx / 2.0::DOUBLE AS px, cy / 2.0::DOUBLE AS py FROM b),
@@ -74,13 +76,15 @@ cells AS (SELECT page, "row", col, string_agg(text, ' ' ORDER BY py, px, box) AS
 
 
 def _cells(spark, sf_dir):
-    rules = _axes(spark, sf_dir).filter("pieces >= 2")
+    """Rulings and words are dealt by page alike, so that regions, lines and words meet where they are."""
+    n = table(spark, sf_dir, "lineitem").count()
+    rules = g.dealt(written(_axes(spark, sf_dir).filter("pieces >= 2").select("page", "orientation", "axis", "lo", "hi"), "rules"), n, "page")
     of = lambda f, way, other, c: f(F.when(F.col("orientation") == way, F.col("axis")).otherwise(F.col(other))).alias(c)
     regions = rules.groupBy("page").agg(of(F.min, "vertical", "lo", "x0"), of(F.min, "horizontal", "lo", "y0"), of(F.max, "vertical", "hi", "x1"), of(F.max, "horizontal", "hi", "y1")).withColumn("region", F.lit(1))
     parts = labelled_parts(spark, sf_dir).select("p_partkey", "weight", "label")
-    at = _boxes(spark, sf_dir).withColumn("p_partkey", F.split_part("box", F.lit("-"), F.lit(2)).cast("long")).join(parts, "p_partkey")
+    at = _each(_paged(spark, sf_dir), lambda x: x.select("page", "box", "cx", "cy", F.split_part("box", F.lit("-"), F.lit(2)).cast("long").alias("p_partkey"))).join(parts, "p_partkey")
     words = at.select("page", F.col("box").alias("word"), F.expr(_PRINTED).alias("text"), (F.col("cx") / 2).alias("px"), (F.col("cy") / 2).alias("py"))
-    return t.cells(regions, rules.select("page", "orientation", F.col("axis").alias("at"), "lo", "hi"), words, along=0.02)
+    return t.cells(regions, rules.select("page", "orientation", F.col("axis").alias("at"), "lo", "hi"), g.dealt(words, n, "page"), along=0.02)
 
 
 @query("table_cells", f'WITH {_TABLE} SELECT page, "row", col, text, words FROM cells')

@@ -135,6 +135,28 @@ def test_cells_headings_and_rows(spark):
     assert {r.row: (r.mark, r["size"], r.status) for r in t.grid_rows(table).collect()} == {4: ("B1", "W12X26", "read"), 5: ("B2", None, "no_size"), 6: (None, "W8X10", "no_mark"), 7: (None, None, "empty")}
 
 
+def test_cells_of_several_regions_by_brute_force(spark):
+    """Words on lines, copies of words, and regions that share a page."""
+    rng = random.Random(9)
+    regions = [(p, r, 100 * r, 0, 100 * r + 90, 90) for p in (1, 2) for r in (0, 1, 2)]
+    lines = [(p, way, at, 0, 300 if way == "horizontal" else 90) for p in (1, 2) for way, most in (("horizontal", 90), ("vertical", 290)) for at in rng.sample(range(0, most, 4), 12)]
+    words = [(rng.choice((1, 2, 3)), f"w{i:03}", rng.choice("ABC"), rng.randrange(0, 300, 2) / 1.0, rng.randrange(0, 90, 4) / 1.0) for i in range(400)]
+    words += [(p, f"x{w}", text, x, y) for p, w, text, x, y in words[:50]]
+    want = {}
+    for p, r, x0, y0, x1, y1 in regions:
+        ys = sorted({at for q, way, at, lo, hi in lines if q == p and way == "horizontal" and y0 - 2 <= at <= y1 + 2})
+        xs = sorted({at for q, way, at, lo, hi in lines if q == p and way == "vertical" and x0 - 2 <= at <= x1 + 2})
+        seen = set()
+        for q, w, text, x, y in sorted(words, key=lambda v: (v[4], v[3], v[1])):
+            row, col = sum(at <= y for at in ys), sum(at <= x for at in xs)
+            if q == p and x0 <= x <= x1 and y0 <= y <= y1 and 0 < row < len(ys) and 0 < col < len(xs) and (text, x, y) not in seen:
+                seen.add((text, x, y))
+                want.setdefault((p, r, row, col), []).append(text)
+    frame = lambda rows, schema: spark.createDataFrame(rows, schema)
+    got = t.cells(frame(regions, "page long, region int, x0 long, y0 long, x1 long, y1 long"), frame(lines, "page long, orientation string, at long, lo long, hi long"), frame(words, "page long, word string, text string, px double, py double")).collect()
+    assert {(r.page, r.region, r.row, r.col): (r.text, r.words) for r in got} == {k: (" ".join(v), len(v)) for k, v in want.items()} and len(got) == len(want) > 50
+
+
 def test_tables_without_headings_or_words(spark):
     assert t.grid_rows(sheet(spark, [["a", "b", "c"], ["d", "e", "f"]])).count() == 0
     assert sheet(spark, [["", "", ""]], [(1, "edge", "Z", 300.0, 10.0)]).count() == 0
