@@ -183,15 +183,19 @@ def _to_hubs(lists: DataFrame, heads: DataFrame, rule: Sketches, often: int) ->
     return met.filter(fits).select(F.col("cls").alias("a"), F.col("hub.cls").alias("b")).distinct()
 
 
+def _most(rows: DataFrame) -> DataFrame:
+    """(token, n, top, tops, others) of the lists in rows (token, label, ...) that hold two labels or more: their most frequent label, and the chunks of its sets and of the others."""
+    labels = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
+    most = labels.groupBy("token").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("top")).filter("n > top.m")
+    return written(most.select("token", "n", F.col("top.label").alias("top"), F.ceil(F.col("top.m") / CHUNK).cast("int").alias("tops"), F.ceil((F.col("n") - F.col("top.m")) / CHUNK).cast("int").alias("others")), "most")
+
+
 def _apart(rows: DataFrame, often: int) -> DataFrame:
     """Rows (token, cls, label, ...) dealt into buckets (token, i, j, side) where sets of different labels meet; lists of one label go.
 
     The sets of a list's most frequent label lie in chunks of their own, which meet the chunks of the other sets but not each other.
     """
-    labels = rows.groupBy("token", "label").agg(F.count(F.lit(1)).alias("m"))
-    most = labels.groupBy("token").agg(F.sum("m").alias("n"), F.max(F.struct("m", "label")).alias("top")).filter("n > top.m")
-    most = written(most.select("token", "n", F.col("top.label").alias("top"), F.ceil(F.col("top.m") / CHUNK).cast("int").alias("tops"), F.ceil((F.col("n") - F.col("top.m")) / CHUNK).cast("int").alias("others")), "most")
-    met = joined(rows, most, ["token"], F.col("n") > often).withColumn("is_top", F.col("label") == F.col("top"))
+    met = joined(rows, _most(rows), ["token"], F.col("n") > often).withColumn("is_top", F.col("label") == F.col("top"))
     own = met.withColumn("own", F.when(F.col("is_top"), -1 - F.pmod(F.xxhash64("cls"), F.col("tops"))).otherwise(F.pmod(F.xxhash64("cls"), F.col("others"))).cast("int"))
     # Chunks of the most frequent label have numbers below 0.
     other = F.explode(F.sequence(F.when(F.col("is_top"), 0).otherwise(-F.col("tops")), F.col("others") - 1))
@@ -199,6 +203,36 @@ def _apart(rows: DataFrame, often: int) -> DataFrame:
     return dealt.drop("n", "top", "tops", "others", "is_top", "own", "other")
 
 
+def _alone(rule: Sketches):
+    """Keeps the kinds of which two sets may be linked."""
+
+    def alone(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in batches:
+            size = rows["size"].to_numpy(np.int64)
+            yield rows.loc[rule.kept(size) - rows["pos"].to_numpy(np.int64) >= rule.needed(size, size), ["token", "kind"]]
+
+    return alone
+
+
+def _placed(rows: DataFrame, rule: Sketches, often: int) -> DataFrame:
+    """Rows (token, cls, pos) of rows (token, cls, size, pos, label): the sets that size and place let be linked with another of their list, where those of its most frequent label do not meet each other.
+
+    Sets of one list that agree in size, place and whether theirs is that label are one kind, and kinds meet in their stead: a large group of
+    sets that are alike is few kinds, however many sets it has.
+    """
+    top = F.col("label") == F.col("top")
+    known = joined(rows, _most(rows).select("token", "n", "top"), ["token"], F.col("n") > often)
+    # A kind's number is odd where its sets have the most frequent label.
+    known = written(known.select("token", "cls", "size", "pos", ((F.col("size") * rule.held + F.col("pos")) * 2 + top.cast("long")).alias("kind")), "kinds-of-sets")
+    kinds = written(known.groupBy("token", "kind", "size", "pos").agg(F.count(F.lit(1)).alias("sets")), "kinds")
+    odd = F.col("kind") % 2 == 1
+    alone = kinds.filter(~odd & (F.col("sets") > 1)).mapInPandas(_alone(rule), "token long, kind long")
+    apart = _apart(kinds.select("token", F.col("kind").alias("cls"), "size", "pos", F.when(odd, -1).otherwise(F.col("kind")).alias("label")), often)
+    met = _together(apart.withColumnRenamed("cls", "grp")).mapInPandas(_partners(rule), "token long, grp long, pos long").select("token", F.col("grp").alias("kind"))
+    chosen = written(kinds.join(alone.union(met).distinct(), ["token", "kind"], "left_semi").select("token", "kind", "sets"), "kinds-met")
+    return joined(known, chosen, ["token", "kind"], F.col("sets") > often).select("token", "cls", "pos")
+
+
 def _linkable(rule: Sketches):
     """Of each bucket's sets those whose bitmaps allow a link with another of a different label."""
 
@@ -221,9 +255,8 @@ def _buckets(lists: DataFrame, sketches: DataFrame, labels: DataFrame, rule: Ske
     known = labels.select(F.col("node").alias("cls"), "label")
     label = lambda rows: rows.join(known, "cls", "left").withColumn("label", F.coalesce("label", "cls"))
     apart = written(label(lists), "lists-labels")
-    met = _together(_apart(apart, often).withColumnRenamed("cls", "grp")).mapInPandas(_partners(rule), "token long, grp long, pos long").distinct()
     bits = sketches.select("cls", "size", "bits")
-    kept = written(label(met.select("token", F.col("grp").alias("cls"), "pos").join(bits, "cls").select("token", "cls", "size", "pos", "bits")), "met")
+    kept = written(label(_placed(apart, rule, often).join(bits, "cls").select("token", "cls", "size", "pos", "bits")), "met")
     close = _together(_apart(kept, often)).mapInPandas(_linkable(rule), "token long, cls long, size long, pos long, bits binary, label long")
     return _apart(written(close.dropDuplicates(["token", "cls"]), "close"), often).drop("label")
 

@@ -74,6 +74,19 @@ def test_groups_that_are_alike_but_not_linked_give_few_pairs(spark, monkeypatch)
     assert sum(verified) <= 2 * len(rows)
 
 
+def test_sets_of_one_size_and_place_meet_as_one_kind(spark, monkeypatch):
+    """What meets by size and place does not grow with the square of a large group of sets that are alike."""
+    met, together = [], minhash_dedup._together
+    monkeypatch.setattr(minhash_dedup, "_together", lambda rows: met.append(rows.count()) or together(rows))
+    monkeypatch.setattr(minhash_dedup, "CHUNK", 16)
+    rng = random.Random(13)
+    base = [f"w{i}" for i in range(60)]
+    rows = list(enumerate(" ".join(f"r{rng.randrange(10**9)}" if i == k else w for i, w in enumerate(base)) for k in (rng.sample(range(60), 1)[0] for _ in range(400))))
+    rows += [(1000 + i, t) for i, t in enumerate([" ".join(f"r{rng.randrange(10**9)}" if i % 9 == k % 9 else w for i, w in enumerate(base)) for k in range(300)])]
+    assert found(spark.createDataFrame(rows, SCHEMA), 3, 85) == brute(rows, 3, 85)
+    assert 0 < met[0] < 10 * len(rows)
+
+
 def test_bounds_of_equal_sizes_are_sharper():
     """Linked sets of one size have 91.9 % of each in common, so of their least values too."""
     rule, size = Sketches(85), np.array([5000])
